@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,7 +57,7 @@ def slices(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]
             yield 0, len(texts)
         return
     lo = size = 0
-    for i, x in enumerate(pa.compute.binary_length(texts).to_pylist()):
+    for i, x in enumerate(pc.binary_length(texts).to_pylist()):
         if i > lo and size + (x or 0) > most:
             yield lo, i
             lo, size = i, 0

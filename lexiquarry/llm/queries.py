@@ -18,6 +18,14 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiquarry.llm import licenses
+
+    out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = {c: F.array_join(c, ",") for c in ("sentence_ids", "licences")}
+    return out.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), joined["sentence_ids"].alias("sentence_ids"), joined["licences"].alias("licences"), F.size("unmatched").cast("long").alias("n_unmatched"), "licence_status")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiquarry.llm import bpe
 
@@ -33,9 +41,20 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(docs.select("doc_id")).select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiquarry.llm import secrets
+
+    out = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    of = lambda k: F.size(F.filter("secret_spans", lambda s: s["kind"] == k)).cast("long")
+    base = secrets.listed(F.filter("secret_spans", lambda s: s["kind"] < 3))
+    return out.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("secret_spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from lexiquarry.llm import licenses
+
+    return {"op1_licenses": licenses.oracle_sql()}

@@ -1,0 +1,132 @@
+"""Secret scans in DataFrame functions only: fixed patterns, and Shannon entropy in sliding windows.
+
+Patterns find assignments, access keys and hex runs. For the rest, candidate strings (long runs of key letters) are
+scanned with a window of WINDOW characters. The window's sum of c * log2(c) over its character counts c is updated by
+the character that leaves and the one that enters, and its entropy is log2(n) - sum / n. A candidate's class (digits,
+hex, letters of one case, mixed) sets the entropy that a window must reach; its span runs from the first such window to
+the end of the last. Candidates on the allow list give none. Spans of the patterns always stay.
+
+Positions count code points, ends are exclusive. Cases: a null or empty text has no spans; repeated and overlapping
+spans of different kinds all stay; texts and candidates of any length are scanned whole (a long candidate in
+overlapping pieces); other columns pass, those named as a new one give way.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lexiquarry.llm.common import quoted, without
+
+ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ASSIGN_LEAST = 12
+#: The classes' runs can't overlap a shorter one, so the least lengths (18 and 16) can stand in the patterns.
+ACCESS, HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
+CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
+KINDS = ["assign", "access", "hex", "entropy"]
+WINDOW, PIECE = 20, 256
+#: Entropy (bits) that a window must reach: a class's pattern and its threshold, the first that fits holds.
+CLASSES = [(r"^[0-9]+$", 3.15), (r"^[0-9a-fA-F]+$", 3.0), (r"^([a-z]+|[A-Z]+)$", 4.1), (r"^[A-Za-z]+$", 4.1), (r"", 3.8)]
+#: Candidates that are no secrets: identifiers, digests for integrity, examples, rulers and counting.
+ALLOW = [
+    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+    r"^sha(256|384|512)-",
+    r"(?i)example|sample|dummy|placeholder|changeme",
+    r"^(.{1,4})\1+$",
+    r"0123456789|(?i:abcdefghijkl)",
+]
+SPAN = "array<struct<start:int,kind:int,end:int>>"
+
+
+def found(text: Column, pattern: str, kind: int, keep: Column | None = None) -> Column:
+    """The leftmost non-overlapping matches as spans: what stands between the matches and the matches alternate."""
+    between, at = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    sizes = F.zip_with(F.slice(between, 1, F.size(at)), F.transform(at, F.char_length), lambda b, m: F.struct(F.char_length(b).alias("b"), m.alias("m")))
+    if keep is not None:
+        sizes = F.zip_with(sizes, keep, lambda s, k: F.struct(s["b"].alias("b"), s["m"].alias("m"), k.alias("k")))
+    none = F.array().cast(SPAN)
+
+    def step(acc, s):
+        start = acc["pos"] + s["b"]
+        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + s["m"]).alias("end"))
+        longer = F.array_append(acc["spans"], one)
+        return F.struct((start + s["m"]).alias("pos"), (longer if keep is None else F.when(s["k"], longer).otherwise(acc["spans"])).alias("spans"))
+
+    return F.aggregate(sizes, F.struct(F.lit(0).alias("pos"), none.alias("spans")), step, lambda acc: acc["spans"])
+
+
+def windows(piece: Column, limit: Column) -> Column:
+    """First and last start (from 0) of the windows of a piece whose entropy reaches limit; null if none does."""
+    g = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 2)])
+    gain = lambda c: F.get(g, c + 1) - F.get(g, c)  # noqa: E731  what one more of c equal characters adds
+
+    def step(acc, i):
+        held = F.substr(piece, F.greatest(i - WINDOW, F.lit(1)), F.least(i - 1, F.lit(WINDOW)))
+        enters, leaves = F.substr(piece, i, F.lit(1)), F.substr(piece, i - WINDOW, F.lit(1))
+        count = lambda c: F.length(held) - F.length(F.replace(held, c, F.lit("")))
+        full = i > WINDOW
+        total = acc["sum"] + F.when(full, -gain(count(leaves) - 1)).otherwise(0.0)
+        total = total + gain(count(enters) - F.when(full & (enters == leaves), 1).otherwise(0))
+        high = (i >= WINDOW) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= limit)
+        at = i - WINDOW
+        return F.struct(total.alias("sum"), F.when(high & acc["first"].isNull(), at).otherwise(acc["first"]).alias("first"), F.when(high, at).otherwise(acc["last"]).alias("last"))
+
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    return F.aggregate(F.sequence(F.lit(1), F.char_length(piece)), start, step)
+
+
+def entropic(text: Column) -> Column:
+    """Spans of candidates with windows of high entropy."""
+    limit = lambda s: F.coalesce(*[F.when(s.rlike(p), F.lit(t)) for p, t in CLASSES])
+
+    def scanned(span):
+        string = F.substr(text, span["start"] + 1, span["end"] - span["start"])
+        allowed = F.lit(False)
+        for p in ALLOW:
+            allowed = allowed | string.rlike(p)
+        steps = F.sequence(F.lit(0), F.greatest(F.char_length(string) - WINDOW, F.lit(0)), F.lit(PIECE - WINDOW + 1))
+        hits = F.transform(steps, lambda at: F.struct(at.alias("at"), windows(F.substr(string, at + 1, F.lit(PIECE)), limit(string)).alias("w")))
+        hits = F.filter(hits, lambda h: h["w"]["first"].isNotNull())
+        first = F.array_min(F.transform(hits, lambda h: h["at"] + h["w"]["first"]))
+        last = F.array_max(F.transform(hits, lambda h: h["at"] + h["w"]["last"]))
+        return F.when(~allowed, F.struct((span["start"] + first).alias("start"), span["kind"].alias("kind"), (span["start"] + last + WINDOW).alias("end")))
+
+    return F.filter(F.transform(found(text, CANDIDATE, 3), scanned), lambda s: s.isNotNull() & s["start"].isNotNull())
+
+
+def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """df and secret_spans: array of (start, kind: an index of KINDS, end), by start, then kind."""
+    kept = [quoted(f.name) for f in without(df, ["secret_spans"])]
+    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
+    assigned = found(text, ASSIGN, 0, F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.char_length(v) >= ASSIGN_LEAST))
+    none = F.array().cast(SPAN)
+    parts = [
+        F.when(text.rlike(ASSIGN), assigned).otherwise(none),
+        F.when(F.contains(text, F.lit("AKIA")), found(text, ACCESS, 1)).otherwise(none),
+        F.when(text.rlike(HEX), found(text, HEX, 2)).otherwise(none),
+        F.when(text.rlike(CANDIDATE), entropic(text)).otherwise(none),
+    ]
+    return df.select(*kept, F.array_sort(F.concat(*parts)).alias("secret_spans"))
+
+
+def listed(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    name = lambda k: F.get(F.array(*[F.lit(x) for x in KINDS]), k)
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """df with every span of secret_spans in its text replaced by mark; overlapping spans are one. secret_spans goes."""
+    text = quoted(text_col)
+
+    def step(acc, s):
+        ahead = s["start"] >= acc["pos"]
+        cut = F.concat(F.substr(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(mark))
+        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(ahead, F.array_append(acc["out"], cut)).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
+    done = F.aggregate("secret_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["pos"] + 1, F.lit(2**31 - 1))))
+    clean = F.when(F.size("secret_spans") > 0, done).otherwise(text)
+    return df.select(*[clean.alias(f.name) if f.name == text_col else quoted(f.name) for f in df.schema.fields if f.name != "secret_spans"])
