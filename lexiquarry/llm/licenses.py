@@ -119,23 +119,20 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
 def oracle_sql() -> str:
     """The digest of scan() over documents, in DuckDB SQL."""
     known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
-    steps = ["' ' || array_to_string(ids, '  ') || ' '"]
     sql = f"""WITH known(sentence, id) AS (VALUES {known}),
 docs AS (SELECT row_number() OVER () AS r, doc_id, string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SENTENCE_END}') AS parts FROM documents),
 cut AS (SELECT r, generate_subscripts(parts, 1) AS pos, unnest(parts) AS s FROM docs),
 hits AS (SELECT r, list(id ORDER BY pos) AS ids FROM cut JOIN known ON trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) = sentence WHERE regexp_matches(s, '{CUES}') GROUP BY r),
-s0 AS (SELECT r, ids, {steps[0]} AS x FROM hits)"""
+s0 AS (SELECT r, ids, ' ' || array_to_string(ids, '  ') || ' ' AS x FROM hits)"""
     for k, (run, _) in enumerate(RULES):
         needle = " " + run.replace(" ", "  ") + " "
-        sql += f",\ns{k + 1} AS (SELECT *, contains(x, '{needle}') AS f{k} FROM s{k})"
-        sql += f",\nt{k + 1} AS (SELECT * REPLACE (replace(x, '{needle}', ' | ') AS x) FROM s{k + 1})"
-        sql = sql.replace(f"FROM s{k})", f"FROM {'t' + str(k) if k else 's0'})")
+        sql += f",\ns{k + 1} AS (SELECT * REPLACE (replace(x, '{needle}', ' | ') AS x), contains(x, '{needle}') AS f{k} FROM s{k})"
     n = len(RULES)
     names = ", ".join(f"CASE WHEN f{k} THEN '{name}' END" for k, (_, name) in enumerate(RULES))
-    first = "list_filter([" + names + "], z -> z IS NOT NULL)"
+    first = "list_filter([" + names + "], lambda z: z IS NOT NULL)"
     sql += f""",
-named AS (SELECT r, ids, x, {first} AS every FROM t{n}),
-done AS (SELECT r, ids, list_filter(every, (z, i) -> list_position(every, z) = i) AS licences, list_filter(string_split_regex(trim(x), '[ |]+'), z -> z <> '') AS unmatched FROM named)
+named AS (SELECT r, ids, x, {first} AS every FROM s{n}),
+done AS (SELECT r, ids, list_filter(every, lambda z, i: list_position(every, z) = i) AS licences, list_filter(string_split_regex(trim(x), '[ |]+'), lambda z: z <> '') AS unmatched FROM named)
 SELECT doc_id, coalesce(len(ids), 0)::BIGINT AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(array_to_string(licences, ','), '') AS licences,
 coalesce(len(unmatched), 0)::BIGINT AS n_unmatched, CASE WHEN ids IS NULL THEN 'none' WHEN len(licences) = 0 THEN 'unknown' WHEN len(unmatched) > 0 THEN 'partial' ELSE 'recognised' END AS licence_status
 FROM docs LEFT JOIN done USING (r)"""

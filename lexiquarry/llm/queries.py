@@ -41,6 +41,16 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(docs.select("doc_id")).select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiquarry.llm import decontaminate
+
+    out = decontaminate.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10)
+    hits = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"])))
+    out = out.select("doc_id", "n_words", hits.alias("n_hit"), items.alias("items"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiquarry.llm import secrets
 
