@@ -60,6 +60,15 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("secret_spans")).alias("spans"))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiquarry.llm import media
+
+    out = media.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = F.octet_length("payload").cast("long")
+    tail = F.substring("payload", -64, 64)
+    return out.select("doc_id", "n_bytes", size.alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
