@@ -41,6 +41,14 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(docs.select("doc_id")).select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiquarry.llm import sharding
+
+    out = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return out.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiquarry.llm import decontaminate
 
