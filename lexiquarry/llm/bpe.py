@@ -25,15 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lexiquarry.llm.common import append_by_text
+from lexiquarry.llm.hashing import words
 
 #: White space as Unicode has it.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: The word pattern of the vocabulary file that is understood here.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Strings in each generation of a worker's cache, and letters in the longest of them.
-CACHE_WORDS, CACHE_LETTERS = 200_000, 64
-#: Control characters that str.split() takes for white space, but Unicode does not.
-ODD_SPACE = re.compile("[\x1c-\x1f]").search
+#: Strings in a worker's cache, and letters in the longest of them.
+CACHE_WORDS, CACHE_LETTERS = 400_000, 64
+#: Letters of text that are encoded at a time.
+PART = 4 << 20
 
 
 def byte_letters() -> list[str]:
@@ -129,19 +130,16 @@ class Merger:
 
 
 class Cache(dict):
-    """Computed values of short strings, in two generations of bounded size: the older one goes when the younger is full."""
+    """Computed values of short strings; it is emptied when full."""
 
     def __init__(self, compute, entries: int = CACHE_WORDS):
         super().__init__()
-        self.compute, self.entries, self.old = compute, entries, {}
+        self.compute, self.entries = compute, entries
 
-    def __missing__(self, key: str):
-        value = self.old.get(key)
-        if value is None:
-            value = self.compute(key)
+    def __missing__(self, key):
+        value = self.compute(key)
         if len(key) <= CACHE_LETTERS:
             if len(self) >= self.entries:
-                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -153,23 +151,54 @@ class Codec:
     def __init__(self, spec: dict, word_ids):
         self.splitter = WordSplitter(spec)
         self.words = Cache(lambda word: np.array(word_ids(self.splitter.spelled(word)), "<u4").tobytes())
-        self.chunks = Cache(lambda chunk: b"".join(map(self.words.__getitem__, self.splitter.words(chunk))))
+        self.chunks = Cache(lambda chunk: b"".join(map(self.words.__getitem__, self.splitter.words(chunk.decode()))))
         self.strings = [""] * (1 + max([*spec["model"]["vocab"].values(), *self.splitter.special.values()]))
         for s, i in [*spec["model"]["vocab"].items(), *self.splitter.special.items()]:
             self.strings[i] = s
 
-    def plain(self, text: str) -> bytes:
-        """The ids of a text without special tokens. Words never cross white space, so what stands between is cached."""
-        text = self.splitter.normal(text)
-        if ODD_SPACE(text):
-            return b"".join(map(self.words.__getitem__, self.splitter.words(text)))
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers.
+
+        Words never cross white space, so what stands between blanks is encoded once for all texts of a part.
+        """
+        out: list[bytes] = []
+        held, size = [], 0
+        for t in texts:
+            held.append(t or "")
+            size += len(held[-1])
+            if size >= PART:
+                out += self._part(held)
+                held, size = [], 0
+        return out + self._part(held)
+
+    def _part(self, texts: list[str]) -> list[bytes]:
+        special = self.splitter.special
+        pieces = [self.splitter.cut(t) if "<|" in t else [t] for t in texts]
+        plain = [self.splitter.normal(p).encode() for ps in pieces for p in ps[::2]]
+        data = b"\n".join(plain)
+        starts, ends, hashes = words(data)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        encoded = [self.chunks[data[a:b]] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        counts = np.array([len(x) // 4 for x in encoded], np.int64)
+        flat, froms = np.frombuffer(b"".join(encoded), "<u4"), np.cumsum(counts) - counts
+        own = counts[which]
+        upto = np.concatenate([[0], np.cumsum(own)])
+        ids = flat[np.repeat(froms[which] - upto[:-1], own) + np.arange(upto[-1])]
+        edges = upto[np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(p) + 1 for p in plain])]))].tolist()
+        out, k = [], 0
+        for ps in pieces:
+            parts = []
+            for j, p in enumerate(ps):
+                if j % 2:
+                    parts.append(np.array([special[p]], "<u4").tobytes())
+                else:
+                    parts.append(ids[edges[k] : edges[k + 1]].tobytes())
+                    k += 1
+            out.append(b"".join(parts))
+        return out
 
     def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text or "<|" not in text:
-            return self.plain(text or "")
-        return b"".join(np.uint32(self.splitter.special[p]).tobytes() if k % 2 else self.plain(p) for k, p in enumerate(self.splitter.cut(text)))
+        return self.encode_batch([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """The ids' vocabulary strings, one blank between two, as a file without a decoder has it."""
@@ -192,7 +221,7 @@ def encode_decode(df: DataFrame, vocabulary: str, text_col: str = "text") -> Dat
         codec = load(vocabulary)
 
         def work(texts):
-            ids = [codec.encode(t) for t in texts]
+            ids = codec.encode_batch(texts)
             return ids, [len(x) // 4 for x in ids], [codec.decode(x) for x in ids]
 
         return work
@@ -208,7 +237,7 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
         codec = load(vocabulary)
 
         def work(texts):
-            ids = [codec.encode(t) for t in texts]
+            ids = codec.encode_batch(texts)
             return ids, [len(x) // 4 for x in ids]
 
         return work

@@ -49,6 +49,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiquarry.llm import jaccard
+
+    return jaccard.components_of(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiquarry.llm import decontaminate
 

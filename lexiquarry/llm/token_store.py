@@ -176,8 +176,8 @@ class TokenStore:
                         out = disk.open_output_stream(own)
                         out.write(struct.pack("<4sI", b"LQT1", np.dtype(dtype).itemsize))
                     sizes = []
-                    for t in b.column(1).slice(lo, hi - lo).to_pylist():
-                        ids = codec.encode(t) + end
+                    for ids in codec.encode_batch(b.column(1).slice(lo, hi - lo).to_pylist()):
+                        ids += end
                         sizes.append(len(ids) // 4)
                         out.write(np.frombuffer(ids, "<u4").astype(dtype).tobytes())
                     size = np.array(sizes, np.int64)
