@@ -74,6 +74,29 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("secret_spans")).alias("spans"))
 
 
+def remainder(n: int):
+    """crc32 of doc_id as text, modulo n; the sample splits of the classifiers."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiquarry.llm import language
+
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(F.coalesce(remainder(3) != 1, F.lit(False))))
+    out = language.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiquarry.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    network = quality.train(docs, table(spark, sf_dir, "labels").where(F.coalesce(remainder(5) != 0, F.lit(False))))
+    out = quality.score(docs, network)
+    return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiquarry.llm import media
 
