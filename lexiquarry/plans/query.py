@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ class Corpus:
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: dict[str, str | Analyzer] | None = None, similarity=None):
         self.key, self.similarity = key, similarity or sim.bm25()
         self.analyzers = {f: ANALYZERS[a] if isinstance(a, str) else a for f, a in (text or {"text": "simple_ascii"}).items()}
-        self.docs, self.made = docs, {}
+        self.docs, self.named = docs, {}
         self.rows = docs.withColumns({f"_t_{f}": a(F.col(f)) for f, a in self.analyzers.items()})
 
     def stored(self, path: str) -> Corpus:
@@ -50,6 +50,8 @@ class Corpus:
         return F.col(f"_t_{f}")
 
     def tf(self, f: str, term: str) -> Column:
+        if (f, term) in self.named:
+            return F.col(self.named[f, term])
         return F.size(F.filter(self.toks(f), lambda t: t["term"] == term)).cast("double")
 
     def places(self, f: str, term: str) -> Column:
@@ -89,11 +91,21 @@ class Corpus:
         needs = sorted(set(needs) | {(f, None) for f, _ in needs}, key=str)
         return Stats(self, needs) if needs else Stats(self, [])
 
+    def prepared(self, query: Query) -> Corpus:
+        """The same corpus with a column for each count that the query uses several times."""
+        made = {n: (f"_tf{i}", self.tf(*n)) for i, n in enumerate(dict.fromkeys(query.needs()))}
+        for x in query.walk():
+            if isinstance(x, (Phrase, Positional)):
+                made[x] = (f"_f{len(made)}", x.counted(self))
+        out = object.__new__(Corpus)
+        out.__dict__ = self.__dict__ | {"rows": self.rows.withColumns(dict(made.values())) if made else self.rows, "named": {n: name for n, (name, _) in made.items()}}
+        return out
+
     def search(self, query: Query) -> DataFrame:
         """(key, score) of every matching document."""
         query = query.rewritten(self)
-        stats = self.stats(query.needs())
-        return self.rows.where(query.match(self)).select(self.key, query.score(self, stats).alias("score"))
+        stats, c = self.stats(query.needs()), self.prepared(query)
+        return c.rows.where(query.match(c)).select(self.key, query.score(c, stats).alias("score"))
 
     def top(self, query: Query, k: int, after: tuple[float, object] | None = None) -> DataFrame:
         """The k best by score, then key; after: those behind this (score, key)."""
@@ -148,6 +160,16 @@ class Query:
     def rewritten(self, c: Corpus) -> Query:
         return self
 
+    def walk(self) -> Iterable[Query]:
+        """The query and all below it."""
+        yield self
+        for f in fields(self):
+            x = getattr(self, f.name)
+            for y in x if isinstance(x, tuple) else (x,):
+                for z in y if isinstance(y, tuple) else (y,):
+                    if isinstance(z, Query):
+                        yield from z.walk()
+
     def on(self, c: Corpus, s: Stats) -> Column:
         """The score where the query matches, else null."""
         return F.when(self.match(c), self.score(c, s))
@@ -176,7 +198,7 @@ class Term(Query):
         return [(self.field, self.term)]
 
     def match(self, c):
-        return c.has(self.field, lambda t: t == self.term)
+        return c.tf(self.field, self.term) > 0 if (self.field, self.term) in c.named else c.has(self.field, lambda t: t == self.term)
 
     def score(self, c, s):
         return c.model(self.field).score(c.tf(self.field, self.term), c.length(self.field), s.df(self.field, self.term), s.ttf(self.field, self.term), s.docs(self.field), s.tokens(self.field))
@@ -529,23 +551,22 @@ def fuzzy(f: str, term: str, most: int = 2, prefix_length: int = 0, expansions:
 
     Twice the edits of the built-in distance bound those with swaps, so the exact test runs on few terms.
     """
-    measured = F.udf(lambda t: edits(term, t, transpose), "int", useArrow=True)
     bound = most * (2 if transpose else 1)
     near = lambda t: t.startswith(term[:prefix_length]) & (F.levenshtein(t, F.lit(term), bound) >= 0) if prefix_length else F.levenshtein(t, F.lit(term), bound) >= 0
     worth = lambda t: 1.0 if t == term else max(0.0, 1 - edits(term, t, transpose) / min(len(t), len(term)))
-    return Fuzzy(f, near, True, None, expansions, worth, term, most, measured, transpose)
+    return Fuzzy(f, near, True, None, expansions, worth, term, most, transpose)
 
 
 @dataclass(frozen=True)
 class Fuzzy(MultiTerm):
     term: str = ""
     most: int = 2
-    measured: object = None
     transpose: bool = True
 
     def rewritten(self, c):
         words = c.rows.select(F.explode(F.array_distinct(F.filter(F.transform(c.toks(self.field), lambda t: t["term"]), self.test))).alias("term")).distinct()
-        d = self.measured(F.col("term"))
+        wanted, transpose = self.term, self.transpose
+        d = F.udf(lambda t: edits(wanted, t, transpose), "int", useArrow=True)(F.col("term"))
         worth = F.when(F.col("term") == self.term, 1.0).otherwise(1 - F.col("d") / F.least(F.char_length("term"), F.lit(len(self.term))))
         best = words.withColumn("d", d).where(F.col("d") <= self.most).orderBy(worth.desc(), "term").limit(self.limit).collect()
         found = tuple(Boost(Term(self.field, r["term"]), self.boosts(r["term"])) for r in best)
@@ -578,20 +599,18 @@ class Phrase(Query):
         return [one(ts, p) for ts, p in zip(self.terms, self.at())]
 
     def freq(self, c: Corpus) -> Column:
+        return F.col(c.named[self]) if self in c.named else self.counted(c)
+
+    def counted(self, c: Corpus) -> Column:
         parts = self.lists(c)
         if self.slop:
             slop = self.slop
             run = F.udf(lambda xs: pos.sloppy_freq([sorted(x) for x in xs], slop), "double", useArrow=True)
             return F.when(self.candidates(c), run(F.array(*parts))).otherwise(0.0)
-        first, rest = parts[0], parts[1:]
-
-        def aligned(p):
-            out = F.lit(True)
-            for r in rest:
-                out = out & F.array_contains(r, p)
-            return out
-
-        return F.size(F.filter(first, aligned)).cast("double")
+        both = parts[0]
+        for p in parts[1:]:
+            both = F.array_intersect(both, p)
+        return F.when(self.candidates(c), F.size(both).cast("double")).otherwise(0.0)
 
     def candidates(self, c: Corpus) -> Column:
         out = F.lit(True)
@@ -600,7 +619,7 @@ class Phrase(Query):
         return out
 
     def match(self, c):
-        return self.candidates(c) & (self.freq(c) > 0)
+        return self.freq(c) > 0
 
     def score(self, c, s):
         total = ZERO()
@@ -633,6 +652,9 @@ class Positional(Query):
         return [(self.field, t) for t in sorted(self.source.terms())] if self.kind == "span" else []
 
     def freq(self, c: Corpus) -> Column:
+        return F.col(c.named[self]) if self in c.named else self.counted(c)
+
+    def counted(self, c: Corpus) -> Column:
         words, source, span = sorted(self.source.terms()), self.source, self.kind == "span"
         wide = pos.extent(source)
 
@@ -650,7 +672,7 @@ class Positional(Query):
         return out
 
     def match(self, c):
-        return self.candidates(c) & (self.freq(c) > 0)
+        return self.freq(c) > 0
 
     def score(self, c, s):
         f = self.freq(c)
