@@ -44,6 +44,11 @@ def keep(fn: Callable[[Column], Column]) -> Step:
     return lambda toks: F.filter(toks, lambda t: fn(t["term"]))
 
 
+def once(fn: Callable[[Column], Column]) -> Step:
+    """fn of an array that is evaluated once, however often fn names it."""
+    return lambda x: F.get(F.transform(F.array(x), fn), F.lit(0))
+
+
 # ---- character filters
 
 
@@ -112,13 +117,12 @@ def keyword(text: Column) -> Column:
 
 
 def path_hierarchy(delimiter: str = "/", reverse: bool = False) -> Step:
-    def run(text: Column) -> Column:
-        parts = F.split(text, "\\Q" + delimiter + "\\E", -1)
+    def run(parts: Column) -> Column:
         cut = lambda i: F.slice(parts, i, F.size(parts)) if reverse else F.slice(parts, F.lit(1), i)
         paths = F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(cut(i), delimiter)), lambda p: p != "")
         return F.transform(paths, lambda p: F.struct(p.alias("term"), F.lit(0).alias("pos")))
 
-    return run
+    return lambda text: once(run)(F.split(text, "\\Q" + delimiter + "\\E", -1))
 
 
 def grams_of(word: Column, low: int, high: int) -> Column:
@@ -231,7 +235,7 @@ def shingles(low: int = 2, high: int = 2, unigrams: bool = True, joiner: str = "
         at = lambda i: F.transform(F.filter(F.array(*map(F.lit, sizes)), lambda k: i + k - 1 <= n), lambda k: F.struct(F.array_join(terms(F.slice(toks, i, k)), joiner).alias("term"), F.element_at(toks, i)["pos"].alias("pos")))
         return F.flatten(F.transform(starts, at))
 
-    return run
+    return once(run)
 
 
 def common_grams(words: list[str], query: bool = False) -> Step:
@@ -247,7 +251,7 @@ def common_grams(words: list[str], query: bool = False) -> Step:
         at = (lambda t, i: F.when(pair(i), F.array(gram(i))).when(pair(i - 1), none).otherwise(F.array(one(i)))) if query else (lambda t, i: F.when(pair(i), F.array(one(i), gram(i))).otherwise(F.array(one(i))))
         return F.flatten(F.transform(toks, at))
 
-    return run
+    return once(run)
 
 
 def synonyms(groups: dict[str, list[str]]) -> Step:

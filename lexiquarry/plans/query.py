@@ -70,9 +70,9 @@ class Corpus:
         return self.rows.select(F.lit(f).alias("field"), F.col(self.key), F.explode(self.toks(f)).alias("t")).select("field", "t.term", self.key, "t.pos")
 
     def term_stats(self, f: str) -> DataFrame:
-        """(field, term, df, ttf): each document counts its own terms first."""
-        own = self.rows.select(F.explode(F.transform(F.array_distinct(F.transform(self.toks(f), lambda t: t["term"])), lambda w: F.struct(w.alias("term"), F.size(F.filter(self.toks(f), lambda t: t["term"] == w)).alias("n")))).alias("x"))
-        return own.groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.n").alias("ttf")).select(F.lit(f).alias("field"), "term", "df", "ttf")
+        """(field, term, df, ttf): occurrences are counted per document before documents are."""
+        own = self.rows.select(self.key, F.explode(F.transform(self.toks(f), lambda t: t["term"])).alias("term")).groupBy("term", self.key).agg(F.count("*").alias("n"))
+        return own.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("ttf")).select(F.lit(f).alias("field"), "term", "df", "ttf")
 
     def collection_stats(self, f: str) -> DataFrame:
         """(field, max_doc, doc_count, sum_ttf, sum_df)."""
