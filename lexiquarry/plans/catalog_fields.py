@@ -180,7 +180,7 @@ analyzed("english_minimal_stem", chain(an.STEM["english_minimal"]), "list_transf
 register("html_strip", lambda s, d: table(s, d, "pages").select("page_id", F.size(an.ANALYZERS["html"](C("html"))).alias("n_tokens")))
 register("more_like_this", lambda s, d: (lambda c: c.search(q.more_like_this(c, "text", "the thing that was with the rest of the nation", 5)).withColumn("score", F.round("score", 6)))(corpus(s, d)))
 register("fuzzy", lambda s, d: corpus(s, d).search(q.fuzzy("text", "thatn", 1)).withColumn("score", F.round("score", 6)))
-register("common_terms", lambda s, d: corpus(s, d).search(q.CommonTerms("text", ("that", "onion", "of"), 0.2)).withColumn("score", F.round("score", 6)))
+register("common_terms", lambda s, d: corpus(s, d).search(q.CommonTerms("text", ("that", "rely", "of"), 0.2)).withColumn("score", F.round("score", 6)))
 register("sloppy_phrase", lambda s, d: corpus(s, d).search(q.phrase("text", "of", "to", slop=2)).withColumn("score", F.round("score", 6)))
 register("log_odds_fusion", lambda s, d: corpus(s, d).search(q.LogOdds((q.Bayesian(_A, 1.0, 1.0), q.Bayesian(_B, 1.0, 1.0)))).withColumn("score", F.round("score", 6)))
 
