@@ -83,7 +83,8 @@ class Network:
             n = p * STRIDE + WIDTH - STRIDE
             out[i] = self.pooled(data[at : at + n], p)
             at += n
-        return 1 / (1 + np.exp(-(out @ self.head + self.base[0]).astype(np.float64)))
+        # row by row in double: a score doesn't depend on what else is in the batch
+        return 1 / (1 + np.exp(-((out * self.head).sum(axis=1, dtype=np.float64) + float(self.base[0]))))
 
     def fit(self, texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> Network:
         rng = np.random.default_rng(seed)
