@@ -256,8 +256,8 @@ def common_grams(words: list[str], query: bool = False) -> Step:
 
 def synonyms(groups: dict[str, list[str]]) -> Step:
     """Adds single-word synonyms at the position of their word."""
-    table = F.create_map(*[x for k, v in groups.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    return lambda toks: F.flatten(F.transform(toks, lambda t: F.concat(F.array(t), F.transform(F.coalesce(F.try_element_at(table, t["term"]), F.array().cast("array<string>")), lambda s: F.struct(s.alias("term"), t["pos"].alias("pos"))))))
+    table = lambda: F.create_map(*[x for k, v in groups.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return lambda toks: F.flatten(F.transform(toks, lambda t: F.concat(F.array(t), F.transform(F.coalesce(F.try_element_at(table(), t["term"]), F.array().cast("array<string>")), lambda s: F.struct(s.alias("term"), t["pos"].alias("pos"))))))
 
 
 def capture_groups(pattern: str, groups: int) -> Step:
