@@ -32,9 +32,9 @@ SPACE = "\t-\r \x85\xa0  -     　"
 #: The word pattern of the vocabulary file that is understood here.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Strings in a worker's cache, and letters in the longest of them.
-CACHE_WORDS, CACHE_LETTERS = 400_000, 64
+CACHE_WORDS, CACHE_LETTERS = 200_000, 64
 #: Letters of text that are encoded at a time.
-PART = 4 << 20
+PART = 2 << 20
 
 
 def byte_letters() -> list[str]:
@@ -148,10 +148,11 @@ class Cache(dict):
 class Codec:
     """Encodes texts to ids and back; word_ids gives the ids of a spelled word."""
 
-    def __init__(self, spec: dict, word_ids):
+    def __init__(self, spec: dict, word_ids, entries: int = CACHE_WORDS, part: int = PART):
+        self.part = part
         self.splitter = WordSplitter(spec)
-        self.words = Cache(lambda word: np.array(word_ids(self.splitter.spelled(word)), "<u4").tobytes())
-        self.chunks = Cache(lambda chunk: b"".join(map(self.words.__getitem__, self.splitter.words(chunk.decode()))))
+        self.words = Cache(lambda word: np.array(word_ids(self.splitter.spelled(word)), "<u4").tobytes(), entries)
+        self.chunks = Cache(lambda chunk: b"".join(map(self.words.__getitem__, self.splitter.words(chunk.decode()))), entries)
         self.strings = [""] * (1 + max([*spec["model"]["vocab"].values(), *self.splitter.special.values()]))
         for s, i in [*spec["model"]["vocab"].items(), *self.splitter.special.items()]:
             self.strings[i] = s
@@ -166,7 +167,7 @@ class Codec:
         for t in texts:
             held.append(t or "")
             size += len(held[-1])
-            if size >= PART:
+            if size >= self.part:
                 out += self._part(held)
                 held, size = [], 0
         return out + self._part(held)

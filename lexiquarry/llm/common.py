@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: UTF-8 bytes of text that one call of a batch function gets; a single longer text is a call of its own.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
+#: Rows in a batch that Spark sends to a Python worker, at most.
+BATCH_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +42,22 @@ class Scratch:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows of Arrow batches, which whole texts fill; a smaller bound that is set stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: workers live on for the next stage, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def quoted(name: str):
     """The column of exactly this name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -73,6 +92,7 @@ def append_by_text(df: DataFrame, text_col: str, fields: list[T.StructField], ma
     list or array per field. An input column whose name clashes with a new one gives way to the new one; all other
     columns pass unchanged. Batches are cut by bytes, so memory doesn't grow with the number or length of the texts.
     """
+    small_batches(df.sparkSession)
     kept = without(df, [f.name for f in fields] + ([text_col] if drop_text else []))
     src = df.select(*[quoted(f.name) for f in kept], quoted(text_col).cast("string").alias("__text"))
     names, n = [f.name for f in kept] + [f.name for f in fields], len(kept)
@@ -86,6 +106,8 @@ def append_by_text(df: DataFrame, text_col: str, fields: list[T.StructField], ma
                 new = work(texts.slice(lo, hi - lo).to_pylist())
                 old = [b.column(i).slice(lo, hi - lo) for i in range(n)]
                 yield pa.RecordBatch.from_arrays(old + [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(new, types)], names=names)
+        del work
+        trim()
 
     return src.mapInArrow(run, T.StructType(kept + fields))
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiquarry.llm.common import Scratch, quoted, slices
+from lexiquarry.llm.common import Scratch, quoted, slices, small_batches, trim
 from lexiquarry.llm.graph import components
 from lexiquarry.llm.hashing import mix
 from lexiquarry.llm.shingles import Scheme, Shingler
@@ -93,6 +93,7 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text"):
         self.spark, self.k, self.num, self.den = docs.sparkSession, k, num, den
         self.scratch = Scratch(self.spark, "jaccard")
+        small_batches(self.spark)
         self.all = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"))
         self.docs = self.all.where("id is not null")
 
@@ -135,6 +136,7 @@ class JaccardJoin:
                     sig.append(b"")
                     other.append((pairs, rows.tobytes()))
                     yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(sig, pa.binary()), pa.array([x for x, _ in other], pa.binary()), pa.array([x for _, x in other], pa.binary())], names=["p", "sig", "same", "docs"])
+            trim()
 
         def meet(batches):
             for _, t in groups(batches, 1):
@@ -160,6 +162,7 @@ class JaccardJoin:
                 for blob in t.column("docs").to_pylist():
                     rows = np.frombuffer(blob, DOC_ROW)
                     yield out(DOC, rows["id"], rows["n"], [bytes(x) for x in rows["sketch"]])
+            trim()
 
         def out(kind, a, b, sketch=None):
             n = len(a)
@@ -212,6 +215,7 @@ class JaccardJoin:
                             good.append((a[i], ids[i]))
                     got = np.array(good, np.int64).reshape(-1, 2)
                     yield pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], names=["a", "b"])
+            trim()
 
         return rows.mapInArrow(test, "a long, b long")
 

@@ -11,7 +11,7 @@ from lexiquarry.llm.hashing import M1, M2, mix, words
 #: Ratio of a size band's ends; share of shingles that unrelated texts have in common, for the cost model.
 BAND, COMMON = 1.5, 0.25
 #: Bytes of text that are hashed at a time.
-PART = 4 << 20
+PART = 2 << 20
 
 
 class Shingler:

@@ -38,6 +38,8 @@ from lexiquarry.llm.common import Scratch, quoted, slices
 
 #: Keys that a bucket of the index holds at most on average; there are at least this many buckets to a shuffle partition.
 BUCKET_KEYS, BUCKETS_EACH = 1_000_000, 8
+#: Words in a worker's cache, and letters that are encoded at a time.
+CACHE_WORDS, PART = 400_000, 4 << 20
 #: Bits of a level for each key that is left, and levels before the rest is told apart by ever larger ones.
 GAMMA = 2.0
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -133,7 +135,7 @@ def library_codec(path: str) -> Codec:
 
     tokenize = Tokenizer.from_file(path).model.tokenize
     with open(path, encoding="utf-8") as f:
-        return Codec(json.load(f), lambda spelled: [x.id for x in tokenize(spelled)])
+        return Codec(json.load(f), lambda spelled: [x.id for x in tokenize(spelled)], CACHE_WORDS, PART)
 
 
 def key_hash(col) -> F.Column:
@@ -233,8 +235,13 @@ class TokenStore:
                 for lo, hi in zip(edges, edges[1:]):
                     if which[lo] != open_bucket:
                         open_bucket = which[lo]
-                        with disk.open_input_stream(f"{top}/index-{open_bucket:05d}.bin") as f:
-                            index, table = index_read(f.read())
+                        path = f"{top}/index-{open_bucket:05d}.bin"
+                        index = None  # no key fell into this bucket
+                        if disk.get_file_info(path).type != fs.FileType.NotFound:
+                            with disk.open_input_stream(path) as f:
+                                index, table = index_read(f.read())
+                    if index is None:
+                        continue
                     kh = b.column(1).slice(lo, hi - lo).to_numpy().view(np.uint64)
                     slot = index.slots(kh)
                     good = (slot >= 0) & (table["print"][slot] == mixed(kh, 77) >> np.uint64(32))
