@@ -111,6 +111,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from lexiquarry.llm import licenses
+    from lexiquarry.llm import licenses, sql
 
-    return {"op1_licenses": licenses.oracle_sql()}
+    return {"op1_licenses": licenses.oracle_sql(), "op5_jaccard": sql.jaccard(), "op6_decontaminate": sql.decontaminate()}

@@ -365,3 +365,13 @@ def test_hashes_are_those_of_each_word():
     starts, ends, h = hashing.words(data)
     assert [data[a:b] for a, b in zip(starts, ends)] == data.split()
     assert h[0] == h[3] and h[1] == h[5] and len(set(h.tolist())) == 4
+
+
+@pytest.mark.parametrize("name", ["op5_jaccard", "op6_decontaminate"])
+def test_joins_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    out = queries.queries()[name](spark, SF).select(*want.columns).collect()
+    assert sorted(map(tuple, out)) == sorted(want.fetchall()) and len(out) == 200
