@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexiquarry.functions.stemming import STEMMERS, stem
+
 Step = Callable[[Column], Column]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # The English stop words of the standard analysis.
@@ -371,7 +373,7 @@ ANALYZERS: dict[str, Analyzer] = {
     "keyword": Analyzer(keyword),
     "stop": Analyzer(letter, (lowercase, stop(ENGLISH_STOP))),
     "classic": Analyzer(classic_words, (classic_filter, lowercase, stop(ENGLISH_STOP))),
-    "english": Analyzer(standard, (english_possessive, lowercase, stop(ENGLISH_STOP), STEM["english_minimal"])),
+    "english": Analyzer(standard, (english_possessive, lowercase, stop(ENGLISH_STOP), stem(STEMMERS["porter"]))),
     "french": Analyzer(standard, (elision(FRENCH_ARTICLES), lowercase, STEM["french_minimal"])),
     "german": Analyzer(standard, (lowercase, NORMALIZE["german"], STEM["german_minimal"])),
     "spanish": Analyzer(standard, (lowercase, STEM["spanish_minimal"])),
@@ -379,11 +381,14 @@ ANALYZERS: dict[str, Analyzer] = {
     "italian": Analyzer(standard, (elision(ITALIAN_ARTICLES), lowercase, STEM["italian_light"])),
     "catalan": Analyzer(standard, (elision(CATALAN_ARTICLES), lowercase)),
     "irish": Analyzer(standard, (elision(IRISH_ARTICLES), lowercase)),
-    "swedish": Analyzer(standard, (lowercase, STEM["swedish_minimal"])),
-    "norwegian": Analyzer(standard, (lowercase, STEM["norwegian_minimal"])),
+    "swedish": Analyzer(standard, (lowercase, stem(STEMMERS["swedish"]))),
+    "norwegian": Analyzer(standard, (lowercase, stem(STEMMERS["norwegian"]))),
+    "danish": Analyzer(standard, (lowercase, stem(STEMMERS["danish"]))),
+    "russian": Analyzer(standard, (lowercase, stem(STEMMERS["russian"]))),
+    "hindi": Analyzer(standard, (lowercase, decimal_digit, stem(STEMMERS["hindi"]))),
     "galician": Analyzer(standard, (lowercase, STEM["galician_minimal"])),
     "hungarian": Analyzer(standard, (lowercase, STEM["hungarian_light"])),
-    "arabic": Analyzer(standard, (lowercase, decimal_digit, NORMALIZE["arabic"])),
+    "arabic": Analyzer(standard, (lowercase, decimal_digit, NORMALIZE["arabic"], stem(STEMMERS["arabic"]))),
     "persian": Analyzer(standard, (lowercase, decimal_digit, NORMALIZE["arabic"], NORMALIZE["persian"]), (persian_chars,)),
     "romanian": Analyzer(standard, (lowercase, NORMALIZE["romanian"])),
     "serbian": Analyzer(standard, (lowercase, NORMALIZE["serbian"])),
