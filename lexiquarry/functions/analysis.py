@@ -375,8 +375,8 @@ ANALYZERS: dict[str, Analyzer] = {
     "classic": Analyzer(classic_words, (classic_filter, lowercase, stop(ENGLISH_STOP))),
     "english": Analyzer(standard, (english_possessive, lowercase, stop(ENGLISH_STOP), stem(STEMMERS["porter"]))),
     "french": Analyzer(standard, (elision(FRENCH_ARTICLES), lowercase, STEM["french_minimal"])),
-    "german": Analyzer(standard, (lowercase, NORMALIZE["german"], STEM["german_minimal"])),
-    "spanish": Analyzer(standard, (lowercase, STEM["spanish_minimal"])),
+    "german": Analyzer(standard, (lowercase, NORMALIZE["german"], stem(STEMMERS["german_light"]))),
+    "spanish": Analyzer(standard, (lowercase, stem(STEMMERS["spanish_light"]))),
     "portuguese": Analyzer(standard, (lowercase, STEM["portuguese_minimal"])),
     "italian": Analyzer(standard, (elision(ITALIAN_ARTICLES), lowercase, STEM["italian_light"])),
     "catalan": Analyzer(standard, (elision(CATALAN_ARTICLES), lowercase)),

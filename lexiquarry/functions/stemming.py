@@ -41,10 +41,11 @@ class Endings:
 
 @dataclass(frozen=True)
 class Replace:
-    """One step: every match of a pattern is replaced; $1 is its first group."""
+    """One step: every match of a pattern is replaced, in words of at least so many letters; $1 is its first group."""
 
     pattern: str
     by: str
+    least: int = 0
 
 
 Stemmer = tuple[Endings | Replace, ...]
@@ -68,7 +69,8 @@ def _fits(x: Column, patterns) -> Column:
 
 def step_column(step: Endings | Replace, t: Column) -> Column:
     if isinstance(step, Replace):
-        return F.regexp_replace(t, step.pattern, step.by)
+        new = F.regexp_replace(t, step.pattern, step.by)
+        return F.when(F.char_length(t) >= step.least, new).otherwise(t) if step.least else new
     out = None
     for r in step.ordered():
         rest = F.left(t, F.char_length(t) - len(r.end))
@@ -96,7 +98,8 @@ def stem(stemmer: Stemmer):
 
 def step_sql(step: Endings | Replace, x: str) -> str:
     if isinstance(step, Replace):
-        return f"regexp_replace({x}, '{step.pattern}', '{step.by.replace('$', chr(92))}', 'g')"
+        new = f"regexp_replace({x}, '{step.pattern}', '{step.by.replace('$', chr(92))}', 'g')"
+        return f"CASE WHEN length({x}) >= {step.least} THEN {new} ELSE {x} END" if step.least else new
     cases = []
     for r in step.ordered():
         rest = f"left({x}, length({x}) - {len(r.end)})"
@@ -230,4 +233,22 @@ ARABIC: Stemmer = (
     Replace("^(?:ال|وال|بال|كال|فال|لل)(..+)$|^و(...+)$", "$1$2"),
     *(Replace(f"^(..+){end}$", "$1") for end in "ها ان ات ون ين يه ية ه ة ي".split()),
 )
-STEMMERS |= {"hindi": HINDI, "arabic": ARABIC}
+
+# ---- light stemmers, which leave three letters or take words of five. The published endings.
+_MARKED = (("àáâä", "a"), ("òóôö", "o"), ("ìíîï", "i"), ("ùúûü", "u"))
+GERMAN_LIGHT: Stemmer = (
+    *(Replace(f"[{letters}]", plain) for letters, plain in _MARKED),
+    Endings((*ends("ern em en er es e"), Rule("s", "", ("[bdfghklmnt]$",))), ("...",)),
+    Endings((*ends("est er en"), Rule("st", "", ("[bdfghklmnt]$",))), ("...",)),
+)
+SPANISH_LIGHT: Stemmer = (
+    *(Replace(f"[{letters}]", plain, 5) for letters, plain in (*_MARKED, ("èéêë", "e"))),
+    Replace("^(.{1,4})$", "$1" + STAY),
+    Endings(pairs("eses>es ces>z os> as> es> o> a> e>")),
+    Replace(STAY, ""),
+)
+SWEDISH_LIGHT: Stemmer = (
+    Endings(ends("s"), ("....",)),
+    Endings(ends("elser heten arne erna ande else aste orna aren are ast het ar er or en at te et t a e n"), ("...",)),
+)
+STEMMERS |= {"hindi": HINDI, "arabic": ARABIC, "german_light": GERMAN_LIGHT, "spanish_light": SPANISH_LIGHT, "swedish_light": SWEDISH_LIGHT}

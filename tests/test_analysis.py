@@ -14,6 +14,9 @@ WORDS = {
     "swedish": "jaktkarlarne:jaktkarl jaktkarlens:jaktkarl klokt:klokt klostergården:klostergård friskt:frisk",
     "german": "aufeinanderfolgende:aufeinanderfolg kategorischen:kategor häuser:haus katers:kat aufgenommen:aufgenomm verständlichkeit:verstand kuß:kuss",
     "russian": "вагоны:вагон важнейшие:важн важности:важност пароходами:пароход падение:паден падаешь:пада волновался:волнова",
+    "german_light": "häuser:haus kindern:kind schönsten:schon ärzte:arzt rad:rad bits:bit bahns:bahn",
+    "spanish_light": "chicas:chic libros:libr leones:leon luces:luz franceses:frances mamá:mamá canción:cancion",
+    "swedish_light": "jaktkarlarne:jaktkarl jaktkarlens:jaktkarl klockorna:klock hus:hus frihetens:fri",
     "hindi": "किताबें:किताब घर:घर",
     "arabic": "الحسن:حسن والحسن:حسن ساهدهات:ساهد ول:ول",
 }
