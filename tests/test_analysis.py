@@ -1,4 +1,4 @@
-"""Stemmers against published word pairs, and token filters on small inputs."""
+"""Stemmers against word pairs (well-known examples, or worked out from the rules), and token filters on small inputs."""
 
 import pytest
 from pyspark.sql import functions as F
