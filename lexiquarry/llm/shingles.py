@@ -38,7 +38,7 @@ class Shingler:
         lengths = np.array([len(t) + 1 for t in texts])
         edges = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))
         whole = h.copy()
-        for j in range(1, k):
+        for j in range(1, min(k, len(h))):
             whole[: len(h) - j] = mix(whole[: len(h) - j]) + h[j:]
         whole = mix(whole + np.uint64(k))
         for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):

@@ -182,6 +182,21 @@ def test_signatures_meet():
                 assert keys[0] & keys[1], (num, n, len(b))
 
 
+@pytest.mark.parametrize("k", [3, 5, 9])
+def test_shingles_of_few_words(k, monkeypatch):
+    """A call that holds fewer words in all than a shingle, alone or after a text that fills a call."""
+    sets = lambda texts: shingles.Shingler(k).sets(texts)
+    monkeypatch.setattr(shingles, "PART", 40)
+    long = "one two three four five six seven eight nine ten"
+    for n in range(7):
+        text = " ".join("abcdefg"[:n])
+        alone, sizes = sets([text])
+        assert sizes.tolist() == [min(1, n) if n <= k else n - k + 1] == [len(alone)]
+        both, sizes = sets([long, text])
+        assert both.tolist() == sets([long])[0].tolist() + alone.tolist() and sizes[1] == len(alone)
+    assert sets(["a", "b"])[1].tolist() == [1, 1]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (5, 5), (4, 1)], "a long, b long")
     assert {tuple(r) for r in graph.components(edges, Scratch(spark, "t"), "c").collect()} == {(2, 1), (3, 1), (4, 1), (9, 8)}
