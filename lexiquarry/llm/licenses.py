@@ -1,7 +1,9 @@
 """Licence recognition by sentences and ordered rules, in DataFrame functions only.
 
-A text is cut into sentences (at line ends, and after . ! ? before a blank), each sentence is normalised (A-Z to
-lower case, everything but a-z and 0-9 to single blanks) and looked up among known licence sentences. The identifiers
+A text is normalised (A-Z to lower case, everything but a-z and 0-9 to single blanks, so comment signs go) and searched
+for known licence sentences. Sentences end at blank lines and after . ! ? before a blank or a line end. At single line
+ends, after ; and after the stop of `v.` before a number a sentence may begin or end, or go on: wrapped texts are found
+as well as one-line notices. Of the known sentences that begin at one place the longest holds. The identifiers
 of a document, in order, are matched against ordered rules: each rule names a run of identifiers; where it stands, its
 licence is found and the run is used up, so that a longer rule listed earlier wins over its parts.
 
@@ -79,10 +81,33 @@ RULES = [
 ]
 #: Every known sentence has one of these; other texts and sentences need no lookup.
 CUES = "licen|warrant|copyright|redistribut|unencumbered|permission|mpl"
+#: Sentence ends of the SQL, which takes a line for a sentence: equal on texts whose known sentences stand on one line.
 SENTENCE_END = r"[.!?]*[\n\r]+|[.!?]+[ \t]+"
+#: Marks of normalised text: a sentence can't go on over HARD, and may end or go on at SOFT.
+HARD, SOFT = "|", "\n"
+#: In turn: patterns and what takes their place. Each is linear in the text, long runs of signs and line ends included.
+MARKS = [
+    (r"\r\n?", SOFT),
+    (r"\b(v|ver|version)\.[ \t\n]+(?=[0-9])", "$1" + SOFT),
+    (r"[.!?][ \t\n]+", HARD),
+    (r";", SOFT + "."),
+    (r"[^a-z0-9|\n.]+", " "),
+    (r"\n[ \n]*\n", HARD),
+    (r"[.]+", " "),
+    (r"\n[ \n]*", SOFT),
+    (r" +", " "),
+    (r"[ \n|]*\|[ \n|]*", HARD),
+    (r" \n", SOFT),
+    (r"([|\n])(?:rem|dnl) ", "$1"),
+]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def known_pattern() -> str:
+    """A known sentence, the longest first, between marks; the number or letter of a list item may stand before it."""
+    return "(?<=[|\n])(?:[0-9a-z] )?(" + "|".join(s.replace(" ", "[ \n]") for s in sorted(SENTENCES, key=lambda s: (-len(s), s))) + ")(?=[|\n])"
+
+
 def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df and sentence_ids (array), licences (array, in the order of the rules), unmatched (array), licence_status."""
     new = ["sentence_ids", "licences", "unmatched", "licence_status"]
@@ -90,11 +115,11 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     known = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
     low = F.translate(F.coalesce(quoted(text_col).cast("string"), F.lit("")), UPPER, LOWER)
 
-    def normal(s: Column) -> Column:
-        return F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
-
-    sentences = F.filter(F.split(low, SENTENCE_END, -1), lambda s: s.rlike(CUES))
-    ids = F.filter(F.transform(sentences, lambda s: F.try_element_at(known, normal(s))), lambda x: x.isNotNull())
+    marked = F.concat(F.lit(HARD), F.translate(low, HARD, ","), F.lit(HARD))
+    for pattern, mark in MARKS:
+        marked = F.regexp_replace(marked, pattern, mark)
+    at = F.regexp_extract_all(marked, F.lit(known_pattern()), F.lit(1))
+    ids = F.transform(at, lambda s: F.element_at(known, F.translate(s, SOFT, " ")))
     ids = F.when(low.rlike(CUES), ids).otherwise(F.array().cast("array<string>"))
     out = df.select(*kept, ids.alias("sentence_ids"))
 

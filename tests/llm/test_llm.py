@@ -357,6 +357,84 @@ def test_licences(spark, odd):
     assert {i for run, _ in licenses.RULES for i in run.split()} <= set(licenses.SENTENCES.values())
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+GPL = """This program is free software{}
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program{} see <https://www.gnu.org/licenses/>."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+APACHE = """Copyright 2020 Someone
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2) Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD3 = """
+
+(3) Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+
+def test_wrapped_licences(spark):
+    """The standard texts as they stand in files, bare, with comment signs and other line ends, and on long lines."""
+    gpl3 = GPL.format(": you can redistribute it and/or modify", ", either", 3, ".  If not,")
+    gpl2 = GPL.format("; you can redistribute it and/or modify", "; either", 2, "; if not,")
+    wanted = {MIT: "MIT", "The MIT License\n(MIT)\n\n" + MIT: "MIT", gpl3: "GPL-3.0-or-later", gpl2: "GPL-2.0-or-later", MPL: "MPL-2.0", APACHE: "Apache-2.0", BSD: "BSD-2-Clause", BSD + BSD3: "BSD-3-Clause", ISC: "ISC"}
+    forms = [lambda t, a=a, end=end: end.join((a + x).rstrip() for x in t.split("\n")) for a in ("", "# ", " * ", "// ", "dnl ", "| ") for end in ("\n", "\r\n")]
+    forms += [lambda t: "/*\n" + t + "\n */\nint main;", lambda t: re.sub(r"(?<!\n)\n(?!\n)", " ", t)]
+    rows = [(k, form(t), w) for k, form in enumerate(forms) for t, w in wanted.items()]
+    for r in licenses.scan(spark.createDataFrame(rows, "form int, text string, want string")).collect():
+        assert (r["licences"], r["unmatched"], r["licence_status"]) == ([r["want"]], [], "recognised"), (r["form"], r["text"])
+    cut = ["Permission to use.\n\nMIT\n\nLicense", "mit. License", "MIT License terms", "Released under the\n\nMIT License v3"]
+    lines = ["x\nReleased under the MIT License\ny", "a. Licensed under\nCC BY 4.0!\nb", "Foo Inc. Licensed under the MIT license."]
+    long = [("license " + x * 70_000) for x in (";", "\n", ".", ". ", "#", ";\n", "|", " \n")]
+    out = [r["licences"] for r in licenses.scan(spark.createDataFrame([(t,) for t in cut + lines + long], "text string").coalesce(1)).collect()]
+    assert out == [[]] * 4 + [["MIT"], ["CC-BY-4.0"], ["MIT"]] + [[]] * len(long)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = docs
