@@ -279,6 +279,27 @@ def test_secrets(spark, docs):
     assert all(digest[i]["spans"] == kinds(brute_spans(t)) for i, t in docs.items())
 
 
+LETTERS = {c: "".join(map(chr, range(ord(c), ord(c) + 26))) for c in "aA"}
+RANDOM = {"digits": "0123456789", "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "lower": LETTERS["a"], "UPPER": LETTERS["A"], "base32": LETTERS["A"] + "234567", "base36": LETTERS["a"] + "0123456789", "letters": LETTERS["a"] + LETTERS["A"], "base64": LETTERS["a"] + LETTERS["A"] + "0123456789+/"}
+
+
+def masked(spark, texts):
+    rows = secrets.redact(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "i int, text string"))).collect()
+    return [r["text"] for r in sorted(rows, key=lambda r: r["i"])]
+
+
+@pytest.mark.parametrize("name", [""])
+def test_random_values_are_redacted_whole(spark, name):
+    rng = np.random.default_rng(8)
+    kinds = [(c, n) for c in RANDOM for n in (20, 32, 40)] + [(c, n) for c in ("HEX", "base36") for n in (16, 19)]
+    values = [(c, n, "".join(rng.choice(list(RANDOM[c]), n))) for c, n in kinds for _ in range(200)]
+    pad = lambda c: "==" if c == "base64" else ""
+    gone = collections.Counter()
+    for (c, n, v), t in zip(values, masked(spark, [f"set {name}{v}{pad(c)}, done" for c, n, v in values])):
+        gone[c, n] += t.endswith(" [SECRET], done") or t == f"set {name}[SECRET], done"
+    assert all(gone[k] >= 190 for k in kinds), gone
+
+
 def test_language(spark, odd):
     rows = queries.op8_language(spark, "/root/testdata/sf0.01")
     langs = dict(duckdb.sql("select doc_id, lang from '/root/testdata/sf0.01/documents.parquet'").fetchall())
