@@ -24,7 +24,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ASSIGN_LEAST = 12
 #: The classes' runs can't overlap a shorter one, so the least lengths (18 and 16) can stand in the patterns.
 ACCESS, HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
-CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
+#: An = ends a candidate, so that a name and its value are two; padding at a value's end belongs to it.
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 KINDS = ["assign", "access", "hex", "entropy"]
 WINDOW, PIECE = 20, 256
 #: Entropy (bits) that a window must reach: a class's pattern and its threshold, the first that fits holds. A threshold
@@ -39,7 +40,7 @@ CLASSES = [
 ]
 #: Candidates of 16 to 19 characters are one window as a whole. Letters alone (prose has such words), digits alone and
 #: lower-case hex (a pattern's) aren't among them; the thresholds are the 1 % quantiles for 16 characters.
-SHORT = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{16,19}={0,2}(?![A-Za-z0-9+/=_-])"
+SHORT = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{16,19}(?:={1,2}(?![A-Za-z0-9+/_=-])|(?![A-Za-z0-9+/_=-]))"
 SHORT_CLASSES = [
     (r"^(?=[0-9]*[A-F])(?=[A-F]*[0-9])[0-9A-F]+=*$", 2.66),
     (r"^(?![0-9a-f]+=*$)(?=.*[0-9])((?=.*[a-z])[a-z0-9]+|(?=.*[A-Z])[A-Z0-9]+)=*$", 3.08),

@@ -288,7 +288,7 @@ def masked(spark, texts):
     return [r["text"] for r in sorted(rows, key=lambda r: r["i"])]
 
 
-@pytest.mark.parametrize("name", [""])
+@pytest.mark.parametrize("name", ["", "key=", "SIGNING_KEY=", "SOME_LONG_SIGNING_KEY_NAME="])
 def test_random_values_are_redacted_whole(spark, name):
     rng = np.random.default_rng(8)
     kinds = [(c, n) for c in RANDOM for n in (20, 32, 40)] + [(c, n) for c in ("HEX", "base36") for n in (16, 19)]
