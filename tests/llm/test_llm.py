@@ -300,6 +300,15 @@ def test_random_values_are_redacted_whole(spark, name):
     assert all(gone[k] >= 190 for k in kinds), gone
 
 
+def test_allowed_words_do_not_hide_secrets(spark):
+    v = "q7Zr2XnB9sLw4TfKp0VhYc8MdJg5RaUe3iQo6WxN"
+    hidden = [f"sample_key={v}", f"{v[:18]}sample{v[18:]}", f"dummy/{v}", f"0123456789{v}"]
+    assert all(v[20:] not in t and "[SECRET]" in t for t in masked(spark, hidden))
+    plain = ["your-api-key-placeholder-here", "example_token_for_testing_1", "123e4567-e89b-12d3-a456-426614174000", "0123456789" * 9, "-" * 70_000, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "thanbleshaningtionnt", "nichtchzulichein", "4465758382889437"]
+    out = secrets.scan(spark.createDataFrame([(t,) for t in plain], "text string")).collect()
+    assert [r["text"] for r in out if any(s["kind"] == 3 for s in r["secret_spans"])] == []
+
+
 def test_language(spark, odd):
     rows = queries.op8_language(spark, "/root/testdata/sf0.01")
     langs = dict(duckdb.sql("select doc_id, lang from '/root/testdata/sf0.01/documents.parquet'").fetchall())
