@@ -13,7 +13,7 @@ Test items go to the executors in blocks of at most BLOCK_BYTES; each block is s
 findings are merged by document, so any number of items can be searched.
 
 Cases: a null or empty text has no words; a null or wordless item has no windows; repeated items count once per item
-id (a null id is left out); repeated rows each get their findings; empty tables give no findings.
+id (scan leaves a null id out, remove searches its text too); repeated rows each get their findings; empty tables give no findings.
 """
 
 from __future__ import annotations
@@ -199,8 +199,9 @@ def merged(spans):
 
 
 def remove(df: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text") -> DataFrame:
-    """df without the rows whose text holds a window of an item; its columns stay as they are."""
+    """df without the rows whose text holds a window of an item, with an id or without; its columns stay as they are."""
     names = df.columns
+    benchmark = benchmark.select(F.coalesce(quoted("item_id").cast("string"), F.lit("")).alias("item_id"), quoted("text"))
     safe = df.toDF(*[f"c{i}" for i in range(len(names))])  # no input column gives way to a finding
     out = scan(safe, benchmark, window, f"c{names.index(text_col)}").where(F.size("hit_spans") == 0)
     return out.drop("n_words", "hit_spans", "matches").toDF(*names)

@@ -225,6 +225,12 @@ def test_decontamination(spark, docs, odd):
     assert decontaminate.remove(odd, bench.limit(0)).count() == len(ODD)
 
 
+def test_items_without_an_id_are_removed(spark, odd):
+    bench = spark.createDataFrame([(None, "apache license version"), (None, "abcdefghijklmnop"), (None, None)], "item_id long, text string")
+    out = decontaminate.remove(odd, bench)
+    assert out.columns == odd.columns and sorted(str(r["doc_id"]) for r in out.collect()) == ["2", "3", "7", "8"]
+
+
 def test_blocks_of_items_give_the_same(spark, odd, monkeypatch):
     bench = spark.createDataFrame([(1, "words here licensed"), (2, "plain words here"), (3, "apache license")], "item_id long, text string").coalesce(1)
     pick = lambda df: sorted((str(r["doc_id"]), tuple(map(tuple, r["hit_spans"])), tuple(sorted(map(tuple, r["matches"])))) for r in df.collect())
