@@ -14,7 +14,7 @@ level, a key whose bit no other key shares takes that bit, and its slot is the b
 tells a key that was never indexed. A lookup reads a few bits whatever the number of keys.
 
 Cases: a null text is empty and holds only the end id; a null key is a key of its own and comes first; rows that share
-a key stand together (ordered by a hash of the text) and share one index entry, whose `rows` says how many they are;
+a key stand together (ordered by a hash of the text) and share one index entry, whose `rows` says how many they are (a table beside the index has them all);
 an empty table gives no shards and no rows. All files are written under a temporary name and renamed, so a task that
 runs twice leaves one whole file.
 """
@@ -146,8 +146,10 @@ def key_hash(col) -> F.Column:
 class TokenStore:
     """A written store."""
 
-    def __init__(self, spark: SparkSession, uri: str, shards: int, buckets: int, manifest: DataFrame, wide: bool):
+    def __init__(self, spark: SparkSession, uri: str, shards: int, buckets: int, manifest: DataFrame, wide: bool, repeats: DataFrame | None = None):
         self.spark, self.uri, self.shards, self.buckets, self.manifest, self.dtype = spark, uri, shards, buckets, manifest, "<u4" if wide else "<u2"
+        #: All rows (kh, shard, at, ids) of keys that several rows share; None if no rows do.
+        self.repeats = repeats
 
     @classmethod
     def write(cls, df: DataFrame, vocabulary: str, end_id: int, key_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> TokenStore:
@@ -215,9 +217,13 @@ class TokenStore:
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([len(keys_)], pa.int64())], names=["b", "keys"])
 
         written = by_bucket.select("b", "kh", "shard", "at", "ids", "rows").mapInArrow(write_index, "b int, keys long")
-        scratch.keep(written, "buckets")
+        own = scratch.keep(written, "buckets").agg(F.sum("keys")).first()[0] or 0
+        repeats = None
+        if own < sum(r["rows"] for r in per_shard):
+            shared = entries.groupBy("kh").count().where("count > 1").select("kh")
+            repeats = scratch.keep(entries.join(shared, "kh", "left_semi").select("kh", "shard", "at", "ids"), "repeats")
         scratch.drop("entries")
-        return cls(spark, uri, n, buckets, kept, wide)
+        return cls(spark, uri, n, buckets, kept, wide, repeats)
 
     def lookup(self, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
         """keys and, through the index, shard, at (ids within the shard) and rows; keys that aren't there go. One read of each bucket."""
@@ -252,12 +258,18 @@ class TokenStore:
         return src.mapInArrow(find, T.StructType(fields))
 
     def read(self, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
-        """Per key that is stored: its first row's token_ids (binary, unsigned 32-bit), start among the ids of all documents, n_tokens.
+        """Per stored row of a key: its token_ids (binary, unsigned 32-bit), start among the ids of all documents, n_tokens.
 
+        A key that several rows share gives each of them once, however often it is asked for; another gives its row each time.
         A shard's keys are read in order of their offsets, so reads of a shard go forward only.
         """
         uri, dtype = self.uri, self.dtype
-        found = self.lookup(keys, key_col).join(F.broadcast(self.manifest.select("shard", "before")), "shard")
+        found = self.lookup(keys, key_col)
+        if self.repeats is not None:
+            shared = found.where("rows > 1").select(quoted(key_col), "rows", key_hash(quoted(key_col)).alias("kh")).dropDuplicates(["kh"])
+            each = shared.join(self.repeats, "kh").select(quoted(key_col), "shard", "at", "ids", "rows")
+            found = found.where("rows = 1").unionByName(each)
+        found = found.join(F.broadcast(self.manifest.select("shard", "before")), "shard")
         src = found.repartitionById(self.shards, F.col("shard")).sortWithinPartitions("shard", "at").select(quoted(key_col), "shard", "at", "ids", "before", "rows")
         width = np.dtype(dtype).itemsize
 

@@ -83,6 +83,19 @@ def test_token_store(spark, docs, odd):
     assert token_store.TokenStore.write(odd.limit(0), queries.word_vocabulary(), 1).manifest.count() == 0
 
 
+def test_rows_that_share_a_key_are_read_back(spark):
+    """Each row once, with its own place, also where the rows of a key stand in several shards."""
+    texts = [(4, f"word {'again ' * n}") for n in range(40)] + [(5, "one"), (6, "two"), (6, "two"), (None, "no key"), (None, "none"), (7, None)]
+    t = Tokenizer.from_file(queries.word_vocabulary())
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    store = token_store.TokenStore.write(df, queries.word_vocabulary(), 1, shards=4)
+    rows = sorted(store.read(df.select("doc_id")).collect(), key=lambda r: r["start"])
+    ids = [(r["doc_id"], np.frombuffer(r["token_ids"], "<u4").tolist()) for r in rows]
+    assert sorted(ids, key=str) == sorted(((k, [*t.encode(x or "", add_special_tokens=False).ids, 1]) for k, x in texts), key=str)
+    assert [r["start"] for r in rows] == np.cumsum([0] + [r["n_tokens"] for r in rows])[:-1].tolist()
+    assert store.read(df.select("doc_id").where("doc_id = 6").limit(1)).count() == 2
+
+
 def test_perfect_hash():
     keys = hashing.mix(np.arange(1, 5001, dtype=np.uint64))
     made = token_store.PerfectHash.build(keys)
