@@ -38,6 +38,23 @@ class Node:
         return set().union(*[x.needed() for x in self.of])
 
 
+def expanded(n: Node, terms_of: Callable) -> Node:
+    """The tree with its multi-term leaves ("multi": a test and how many terms at most) as alternatives of terms_of(test, most + 1)."""
+    if n.op != "multi":
+        of = tuple(expanded(x, terms_of) for x in n.of)
+        return n if of == n.of else Node(n.op, of, n.args)
+    test, most = n.args
+    found = terms_of(test, most + 1)
+    if len(found) > most:
+        raise ValueError(f"more than {most} terms for a position")
+    return Node("or", tuple(term(t) for t in found)) if found else Node("none")
+
+
+def multi(test: Callable, most: int = 128) -> Node:
+    """All terms of the corpus that pass a test of the term column, at most so many."""
+    return Node("multi", (), (test, most))
+
+
 def term(t: str) -> Node:
     return Node("term", (), (t,))
 
@@ -54,6 +71,12 @@ def spans(n: Node, at: Positions) -> list[Span]:
     return sorted(set(SPANS[n.op](n, at)))
 
 
+def collected(n: Node, at: Positions) -> list[tuple[Span, list[tuple[str, int]]]]:
+    """Each span with the leaves (term, place) that lie in it, by place: what a collector of spans is given."""
+    leaves = sorted({(p, t) for t in n.terms() for p in at.get(t, [])})
+    return [(s, [(t, p) for p, t in leaves if s[0] <= p < s[1]]) for s in spans(n, at)]
+
+
 def _near(n: Node, at: Positions) -> list[Span]:
     """Spans of all sources, one of each, whose total length is within slop of what they cover."""
     slop, ordered = n.args
@@ -101,6 +124,7 @@ SPANS: dict[str, Callable] = {
     "position_range": lambda n, at: [s for s in spans(n.of[0], at) if s[0] >= n.args[0] and s[1] <= n.args[1]],
     "containing": lambda n, at: [b for b in spans(n.of[0], at) if any(b[0] <= s and e <= b[1] for s, e in spans(n.of[1], at))],
     "within": lambda n, at: [x for x in spans(n.of[1], at) if any(b <= x[0] and x[1] <= e for b, e in spans(n.of[0], at))],
+    "check": lambda n, at: [s for s in spans(n.of[0], at) if n.args[0](*s)],
     "none": lambda n, at: [],
 }
 
@@ -112,116 +136,126 @@ def span_freq(found: list[Span]) -> float:
 # ---- intervals
 
 
-def minimal(found: list[Span]) -> list[Span]:
+class Interval(tuple):
+    """(start, end, gaps): gaps are the places between the parts that no part covers."""
+
+    def __new__(cls, start: int, end: int, gaps: int = 0):
+        return super().__new__(cls, (start, end, gaps))
+
+
+def over(parts: list) -> Interval:
+    """The interval over its parts."""
+    start, end = min(p[0] for p in parts), max(p[1] for p in parts)
+    return Interval(start, end, end - start + 1 - sum(p[1] - p[0] + 1 for p in parts))
+
+
+def minimal(found: list) -> list:
     """Those that contain no other, sorted."""
-    out: list[Span] = []
-    for s in sorted(set(found), key=lambda x: (x[1], -x[0])):
+    out: list = []
+    for s in sorted(found, key=lambda x: (x[1], -x[0])):
         if not out or s[0] > out[-1][0]:
             out.append(s)
     return out
 
 
-def intervals(n: Node, at: Positions) -> list[Span]:
-    """The minimal intervals of a tree, sorted."""
+def gapped(n: Node, at: Positions) -> list[Interval]:
+    """The minimal intervals of a tree with their gaps, sorted."""
     found = INTERVALS[n.op](n, at)
     return sorted(found) if n.op in ("extend", "before", "after") else minimal(found) if n.op in ("or", "ordered", "unordered", "at_least", "unordered_no_overlaps", "phrase") else found
 
 
-def _ordered(n: Node, at: Positions) -> list[Span]:
-    parts = [intervals(x, at) for x in n.of]
+def intervals(n: Node, at: Positions) -> list[Span]:
+    """The minimal intervals of a tree, sorted."""
+    return [(x[0], x[1]) for x in gapped(n, at)]
+
+
+def _ordered(n: Node, at: Positions) -> list[Interval]:
+    parts = [gapped(x, at) for x in n.of]
     out = []
     for first in parts[0] if all(parts) else []:
-        end = first[1]
+        chosen = [first]
         for part in parts[1:]:
-            k = bisect_left(part, (end + 1, -1))
+            k = bisect_left(part, (chosen[-1][1] + 1, -1))
             if k == len(part):
                 break
-            end = part[k][1]
+            chosen.append(part[k])
         else:
-            out.append((first[0], end))
+            out.append(over(chosen))
     return out
 
 
-def _phrase(n: Node, at: Positions) -> list[Span]:
-    parts = [intervals(x, at) for x in n.of]
-    out = []
-    for first in parts[0] if all(parts) else []:
-        end = first[1]
-        for part in parts[1:]:
-            k = bisect_left(part, (end + 1, -1))
-            if k == len(part) or part[k][0] != end + 1:
-                break
-            end = part[k][1]
-        else:
-            out.append((first[0], end))
-    return out
+def _phrase(n: Node, at: Positions) -> list[Interval]:
+    return [Interval(x[0], x[1]) for x in _ordered(n, at) if x[2] == 0]
 
 
-def _windows(parts: list[list[Span]], least: int, overlaps: bool = True) -> list[Span]:
+def _windows(parts: list[list[Interval]], least: int) -> list[Interval]:
     """Minimal windows that hold an interval of at least `least` of the parts."""
-    marks = sorted((s, e, k) for k, p in enumerate(parts) for s, e in p)
+    marks = sorted((x[0], x[1], k) for k, p in enumerate(parts) for x in p)
     out = []
     for i, (start, _, _) in enumerate(marks):
-        best: dict[int, int] = {}
+        best: dict[int, Interval] = {}
         for s, e, k in marks[i:]:
-            if k not in best or e < best[k]:
-                best[k] = min(e, best.get(k, e))
-        ends = sorted(best.values())
+            if k not in best or e < best[k][1]:
+                best[k] = Interval(s, e)
+        ends = sorted(best.values(), key=lambda x: x[1])
         if len(ends) >= least:
-            out.append((start, ends[least - 1]))
+            held = [x for x in ends[:least]]
+            out.append(Interval(start, held[-1][1], held[-1][1] - start + 1 - sum(x[1] - x[0] + 1 for x in held)))
     return out
 
 
-def _unordered(n: Node, at: Positions) -> list[Span]:
-    parts = [intervals(x, at) for x in n.of]
-    return _windows(parts, len(parts)) if all(parts) else []
+def repeated(x: list[Interval], n: int) -> list[Interval]:
+    """Runs of n intervals of a source."""
+    return [over(x[i : i + n]) for i in range(len(x) - n + 1)]
+
+
+def _unordered(n: Node, at: Positions) -> list[Interval]:
+    """Equal sources need as many different intervals."""
+    parts = [repeated(gapped(x, at), n.of.count(x)) for x in dict.fromkeys(n.of)]
+    if not all(parts):
+        return []
+    return parts[0] if len(parts) == 1 else _windows(parts, len(parts))
 
 
-def _apart(n: Node, at: Positions) -> list[Span]:
+def _apart(n: Node, at: Positions) -> list[Interval]:
     """Two sources in any order that don't overlap."""
     a, b = n.of
     return _ordered(Node("ordered", (a, b)), at) + _ordered(Node("ordered", (b, a)), at)
 
 
 def _where(test: Callable[[Span, Span], bool], any_: bool) -> Callable:
-    def run(n: Node, at: Positions) -> list[Span]:
-        other = intervals(n.of[1], at)
-        return [a for a in intervals(n.of[0], at) if any(test(a, b) for b in other) == any_]
+    def run(n: Node, at: Positions) -> list[Interval]:
+        other = gapped(n.of[1], at)
+        return [a for a in gapped(n.of[0], at) if any(test(a, b) for b in other) == any_]
 
     return run
 
 
-def _gaps(n: Node, at: Positions) -> list[Span]:
-    """Intervals of an ordered or unordered source with at most so many places between their parts."""
-    inner = n.of[0]
-    width = len(inner.of) or 1
-    return [(s, e) for s, e in intervals(inner, at) if e - s + 1 - width <= n.args[0]]
-
-
 contains = lambda a, b: a[0] <= b[0] and b[1] <= a[1]
 overlap = lambda a, b: a[0] <= b[1] and b[0] <= a[1]
 INTERVALS: dict[str, Callable] = {
-    "term": lambda n, at: [(p, p) for p in at.get(n.args[0], [])],
+    "term": lambda n, at: [Interval(p, p) for p in at.get(n.args[0], [])],
     "phrase": _phrase,
     "ordered": _ordered,
     "unordered": _unordered,
     "unordered_no_overlaps": _apart,
-    "or": lambda n, at: [s for x in n.of for s in intervals(x, at)],
-    "at_least": lambda n, at: _windows([intervals(x, at) for x in n.of], n.args[0]),
+    "or": lambda n, at: [s for x in n.of for s in gapped(x, at)],
+    "at_least": lambda n, at: _windows([gapped(x, at) for x in n.of], n.args[0]),
     "containing": _where(contains, True),
     "contained_by": _where(lambda a, b: contains(b, a), True),
     "not_containing": _where(contains, False),
     "not_contained_by": _where(lambda a, b: contains(b, a), False),
     "overlapping": _where(overlap, True),
     "non_overlapping": _where(overlap, False),
-    "within": lambda n, at: [a for a in intervals(n.of[0], at) if any(overlap((a[0] - n.args[0], a[1] + n.args[0]), b) for b in intervals(n.of[1], at))],
-    "not_within": lambda n, at: [a for a in intervals(n.of[0], at) if not any(overlap((a[0] - n.args[0], a[1] + n.args[0]), b) for b in intervals(n.of[1], at))],
-    "before": lambda n, at: (lambda r: [a for a in intervals(n.of[0], at) if r and a[1] < r[-1][0]])(intervals(n.of[1], at)),
-    "after": lambda n, at: (lambda r: [a for a in intervals(n.of[0], at) if r and a[0] > r[0][1]])(intervals(n.of[1], at)),
-    "extend": lambda n, at: [(max(0, s - n.args[0]), e + n.args[1]) for s, e in intervals(n.of[0], at)],
-    "max_width": lambda n, at: [(s, e) for s, e in intervals(n.of[0], at) if e - s + 1 <= n.args[0]],
-    "max_gaps": _gaps,
-    "repeating": lambda n, at: (lambda x: [(a[0], b[1]) for a, b in zip(x, x[n.args[0] - 1 :])])(intervals(n.of[0], at)),
+    "within": lambda n, at: [a for a in gapped(n.of[0], at) if any(overlap((a[0] - n.args[0], a[1] + n.args[0]), b) for b in gapped(n.of[1], at))],
+    "not_within": lambda n, at: [a for a in gapped(n.of[0], at) if not any(overlap((a[0] - n.args[0], a[1] + n.args[0]), b) for b in gapped(n.of[1], at))],
+    "before": lambda n, at: (lambda r: [a for a in gapped(n.of[0], at) if r and a[1] < r[-1][0]])(gapped(n.of[1], at)),
+    "after": lambda n, at: (lambda r: [a for a in gapped(n.of[0], at) if r and a[0] > r[0][1]])(gapped(n.of[1], at)),
+    "extend": lambda n, at: [Interval(max(0, s - n.args[0]), e + n.args[1], g) for s, e, g in gapped(n.of[0], at)],
+    "max_width": lambda n, at: [x for x in gapped(n.of[0], at) if x[1] - x[0] + 1 <= n.args[0]],
+    "max_gaps": lambda n, at: [x for x in gapped(n.of[0], at) if x[2] <= n.args[0]],
+    "repeating": lambda n, at: repeated(gapped(n.of[0], at), n.args[0]),
+    "check": lambda n, at: [x for x in gapped(n.of[0], at) if n.args[0](x[0], x[1])],
     "none": lambda n, at: [],
 }
 
@@ -248,19 +282,49 @@ def extent(n: Node) -> int:
 # ---- sloppy phrases
 
 
-def sloppy_freq(parts: list[list[int]], slop: int) -> float:
-    """Sum of 1 / (1 + distance) of the alignments within slop; parts are positions less their place in the phrase, sorted."""
+def sloppy_freq(parts: list[list[int]], slop: int, places: list[int] | None = None, groups: list[int] | None = None) -> float:
+    """Sum of 1 / (1 + distance) of the alignments within slop; parts are positions less their place in the phrase, sorted.
+
+    Of an alignment, the earliest part moves on until it is not the earliest any more; the closest state on the way counts.
+    Parts of one group share terms, and never stand on the same occurrence: of two that do, the earlier one moves on.
+    """
     if not all(parts):
         return 0.0
-    heads, total = [0] * len(parts), 0.0
+    n = len(parts)
+    places, groups = places or list(range(n)), groups or list(range(n))
+    heads = [0] * n
+    now = [p[0] for p in parts]
+    mates = [[j for j in range(n) if j != i and groups[j] == groups[i]] for i in range(n)]
+
+    def move(i: int) -> bool:
+        heads[i] += 1
+        if heads[i] == len(parts[i]):
+            return False
+        now[i] = parts[i][heads[i]]
+        return True
+
+    def settle(i: int) -> bool:
+        while True:
+            j = next((j for j in mates[i] if now[j] + places[j] == now[i] + places[i]), None)
+            if j is None:
+                return True
+            i = min(i, j, key=lambda x: (now[x], places[x]))
+            if not move(i):
+                return False
+
+    if not all(settle(i) for i in range(n)):
+        return 0.0
+    total, high = 0.0, max(now)
     while True:
-        now = [p[h] for p, h in zip(parts, heads)]
-        low, high = min(now), max(now)
-        k = now.index(low)
-        heads[k] += 1
-        ended = heads[k] == len(parts[k])
-        # a closer alignment of the same others may follow
-        if high - low <= slop and (ended or parts[k][heads[k]] > min(x for i, x in enumerate(now) if i != k or len(now) == 1) or high - parts[k][heads[k]] >= high - low):
-            total += 1.0 / (1.0 + high - low)
-        if ended:
-            return total
+        k = min(range(n), key=lambda x: (now[x], places[x]))
+        rest = min((now[j] for j in range(n) if j != k), default=now[k])
+        best = high - now[k]
+        while move(k) and settle(k):
+            high = max(high, *now) if n > 1 else now[k]
+            if now[k] > rest or n == 1:
+                break
+            best = min(best, high - now[k])
+        else:
+            return total + (1.0 / (1.0 + best) if best <= slop else 0.0)
+        if best <= slop:
+            total += 1.0 / (1.0 + best)

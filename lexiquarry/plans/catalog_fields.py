@@ -99,8 +99,8 @@ counts("term_statistics", lambda c: c.term_stats("text"), f"{_P} SELECT 'text' A
 counts("collection_statistics", lambda c: c.collection_stats("text"), f"{_P} SELECT 'text' AS field, (SELECT count(*) FROM d) AS max_doc, count(DISTINCT doc_id) AS doc_count, count(*) AS sum_ttf, count(DISTINCT (doc_id, term)) AS sum_df FROM p")
 counts("postings", lambda c: c.postings("text").where("term = 'that'"), f"WITH d AS (SELECT doc_id, {TOKENS} AS toks FROM documents), p AS (SELECT doc_id, generate_subscripts(toks, 1) - 1 AS pos, unnest(toks) AS term FROM d) SELECT 'text' AS field, term, doc_id, pos FROM p WHERE term = 'that'")
 counts("count_query", lambda c: c.count(q.Bool(should=(q.Term("text", "that"), q.Term("text", "que")))), f"WITH d AS (SELECT {TOKENS} AS toks FROM documents) SELECT count(*) AS n FROM d WHERE list_contains(toks, 'that') OR list_contains(toks, 'que')")
-counts("term_freq", lambda c: c.rows.select("doc_id", c.tf("text", "that").alias("tf"), F.round(F.sqrt(c.tf("text", "that")), 6).alias("root"), c.length("text").alias("length")), f"WITH d AS (SELECT doc_id, {TOKENS} AS toks FROM documents), e AS (SELECT doc_id, len(list_filter(toks, lambda x: x = 'that'))::DOUBLE AS tf, len(toks)::DOUBLE AS length FROM d) SELECT doc_id, tf, round(sqrt(tf), 6) AS root, length FROM e")
-counts("norm_coded_length", lambda c: c.rows.select("doc_id", sim.coded_length(F.size(c.toks("text"))).cast("long").alias("coded")), f"WITH d AS (SELECT doc_id, len({TOKENS}) - 24 AS x FROM documents), e AS (SELECT doc_id, x, greatest(length(bin(greatest(x, 1))) - 4, 0) AS sh FROM d) SELECT doc_id, CASE WHEN x < 16 THEN x + 24 ELSE ((x >> sh) << sh) + 24 END AS coded FROM e")
+counts("term_freq", lambda c: c.project(lambda c: [F.col("doc_id"), c.tf("text", "that").alias("tf"), F.round(F.sqrt(c.tf("text", "that")), 6).alias("root"), c.length("text").alias("length")]), f"WITH d AS (SELECT doc_id, {TOKENS} AS toks FROM documents), e AS (SELECT doc_id, len(list_filter(toks, lambda x: x = 'that'))::DOUBLE AS tf, len(toks)::DOUBLE AS length FROM d) SELECT doc_id, tf, round(sqrt(tf), 6) AS root, length FROM e")
+counts("norm_coded_length", lambda c: c.project(lambda c: [F.col("doc_id"), sim.coded_length(c.length("text").cast("int")).cast("long").alias("coded")]), f"WITH d AS (SELECT doc_id, len({TOKENS}) - 24 AS x FROM documents), e AS (SELECT doc_id, x, greatest(length(bin(greatest(x, 1))) - 4, 0) AS sh FROM d) SELECT doc_id, CASE WHEN x < 16 THEN x + 24 ELSE ((x >> sh) << sh) + 24 END AS coded FROM e")
 
 # ---- vectors
 _V = [round(0.1 * ((7 * i) % 11) - 0.5, 1) for i in range(64)]

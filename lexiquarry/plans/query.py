@@ -1,8 +1,4 @@
-"""Queries as trees that compile to one column of matches and one of scores over the rows of a corpus.
-
-Nothing is joined or shuffled to match: a query is evaluated where a document lies. What scoring needs of the whole
-corpus (documents with a term, occurrences, lengths) is one aggregation, read back as a scalar subquery.
-"""
+"""Queries as trees that compile to one column of matches and one of scores over the slots of a corpus (see corpus.py)."""
 
 from __future__ import annotations
 
@@ -11,139 +7,15 @@ import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, fields, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lexiquarry.functions import similarity as sim
-from lexiquarry.functions.analysis import ANALYZERS, Analyzer
 from lexiquarry.operators import positions as pos
+from lexiquarry.plans.corpus import Corpus, Stats
 
 ZERO = lambda: F.lit(0.0)
 
 
-class Corpus:
-    """Documents with a key, and the analyzed text fields that queries can name.
-
-    Tokens are computed in the scan; `stored` keeps them in a table instead, for repeated queries.
-    """
-
-    def __init__(self, docs: DataFrame, key: str = "doc_id", text: dict[str, str | Analyzer] | None = None, similarity=None):
-        self.key, self.similarity = key, similarity or sim.bm25()
-        self.analyzers = {f: ANALYZERS[a] if isinstance(a, str) else a for f, a in (text or {"text": "simple_ascii"}).items()}
-        self.docs, self.named = docs, {}
-        self.rows = docs.withColumns({f"_t_{f}": a(F.col(f)) for f, a in self.analyzers.items()})
-
-    def stored(self, path: str) -> Corpus:
-        """The same corpus with its tokens in a Parquet table at path."""
-        self.rows.write.mode("overwrite").parquet(path)
-        out = object.__new__(Corpus)
-        out.__dict__ = self.__dict__ | {"rows": self.docs.sparkSession.read.parquet(path)}
-        return out
-
-    def model(self, field_: str):
-        return self.similarity.of(field_) if isinstance(self.similarity, sim.PerField) else self.similarity
-
-    # columns of a row
-
-    def toks(self, f: str) -> Column:
-        return F.col(f"_t_{f}")
-
-    def tf(self, f: str, term: str) -> Column:
-        if (f, term) in self.named:
-            return F.col(self.named[f, term])
-        return F.size(F.filter(self.toks(f), lambda t: t["term"] == term)).cast("double")
-
-    def places(self, f: str, term: str) -> Column:
-        return F.transform(F.filter(self.toks(f), lambda t: t["term"] == term), lambda t: t["pos"])
-
-    def length(self, f: str) -> Column:
-        return F.size(self.toks(f)).cast("double")
-
-    def has(self, f: str, test: Callable[[Column], Column]) -> Column:
-        return F.exists(self.toks(f), lambda t: test(t["term"]))
-
-    # tables
-
-    def postings(self, f: str) -> DataFrame:
-        """(field, term, key, pos)."""
-        return self.rows.select(F.lit(f).alias("field"), F.col(self.key), F.explode(self.toks(f)).alias("t")).select("field", "t.term", self.key, "t.pos")
-
-    def term_stats(self, f: str) -> DataFrame:
-        """(field, term, df, ttf): occurrences are counted per document before documents are."""
-        own = self.rows.select(self.key, F.explode(F.transform(self.toks(f), lambda t: t["term"])).alias("term")).groupBy("term", self.key).agg(F.count("*").alias("n"))
-        return own.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("ttf")).select(F.lit(f).alias("field"), "term", "df", "ttf")
-
-    def collection_stats(self, f: str) -> DataFrame:
-        """(field, max_doc, doc_count, sum_ttf, sum_df)."""
-        n = F.size(self.toks(f))
-        return self.rows.agg(F.count("*").alias("max_doc"), F.count(F.when(n > 0, 1)).alias("doc_count"), F.sum(n).alias("sum_ttf"), F.sum(F.size(F.array_distinct(F.transform(self.toks(f), lambda t: t["term"])))).alias("sum_df")).select(F.lit(f).alias("field"), "*")
-
-    def expanded(self, f: str, test: Callable[[Column], Column], rank: Callable[[Column], Column] | None = None, limit: int = 50) -> list[str]:
-        """At most `limit` terms of the field that pass test, by rank (greatest first), then term."""
-        words = self.rows.select(F.explode(F.array_distinct(F.filter(F.transform(self.toks(f), lambda t: t["term"]), test))).alias("term")).distinct()
-        order = [rank(F.col("term")).desc()] if rank else []
-        return [r["term"] for r in words.orderBy(*order, "term").limit(limit).collect()]
-
-    # running a query
-
-    def stats(self, needs: Iterable[tuple[str, str | None]]) -> Stats:
-        needs = sorted(set(needs) | {(f, None) for f, _ in needs}, key=str)
-        return Stats(self, needs) if needs else Stats(self, [])
-
-    def prepared(self, query: Query) -> Corpus:
-        """The same corpus with a column for each count that the query uses several times."""
-        made = {n: (f"_tf{i}", self.tf(*n)) for i, n in enumerate(dict.fromkeys(query.needs()))}
-        for x in query.walk():
-            if isinstance(x, (Phrase, Positional)):
-                made[x] = (f"_f{len(made)}", x.counted(self))
-        out = object.__new__(Corpus)
-        out.__dict__ = self.__dict__ | {"rows": self.rows.withColumns(dict(made.values())) if made else self.rows, "named": {n: name for n, (name, _) in made.items()}}
-        return out
-
-    def search(self, query: Query) -> DataFrame:
-        """(key, score) of every matching document."""
-        query = query.rewritten(self)
-        stats, c = self.stats(query.needs()), self.prepared(query)
-        return c.rows.where(query.match(c)).select(self.key, query.score(c, stats).alias("score"))
-
-    def top(self, query: Query, k: int, after: tuple[float, object] | None = None) -> DataFrame:
-        """The k best by score, then key; after: those behind this (score, key)."""
-        found = self.search(query)
-        if after is not None:
-            found = found.where((F.col("score") < after[0]) | ((F.col("score") == after[0]) & (F.col(self.key) > F.lit(after[1]))))
-        return found.orderBy(F.col("score").desc(), self.key).limit(k)
-
-    def count(self, query: Query) -> DataFrame:
-        return self.rows.where(query.rewritten(self).match(self)).agg(F.count("*").alias("n"))
-
-
-class Stats:
-    """Numbers of the whole corpus, from one aggregation that a scalar subquery reads."""
-
-    def __init__(self, corpus: Corpus, needs: list[tuple[str, str | None]]):
-        self.at = {n: i for i, n in enumerate(needs)}
-        if not needs:
-            return
-        parts = []
-        for f, t in needs:
-            n = corpus.length(f) if t is None else corpus.tf(f, t)
-            parts.append(F.struct(F.count(F.when(n > 0, 1)).cast("double").alias("n"), F.coalesce(F.sum(n), F.lit(0.0)).alias("sum")))
-        self.all = corpus.rows.agg(F.array(*parts).alias("s")).select("s").scalar()
-
-    def df(self, f: str, t: str) -> Column:
-        return self.all[self.at[f, t]]["n"]
-
-    def ttf(self, f: str, t: str) -> Column:
-        return self.all[self.at[f, t]]["sum"]
-
-    def docs(self, f: str) -> Column:
-        return self.all[self.at[f, None]]["n"]
-
-    def tokens(self, f: str) -> Column:
-        return self.all[self.at[f, None]]["sum"]
-
-
 @dataclass(frozen=True)
 class Query:
     """The base: what a query needs of the corpus, whether a row matches, and its score there."""
@@ -174,10 +46,35 @@ class Query:
         """The score where the query matches, else null."""
         return F.when(self.match(c), self.score(c, s))
 
+    def required(self, c: Corpus) -> Column | None:
+        """A condition on slots without which the query can't match, if it has a cheap one."""
+        return None
+
+    def tree(self, depth: int = 0) -> Iterable[tuple[int, Query]]:
+        """The query and all below it with their depths, parents first."""
+        yield depth, self
+        for f in fields(self):
+            x = getattr(self, f.name)
+            for y in x if isinstance(x, tuple) else (x,):
+                for z in y if isinstance(y, tuple) else (y,):
+                    if isinstance(z, Query):
+                        yield from z.tree(depth + 1)
+
+    def named(self) -> str:
+        """A line that describes this clause."""
+        simple = [f"{f.name}={getattr(self, f.name)}" for f in fields(self) if isinstance(getattr(self, f.name), (str, int, float, bool))]
+        return f"{type(self).__name__}({', '.join(simple)})"
+
+    def term_sets(self) -> list[tuple[str, list[str]]]:
+        """The terms that scoring needs, by field."""
+        needs = sorted(set(self.needs()))
+        return [(f, [t for g, t in needs if g == f]) for f in dict.fromkeys(f for f, _ in needs)]
+
 
 @dataclass(frozen=True)
 class MatchAll(Query):
     def match(self, c):
+        c.every()
         return F.lit(True)
 
 
@@ -198,7 +95,7 @@ class Term(Query):
         return [(self.field, self.term)]
 
     def match(self, c):
-        return c.tf(self.field, self.term) > 0 if (self.field, self.term) in c.named else c.has(self.field, lambda t: t == self.term)
+        return c.tf(self.field, self.term) > 0
 
     def score(self, c, s):
         return c.model(self.field).score(c.tf(self.field, self.term), c.length(self.field), s.df(self.field, self.term), s.ttf(self.field, self.term), s.docs(self.field), s.tokens(self.field))
@@ -211,6 +108,8 @@ class Where(Query):
     predicate: Callable[[], Column]
 
     def match(self, c):
+        c.every()
+        c.reads_docs()
         return F.coalesce(self.predicate(), F.lit(False))
 
 
@@ -225,7 +124,7 @@ class TermInSet(Query):
     terms: tuple[str, ...]
 
     def match(self, c):
-        return c.has(self.field, lambda t: t.isin(list(self.terms)))
+        return c.holds(self.field, self.terms)
 
 
 @dataclass(frozen=True)
@@ -239,6 +138,9 @@ class Boost(Query):
     def match(self, c):
         return self.query.match(c)
 
+    def required(self, c):
+        return self.query.required(c)
+
     def score(self, c, s):
         return self.query.score(c, s) * float(self.by)
 
@@ -257,6 +159,9 @@ class Constant(Query):
     def match(self, c):
         return self.query.match(c)
 
+    def required(self, c):
+        return self.query.required(c)
+
     def score(self, c, s):
         return F.lit(float(self.value))
 
@@ -306,6 +211,13 @@ class Bool(Query):
             out = out & ~q.match(c)
         return out
 
+    def required(self, c):
+        out = None
+        for q in (*self.must, *self.filter):
+            own = q.match(c) if isinstance(q, Term) else q.required(c)
+            out = own if out is None else out if own is None else out & own
+        return out
+
     def score(self, c, s):
         total = ZERO()
         for q in self.must:
@@ -434,10 +346,10 @@ class CommonTerms(Query):
     low_all: bool = False
 
     def rewritten(self, c):
-        row = c.rows.agg(F.count("*").alias("n"), *[F.count(F.when(Term(self.field, t).match(c), 1)).alias(f"t{i}") for i, t in enumerate(self.terms)]).first()
-        limit = self.most * row["n"] if self.most < 1 else self.most
-        low = tuple(Term(self.field, t) for i, t in enumerate(self.terms) if row[f"t{i}"] <= limit)
-        high = tuple(Term(self.field, t) for i, t in enumerate(self.terms) if row[f"t{i}"] > limit)
+        total, df = c.doc_freqs(self.field, list(self.terms))
+        limit = self.most * total if self.most < 1 else self.most
+        low = tuple(Term(self.field, t) for t in self.terms if df[t] <= limit)
+        high = tuple(Term(self.field, t) for t in self.terms if df[t] > limit)
         if not low:
             return Bool(must=high) if high else MatchNone("no terms")
         need = Bool(must=low) if self.low_all else Bool(should=low)
@@ -449,7 +361,10 @@ class CommonTerms(Query):
 
 @dataclass(frozen=True)
 class MultiTerm(Query):
-    """Documents with any term that passes a test, score 1; scoring=True scores at most `limit` best terms as they are."""
+    """Documents with any term that passes a test, score 1.
+
+    scoring=True scores the terms as they are: the `limit` best by rank; without a rank more than `limit` are an error.
+    """
 
     field: str
     test: Callable[[Column], Column]
@@ -464,7 +379,9 @@ class MultiTerm(Query):
     def rewritten(self, c):
         if not self.scoring:
             return self
-        found = c.expanded(self.field, self.test, self.rank, self.limit)
+        found = c.expanded(self.field, self.test, self.rank, self.limit + (self.rank is None))
+        if self.rank is None and len(found) > self.limit:
+            raise ValueError(f"more than {self.limit} terms of {self.field} to score")
         return Bool(should=tuple(Boost(Term(self.field, t), self.boosts(t) if self.boosts else 1.0) for t in found)).rewritten(c) if found else MatchNone("no term")
 
 
@@ -490,6 +407,21 @@ def wildcard(f: str, pattern: str, **kw) -> MultiTerm:
     return MultiTerm(f, lambda t: t.rlike(wildcard_regex(pattern)), **kw)
 
 
+def numbers(low: int, high: int) -> str:
+    """A pattern of the decimal numbers low to high: at most two alternatives for each digit and length."""
+    parts, low = [], max(low, 0)
+    while low <= high:
+        zeros = 0  # how many trailing digits can run freely from low on
+        while low % 10 ** (zeros + 1) == 0 and low + 10 ** (zeros + 1) - 1 <= high and low:
+            zeros += 1
+        step = 10**zeros
+        last = min((high - low + 1) // step - 1, 9 - low // step % 10)
+        head, digit = str(low // step)[:-1], low // step % 10
+        parts.append(f"{head}[{digit}-{digit + last}]" + (f"[0-9]{{{zeros}}}" if zeros else ""))
+        low += (last + 1) * step
+    return "|".join(parts) or "(?!)"
+
+
 def regexp_java(pattern: str) -> str:
     """The term dialect in Java's: `@` is any string, `#` none, `<a-b>` a number, `~x` all but x, `x&y` both; whole terms match."""
     def both(p: str) -> str:
@@ -509,7 +441,7 @@ def regexp_java(pattern: str) -> str:
     def one(p: str) -> str:
         if p.startswith("~"):
             return f"(?!(?:{one(p[1:])})$).*"
-        p = re.sub(r"<(\d+)-(\d+)>", lambda m: "(?:" + "|".join(f"0*{i}" for i in range(int(m[1]), int(m[2]) + 1)) + ")", p)
+        p = re.sub(r"<(\d+)-(\d+)>", lambda m: "0*(?:" + numbers(int(m[1]), int(m[2])) + ")", p)
         return re.sub(r"(?<!\\)@", ".*", re.sub(r"(?<!\\)#", "(?!)", p))
 
     return f"^(?s:{both(pattern)})$"
@@ -564,7 +496,7 @@ class Fuzzy(MultiTerm):
     transpose: bool = True
 
     def rewritten(self, c):
-        words = c.rows.select(F.explode(F.array_distinct(F.filter(F.transform(c.toks(self.field), lambda t: t["term"]), self.test))).alias("term")).distinct()
+        words = c.dictionary(self.field).where(self.test(F.col("term"))).select("term")
         wanted, transpose = self.term, self.transpose
         d = F.udf(lambda t: edits(wanted, t, transpose), "int", useArrow=True)(F.col("term"))
         worth = F.when(F.col("term") == self.term, 1.0).otherwise(1 - F.col("d") / F.least(F.char_length("term"), F.lit(len(self.term))))
@@ -594,30 +526,34 @@ class Phrase(Query):
     def lists(self, c: Corpus) -> list[Column]:
         """Per place, positions less the place."""
         def one(ts, p):
-            return F.transform(F.filter(c.toks(self.field), lambda t: t["term"].isin(list(ts))), lambda t: t["pos"] - p)
+            own = [c.places(self.field, t) for t in ts]
+            return F.transform(F.concat(*own) if len(own) > 1 else own[0], lambda x: x - p)
 
         return [one(ts, p) for ts, p in zip(self.terms, self.at())]
 
     def freq(self, c: Corpus) -> Column:
-        return F.col(c.named[self]) if self in c.named else self.counted(c)
-
-    def counted(self, c: Corpus) -> Column:
         parts = self.lists(c)
         if self.slop:
-            slop = self.slop
-            run = F.udf(lambda xs: pos.sloppy_freq([sorted(x) for x in xs], slop), "double", useArrow=True)
-            return F.when(self.candidates(c), run(F.array(*parts))).otherwise(0.0)
+            slop, at, groups = self.slop, self.at(), self.sharing()
+            return c.count_of(self, self.candidates(c), parts, lambda xs: pos.sloppy_freq(xs, slop, at, groups))
         both = parts[0]
         for p in parts[1:]:
             both = F.array_intersect(both, p)
         return F.when(self.candidates(c), F.size(both).cast("double")).otherwise(0.0)
 
+    def sharing(self) -> list[int]:
+        """The place of the phrase whose terms each one shares (its own if none): one occurrence can't serve both."""
+        return [next(j for j in range(i + 1) if set(self.terms[j]) & set(self.terms[i])) for i in range(len(self.terms))]
+
     def candidates(self, c: Corpus) -> Column:
         out = F.lit(True)
         for ts in self.terms:
-            out = out & c.has(self.field, lambda t, ts=ts: t.isin(list(ts)))
+            out = out & c.holds(self.field, ts)
         return out
 
+    def required(self, c):
+        return self.candidates(c)
+
     def match(self, c):
         return self.freq(c) > 0
 
@@ -652,25 +588,29 @@ class Positional(Query):
         return [(self.field, t) for t in sorted(self.source.terms())] if self.kind == "span" else []
 
     def freq(self, c: Corpus) -> Column:
-        return F.col(c.named[self]) if self in c.named else self.counted(c)
-
-    def counted(self, c: Corpus) -> Column:
         words, source, span = sorted(self.source.terms()), self.source, self.kind == "span"
         wide = pos.extent(source)
 
         def run(lists):
-            at = {w: sorted(x) for w, x in zip(words, lists)}
+            at = dict(zip(words, lists))
             return pos.span_freq(pos.spans(source, at)) if span else pos.interval_freq(pos.intervals(source, at), wide)
 
-        return F.when(self.candidates(c), F.udf(run, "double", useArrow=True)(F.array(*[c.places(self.field, w) for w in words]))).otherwise(0.0)
+        return c.count_of(self, self.candidates(c), [c.places(self.field, w) for w in words], run)
+
+    def rewritten(self, c):
+        """Terms under a test become the terms of the corpus that pass it."""
+        expand = lambda test, most: c.expanded(self.field, test, None, most)
+        return replace(self, source=pos.expanded(self.source, expand))
 
     def candidates(self, c: Corpus) -> Column:
-        need = sorted(self.source.needed())
-        out = c.has(self.field, lambda t: t.isin(sorted(self.source.terms())))
-        for w in need:
-            out = out & Term(self.field, w).match(c)
+        out = c.holds(self.field, sorted(self.source.terms()))
+        for w in sorted(self.source.needed()):
+            out = out & (c.tf(self.field, w) > 0)
         return out
 
+    def required(self, c):
+        return self.candidates(c)
+
     def match(self, c):
         return self.freq(c) > 0
 
@@ -705,6 +645,7 @@ class FunctionScore(Query):
         return self.query.match(c)
 
     def score(self, c, s):
+        c.reads_docs()
         return self.combine(self.query.score(c, s), F.coalesce(self.value().cast("double"), ZERO()))
 
     def rewritten(self, c):
@@ -806,7 +747,6 @@ def more_like_this(c: Corpus, f: str, text: str, most: int = 5, min_tf: int = 1,
     words = [r for r in own.where((F.col("tf") >= min_tf) & (F.char_length("term") >= min_len)).collect() if r["term"] not in stop]
     if not words:
         return MatchNone("no word")
-    row = c.rows.agg(F.count("*").alias("n"), *[F.count(F.when(Term(f, w["term"]).match(c), 1)).alias(f"t{i}") for i, w in enumerate(words)]).first()
-    n = row["n"]
-    ranked = sorted((-(w["tf"] * (math.log((n + 1) / (row[f"t{i}"] + 1)) + 1)), w["term"]) for i, w in enumerate(words) if min_df <= row[f"t{i}"] <= max_df * n)[:most]
+    n, df = c.doc_freqs(f, [w["term"] for w in words])
+    ranked = sorted((-(w["tf"] * (math.log((n + 1) / (df[w["term"]] + 1)) + 1)), w["term"]) for w in words if min_df <= df[w["term"]] <= max_df * n)[:most]
     return Bool(should=tuple(Term(f, t) for _, t in ranked), at_least=max(1, int(share * len(ranked)))) if ranked else MatchNone("no word is in range")
