@@ -12,6 +12,7 @@ from lexiquarry.operators import ranges as rg
 from lexiquarry.operators import vectors as vec
 from lexiquarry.plans import parsers as ps
 from lexiquarry.plans import query as q
+from lexiquarry.sources.shared import spread
 from lexiquarry.plans.catalog import ORACLES, QUERIES, TOKENS, bm, corpus, register, search_sql, table
 
 C = F.col
@@ -103,14 +104,14 @@ counts("term_freq", lambda c: c.project(lambda c: [F.col("doc_id"), c.tf("text",
 counts("norm_coded_length", lambda c: c.project(lambda c: [F.col("doc_id"), sim.coded_length(c.length("text").cast("int")).cast("long").alias("coded")]), f"WITH d AS (SELECT doc_id, len({TOKENS}) - 24 AS x FROM documents), e AS (SELECT doc_id, x, greatest(length(bin(greatest(x, 1))) - 4, 0) AS sh FROM d) SELECT doc_id, CASE WHEN x < 16 THEN x + 24 ELSE ((x >> sh) << sh) + 24 END AS coded FROM e")
 
 # ---- vectors
+DIMENSION = 64
 _V = [round(0.1 * ((7 * i) % 11) - 0.5, 1) for i in range(64)]
 
 
 def vectors(name: str, run, sql) -> None:
     def go(spark, sf_dir):
         df = table(spark, sf_dir, "embeddings")
-        n = len(df.first()["embedding"])
-        return run(df, [_V[i % 64] for i in range(n)])
+        return run(df, [_V[i % 64] for i in range(DIMENSION)])
 
     register(name, go, sql)
 
@@ -147,7 +148,7 @@ register("merge_shards", lambda s, d: (lambda c: col_.merged([c.search(_A).where
 
 def analyzed(name: str, analyzer, sql: str) -> None:
     """The terms of every document, blank-joined."""
-    register(f"analysis_{name}", lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(an.terms(analyzer(C("text"))), " ").alias("terms")), f"WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), w AS (SELECT *, {TOKENS} AS toks FROM d) SELECT doc_id, array_to_string({sql}, ' ') AS terms FROM w")
+    register(f"analysis_{name}", lambda s, d: spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", F.array_join(an.terms(analyzer(C("text"))), " ").alias("terms")), f"WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), w AS (SELECT *, {TOKENS} AS toks FROM d) SELECT doc_id, array_to_string({sql}, ' ') AS terms FROM w")
 
 
 def chain(*filters):

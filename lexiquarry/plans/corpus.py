@@ -32,6 +32,7 @@ from lexiquarry.sources.shared import file_system, plan_bytes, spread
 BUCKET_BYTES = 64 << 20
 #: Multi-term queries of at most so many terms read these terms' files; others test every term of the postings.
 LISTED = 1024
+TERMS = [T.StructField("bucket", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("df", T.LongType()), T.StructField("ttf", T.LongType())]
 
 
 def posted(batch: pa.RecordBatch, fields: list[str]) -> dict[str, pa.RecordBatch]:
@@ -111,22 +112,27 @@ class Corpus:
 
         return self.tokens().mapInArrow(run, T.StructType([T.StructField("field", T.StringType()), *schema]))
 
+    def _stored(self, table: str, fields: list[T.StructField], f: str | None = None) -> DataFrame:
+        """A table of the index, without a look at its files for the schema."""
+        df = self.spark.read.schema(T.StructType(fields)).parquet(f"{self.path}/{table}")
+        return df if f is None else df.where(F.col("field") == f)
+
     def posted(self, f: str) -> DataFrame:
         """Postings of a field: (term, key, tf, pos, len_...)."""
         if self.path:
-            return self.spark.read.parquet(f"{self.path}/postings").where(F.col("field") == f)
+            return self._stored("postings", [*self._schema(), T.StructField("field", T.StringType()), T.StructField("bucket", T.IntegerType())], f)
         return self._posted_all().where(F.col("field") == f).drop("field")
 
     def lengths(self) -> DataFrame:
         """(key, len_<field>...) of every document."""
         if self.path:
-            return self.spark.read.parquet(f"{self.path}/lengths")
+            return self._stored("lengths", [self.docs.schema[self.key], *[T.StructField(f"len_{f}", T.IntegerType()) for f in self.analyzers]])
         return self.tokens().select(self.key, *[f"len_{f}" for f in self.analyzers])
 
     def dictionary(self, f: str) -> DataFrame:
         """(term, df, ttf) of a field."""
         if self.path:
-            return self.spark.read.parquet(f"{self.path}/terms").where(F.col("field") == f)
+            return self._stored("terms", [*TERMS, T.StructField("field", T.StringType())], f)
         return self.posted(f).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
 
     def collection_stats(self, f: str) -> DataFrame:
