@@ -1,10 +1,14 @@
 """Secret scans in DataFrame functions only: fixed patterns, and Shannon entropy in sliding windows.
 
 Patterns find assignments, access keys and hex runs. For the rest, candidate strings (long runs of key letters) are
-scanned with a window of WINDOW characters. The window's sum of c * log2(c) over its character counts c is updated by
-the character that leaves and the one that enters, and its entropy is log2(n) - sum / n. A candidate's class (digits,
-hex, letters of one case, ...) sets the entropy that a window must reach; where one does, the span is the whole candidate.
-Shorter candidates are one window. Candidates on the allow list give none. Spans of the patterns always stay.
+scanned with a window of WINDOW characters. The window's counts of each character, and its sum of c * log2(c) over the
+counts c, are carried along and updated by the character that leaves and the one that enters; its entropy is
+log2(n) - sum / n. A candidate's class (digits, hex, letters of one case, ...) sets the entropy that a window must reach;
+where one does, the span is the whole candidate. Shorter candidates are one window. Candidates on the allow list give
+none. Spans of the patterns always stay.
+
+Running sums over a text's matches, and cuts at its spans, are made block by block, so that the work grows with the text
+and its matches but not with their product.
 
 Positions count code points, ends are exclusive. Cases: a null or empty text has no spans; repeated and overlapping
 spans of different kinds all stay; texts and candidates of any length are scanned whole (a long candidate in
@@ -58,85 +62,128 @@ ALLOW = [
     r"^(?=.{1,120}$).{0,4}(?i:0123456789|abcdefghijklmnopqrstuvwxyz|abcdefghijklmnop|abcdefghijkl|abcdef)+.{0,8}$",
 ]
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+#: Every character of a candidate; its place here is that of its count.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Elements of a block of a running fold; spans of the blocks that a text is cut into, outer ones first.
+FOLD, CUTS = 256, (4096, 64)
 
 
-def found(text: Column, pattern: str, kind: int, keep: Column | None = None) -> Column:
-    """The leftmost non-overlapping matches as spans: what stands between the matches and the matches alternate."""
-    between, at = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.zip_with(F.slice(between, 1, F.size(at)), F.transform(at, F.char_length), lambda b, m: F.struct(F.char_length(b).alias("b"), m.alias("m")))
-    if keep is not None:
-        sizes = F.zip_with(sizes, keep, lambda s, k: F.struct(s["b"].alias("b"), s["m"].alias("m"), k.alias("k")))
-    none = F.array().cast(SPAN)
+def bound(value: Column, use) -> Column:
+    """use(value), which evaluates value once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(elements: Column, grow, join) -> Column:
+    """struct(each: array of struct(x: element, m: fold of those before it), m: fold of all); folds are integers from 0.
+
+    grow(m, x) takes in an element, join(m, n) two folds. Blocks of FOLD elements are folded apart, then carried on.
+    """
+    none = lambda v: F.filter(F.transform(v, lambda x: F.struct(x.alias("x"), F.lit(0).alias("m"))), lambda _: F.lit(False))
+
+    def of_block(xs):
+        step = lambda acc, x: F.struct(grow(acc["m"], x).cast("int").alias("m"), F.array_append(acc["each"], F.struct(x.alias("x"), acc["m"].alias("m"))).alias("each"))
+        return F.aggregate(xs, F.struct(F.lit(0).alias("m"), none(xs).alias("each")), step)
+
+    def carried(blocks):
+        step = lambda acc, b: F.struct(join(acc["m"], b["m"]).cast("int").alias("m"), F.array_append(acc["before"], acc["m"]).alias("before"))
+        carry = F.aggregate(blocks, F.struct(F.lit(0).alias("m"), F.array().cast("array<int>").alias("before")), step)
+        each = lambda c: F.flatten(F.zip_with(blocks, c["before"], lambda b, m: F.transform(b["each"], lambda e: F.struct(e["x"].alias("x"), join(m, e["m"]).cast("int").alias("m")))))
+        return bound(carry, lambda c: F.struct(each(c).alias("each"), c["m"].alias("m")))
+
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / FOLD).cast("int")), lambda i: bound(F.slice(v, i * FOLD + 1, F.lit(FOLD)), of_block))
+    some = lambda v: bound(blocks(v), carried)
+    return bound(elements, lambda v: F.when(F.size(v) > 0, some(v)).otherwise(F.struct(none(v).alias("each"), F.lit(0).alias("m"))))
+
 
-    def step(acc, s):
-        start = acc["pos"] + s["b"]
-        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + s["m"]).alias("end"))
-        longer = F.array_append(acc["spans"], one)
-        return F.struct((start + s["m"]).alias("pos"), (longer if keep is None else F.when(s["k"], longer).otherwise(acc["spans"])).alias("spans"))
+def found(text: Column, pattern: str, kind: int, keep=None, group: int = 0) -> Column:
+    """The leftmost non-overlapping matches as spans: what stands between the matches and the matches alternate.
 
-    return F.aggregate(sizes, F.struct(F.lit(0).alias("pos"), none.alias("spans")), step, lambda acc: acc["spans"])
+    keep: a test of a match's string, or of its group's.
+    """
+    strings = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    marks = F.transform(strings(group), keep) if keep else None
+    sizes = F.zip_with(F.split(text, pattern, -1), F.transform(strings(0), F.char_length), lambda b, m: F.struct(F.char_length(b).alias("b"), m.alias("m")))
+    if keep:
+        sizes = F.zip_with(sizes, marks, lambda s, k: F.struct(s["b"].alias("b"), s["m"].alias("m"), k.alias("k")))
+    sizes = F.filter(sizes, lambda s: s["m"].isNotNull())  # what is left after the last match
+    placed = running(sizes, lambda m, x: m + x["b"] + x["m"], lambda m, n: m + n)["each"]
+    if keep:
+        placed = F.filter(placed, lambda e: e["x"]["k"])
+    start = lambda e: e["m"] + e["x"]["b"]
+    return F.transform(placed, lambda e: F.struct(start(e).alias("start"), F.lit(kind).alias("kind"), (start(e) + e["x"]["m"]).alias("end")))
 
 
-def windows(piece: Column, limit: Column) -> Column:
-    """Whether a window of a piece has an entropy that reaches limit."""
-    g = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 2)])
+#: n * log2(n) for every count that a window can have.
+GAIN = [c * math.log2(c) if c else 0.0 for c in range(WINDOW + 2)]
+
+
+def counted(string: Column, window: int, limit: Column | None = None) -> Column:
+    """struct(counts, sum, hot) after a window has gone over a string of at most PIECE characters.
+
+    counts is a string: the character at a letter's place in ALPHABET has the code of the letter's count in the window.
+    hot: whether some whole window had an entropy that reaches limit.
+    """
+    g = F.array(*[F.lit(x) for x in GAIN])
     gain = lambda c: F.get(g, c + 1) - F.get(g, c)  # noqa: E731  what one more of c equal characters adds
 
+    def changed(state: Column, ch: Column, by: int) -> Column:
+        """counts and sum with one more or one less of a character."""
+        def at(x):
+            n = F.ascii(F.substr(x["counts"], x["place"], F.lit(1)))
+            fewer = n if by > 0 else n - 1
+            return F.struct(F.overlay(x["counts"], F.char(n + by), x["place"], F.lit(1)).alias("counts"), (x["sum"] + by * gain(fewer)).alias("sum"))
+
+        return bound(F.struct(state["counts"].alias("counts"), state["sum"].alias("sum"), F.instr(F.lit(ALPHABET), ch).alias("place")), at)
+
     def step(acc, i):
-        held = F.substr(piece, F.greatest(i - WINDOW, F.lit(1)), F.least(i - 1, F.lit(WINDOW)))
-        enters, leaves = F.substr(piece, i, F.lit(1)), F.substr(piece, i - WINDOW, F.lit(1))
-        count = lambda c: F.length(held) - F.length(F.replace(held, c, F.lit("")))
-        full = i > WINDOW
-        total = acc["sum"] + F.when(full, -gain(count(leaves) - 1)).otherwise(0.0)
-        total = total + gain(count(enters) - F.when(full & (enters == leaves), 1).otherwise(0))
-        high = (i >= WINDOW) & (F.lit(math.log2(WINDOW) + 1e-12) - total / WINDOW >= limit)
-        return F.struct(total.alias("sum"), (acc["hot"] | high).alias("hot"))
+        left = F.when(i > window, changed(acc, F.substr(string, i - window, F.lit(1)), -1)).otherwise(F.struct(acc["counts"].alias("counts"), acc["sum"].alias("sum")))
+        entered = bound(left, lambda state: changed(state, F.substr(string, i, F.lit(1)), 1))
+        reached = lambda e: (i >= window) & (F.lit(math.log2(window) + 1e-12) - e["sum"] / window >= limit) if limit is not None else F.lit(False)
+        return bound(entered, lambda e: F.struct(e["counts"].alias("counts"), e["sum"].alias("sum"), (acc["hot"] | reached(e)).alias("hot")))
 
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(False).alias("hot"))
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(piece)), start, step, lambda acc: acc["hot"])
+    begin = F.struct(F.lit("\0" * len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(False).alias("hot"))
+    return F.aggregate(F.sequence(F.lit(1), F.char_length(string)), begin, step)
 
 
 def high(string: Column) -> Column:
-    """Whether the entropy of a short candidate reaches the threshold of its class; false in none."""
-    n = F.char_length(string)
-    same = lambda i: n - F.char_length(F.replace(string, F.substr(string, i, F.lit(1)), F.lit("")))
-    total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda acc, i: acc + F.log2(same(i)))
+    """Whether the entropy of a short candidate, one window as a whole, reaches the threshold of its class; false in none."""
     limit = F.coalesce(*[F.when(string.rlike(p), F.lit(t)) for p, t in SHORT_CLASSES], F.lit(99.0))
-    return F.log2(n) - total / n >= limit - 1e-12
+    n = F.char_length(string)
+    return bound(counted(string, WINDOW), lambda x: F.log2(n) - x["sum"] / n >= limit - 1e-12)
 
 
 def hot(string: Column) -> Column:
-    """Whether a window of a candidate reaches the threshold of its class."""
+    """Whether a window of a candidate reaches the threshold of its class. A long candidate is scanned in overlapping pieces."""
     limit = F.coalesce(*[F.when(string.rlike(p), F.lit(t)) for p, t in CLASSES])
-    steps = F.sequence(F.lit(0), F.greatest(F.char_length(string) - WINDOW, F.lit(0)), F.lit(PIECE - WINDOW + 1))
-    return F.exists(steps, lambda at: windows(F.substr(string, at + 1, F.lit(PIECE)), limit))
+    chunks = F.regexp_extract_all(string, F.lit(f".{{1,{PIECE - WINDOW + 1}}}"), F.lit(0))
+    pieces = bound(chunks, lambda cs: F.transform(cs, lambda c, i: F.concat(c, F.coalesce(F.substring(F.get(cs, i + 1), 1, WINDOW - 1), F.lit("")))))
+    return bound(limit, lambda least: F.exists(pieces, lambda p: counted(p, WINDOW, least)["hot"]))
 
 
-def entropic(text: Column, pattern: str, reaches) -> Column:
-    """Spans of the candidates of a pattern that have a high entropy."""
+def secret(reaches):
+    """A test of candidates: not allowed, and with a high entropy."""
 
-    def secret(span):
-        string = F.substr(text, span["start"] + 1, span["end"] - span["start"])
+    def test(string):
         allowed = F.lit(False)
         for p in ALLOW:
             allowed = allowed | string.rlike(p)
         return ~allowed & reaches(string)
 
-    return F.filter(found(text, pattern, 3), secret)
+    return test
 
 
 def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df and secret_spans: array of (start, kind: an index of KINDS, end), by start, then kind."""
     kept = [quoted(f.name) for f in without(df, ["secret_spans"])]
     text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
-    assigned = found(text, ASSIGN, 0, F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.char_length(v) >= ASSIGN_LEAST))
+    assigned = found(text, ASSIGN, 0, lambda v: F.char_length(v) >= ASSIGN_LEAST, 2)
     none = F.array().cast(SPAN)
     parts = [
         F.when(text.rlike(ASSIGN), assigned).otherwise(none),
         F.when(F.contains(text, F.lit("AKIA")), found(text, ACCESS, 1)).otherwise(none),
         F.when(text.rlike(HEX), found(text, HEX, 2)).otherwise(none),
-        F.when(text.rlike(CANDIDATE), entropic(text, CANDIDATE, hot)).otherwise(none),
-        F.when(text.rlike(SHORT), entropic(text, SHORT, high)).otherwise(none),
+        F.when(text.rlike(CANDIDATE), found(text, CANDIDATE, 3, secret(hot))).otherwise(none),
+        F.when(text.rlike(SHORT), found(text, SHORT, 3, secret(high))).otherwise(none),
     ]
     return df.select(*kept, F.array_sort(F.concat(*parts)).alias("secret_spans"))
 
@@ -150,13 +197,24 @@ def listed(spans: Column) -> Column:
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """df with every span of secret_spans in its text replaced by mark; overlapping spans are one. secret_spans goes."""
     text = quoted(text_col)
+    # a span that begins behind all before it is a cut: the text from there (m) to the span's start stays, then comes the mark
+    folded = running(F.col("secret_spans"), lambda m, s: F.greatest(m, s["end"]), lambda m, n: F.greatest(m, n))
+    cuts = lambda f: F.transform(F.filter(f["each"], lambda e: e["x"]["start"] >= e["m"]), lambda e: F.struct(e["m"].alias("from"), e["x"]["start"].alias("to")))
+
+    def joined(part: Column, cs: Column, base: Column, sizes: tuple[int, ...]) -> Column:
+        """The kept pieces of part, which begins at base, with marks; blocks of cuts are cut out of it first."""
+        if not sizes:
+            return F.array_join(F.transform(cs, lambda c: F.concat(F.substr(part, c["from"] - base + 1, c["to"] - c["from"]), F.lit(mark))), "")
+
+        def block(i):
+            mine = F.slice(cs, i * sizes[0] + 1, F.lit(sizes[0]))
+            inner = lambda x: joined(x["part"], x["mine"], x["base"], sizes[1:])
+            piece = lambda m: F.struct(F.substr(part, F.get(m, F.lit(0))["from"] - base + 1, F.element_at(m, -1)["to"] - F.get(m, F.lit(0))["from"]).alias("part"), m.alias("mine"), F.get(m, F.lit(0))["from"].alias("base"))
+            return bound(mine, lambda m: bound(piece(m), inner))
 
-    def step(acc, s):
-        ahead = s["start"] >= acc["pos"]
-        cut = F.concat(F.substr(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(mark))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(ahead, F.array_append(acc["out"], cut)).otherwise(acc["out"]).alias("out"))
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(cs) - 1) / sizes[0]).cast("int")), block), "")
 
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate("secret_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["pos"] + 1, F.lit(2**31 - 1))))
+    tail = lambda f: F.substr(text, f["m"] + 1, F.lit(2**31 - 1))
+    done = bound(folded, lambda f: F.concat(bound(cuts(f), lambda cs: joined(text, cs, F.lit(0), CUTS)), tail(f)))
     clean = F.when(F.size("secret_spans") > 0, done).otherwise(text)
     return df.select(*[clean.alias(f.name) if f.name == text_col else quoted(f.name) for f in df.schema.fields if f.name != "secret_spans"])

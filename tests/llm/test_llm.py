@@ -4,6 +4,7 @@ import collections
 import hashlib
 import json
 import re
+import time
 import zlib
 
 import duckdb
@@ -298,6 +299,22 @@ def test_secrets(spark, docs):
     assert all(digest[i]["spans"] == kinds(brute_spans(t)) for i, t in docs.items())
 
 
+def test_secrets_of_long_texts(spark):
+    """Two megabytes with 60,000 spans of several kinds, and a candidate of a megabyte: whole, and in seconds."""
+    rng = np.random.default_rng(5)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    values = rng.choice(letters, (20_000, 14))
+    text = "".join(f"é password={''.join(v)} AKIA{''.join(v).upper()} {'0a' * 9} plain words " for v in values)
+    longest = "".join(rng.choice(letters, 1_000_000))
+    began = time.time()
+    out = secrets.scan(spark.createDataFrame([(0, text), (1, longest)], "i int, text string")).collect()
+    spans = {r["i"]: [tuple(s) for s in r["secret_spans"]] for r in out}
+    assert spans[0] == brute_spans(text) and len(spans[0]) == 60_000 and spans[1] == [(0, 3, 1_000_000)]
+    clean = {r["i"]: r["text"] for r in secrets.redact(secrets.scan(spark.createDataFrame([(0, text), (1, longest)], "i int, text string"))).collect()}
+    assert clean == {0: "é [SECRET] [SECRET] [SECRET] plain words " * 20_000, 1: "[SECRET]"}
+    assert time.time() - began < 90
+
+
 LETTERS = {c: "".join(map(chr, range(ord(c), ord(c) + 26))) for c in "aA"}
 RANDOM = {"digits": "0123456789", "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "lower": LETTERS["a"], "UPPER": LETTERS["A"], "base32": LETTERS["A"] + "234567", "base36": LETTERS["a"] + "0123456789", "letters": LETTERS["a"] + LETTERS["A"], "base64": LETTERS["a"] + LETTERS["A"] + "0123456789+/"}
 
