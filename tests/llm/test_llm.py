@@ -304,7 +304,7 @@ def test_secrets_of_long_texts(spark):
     rng = np.random.default_rng(5)
     letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
     values = rng.choice(letters, (20_000, 14))
-    text = "".join(f"é password={''.join(v)} AKIA{''.join(v).upper()} {'0a' * 9} plain words " for v in values)
+    text = "".join(f"é password={''.join(v)} AKIA{'A' * 14} {'0a' * 9} plain words " for v in values)
     longest = "".join(rng.choice(letters, 1_000_000))
     began = time.time()
     out = secrets.scan(spark.createDataFrame([(0, text), (1, longest)], "i int, text string")).collect()
