@@ -21,11 +21,12 @@ import sys
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lexiquarry.llm.common import append_by_text
-from lexiquarry.llm.hashing import words
+from lexiquarry.llm.hashing import BLANKS
 
 #: White space as Unicode has it.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -35,6 +36,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CACHE_WORDS, CACHE_LETTERS = 200_000, 64
 #: Letters of text that are encoded at a time.
 PART = 2 << 20
+BLANK_BYTES = bytes(np.flatnonzero(BLANKS).tolist())
 
 
 def byte_letters() -> list[str]:
@@ -177,9 +179,13 @@ class Codec:
         pieces = [self.splitter.cut(t) if "<|" in t else [t] for t in texts]
         plain = [self.splitter.normal(p).encode() for ps in pieces for p in ps[::2]]
         data = b"\n".join(plain)
-        starts, ends, hashes = words(data)
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        encoded = [self.chunks[data[a:b]] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        blank = BLANKS[np.frombuffer(data, np.uint8)]
+        starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]])) if data else np.zeros(0, np.int64)
+        # each chunk with the blanks behind it; equal ones are found by their bytes
+        edges = np.append(starts, len(data)).astype(np.int64)
+        distinct = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        which = distinct.indices.to_numpy()
+        encoded = [self.chunks[x.rstrip(BLANK_BYTES)] for x in distinct.dictionary.to_pylist()]
         counts = np.array([len(x) // 4 for x in encoded], np.int64)
         flat, froms = np.frombuffer(b"".join(encoded), "<u4"), np.cumsum(counts) - counts
         own = counts[which]
