@@ -4,14 +4,16 @@ Layout under a folder on shared storage:
 
 - tokens-00000.bin, ...: "LQT1", item size (uint32), then the raw ids of a range of documents in ascending key order,
   little-endian, two bytes an id if the vocabulary fits, else four.
-- index-00000.bin, ...: one bucket of the index. "LQX1", keys n and levels m (uint32), words of each level (uint32 x m),
-  the levels' bit words (uint64) with their rank counts (uint32), then per slot: fingerprint (uint32), shard (uint32),
-  offset in ids within the shard (uint64), ids (uint32), rows (uint32).
+- index-00000.bin, ...: one bucket of the index. "LQX2", keys n and levels m (uint32), words of each level (uint32 x m),
+  the levels' bit words (uint64), then per slot: fingerprint (uint64), shard (uint32), ids (uint32), offset in ids
+  within the shard (uint64), rows (uint64).
 - the manifest (Parquet): shard, rows, ids, and the ids before it.
 
 A key (a 64-bit hash of the document id) picks a bucket and, within it, a slot by a minimal perfect hash: level by
-level, a key whose bit no other key shares takes that bit, and its slot is the bit's rank. The stored fingerprint
-tells a key that was never indexed. A lookup reads a few bits whatever the number of keys.
+level, a key whose bit no other key shares takes that bit, and its slot is the bit's rank. The stored fingerprint, a
+second hash of the document id, tells a key that was never indexed, and ids whose first hashes are equal: of these, one
+is in the index, the others in a table of clashes beside it. So ids are told apart by 128 bits. A lookup reads a few
+bits whatever the number of keys.
 
 Cases: a null text is empty and holds only the end id; a null key is a key of its own and comes first; rows that share
 a key stand together (ordered by a hash of the text) and share one index entry, whose `rows` says how many they are (a table beside the index has them all);
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import struct
 import uuid
 
@@ -92,7 +95,8 @@ class PerfectHash:
         return out
 
 
-SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("ids", "<u4"), ("rows", "<u4")])
+SLOT = np.dtype([("print", "<u8"), ("shard", "<u4"), ("ids", "<u4"), ("offset", "<u8"), ("rows", "<u8")])
+ENTRY = [("shard", T.IntegerType()), ("at", T.LongType()), ("ids", T.LongType()), ("rows", T.LongType())]
 
 
 def index_bytes(keys: np.ndarray, slots: np.ndarray) -> bytes:
@@ -100,13 +104,13 @@ def index_bytes(keys: np.ndarray, slots: np.ndarray) -> bytes:
     ph = PerfectHash.build(keys)
     table = np.zeros(ph.size, SLOT)
     table[ph.slots(keys)] = slots
-    head = struct.pack("<4sII", b"LQX1", len(keys), len(ph.levels)) + np.array([len(x) for x in ph.levels], "<u4").tobytes()
+    head = struct.pack("<4sII", b"LQX2", len(keys), len(ph.levels)) + np.array([len(x) for x in ph.levels], "<u4").tobytes()
     return head + b"".join(x.tobytes() for x in ph.levels) + table.tobytes()
 
 
 def index_read(data: bytes) -> tuple[PerfectHash, np.ndarray]:
     magic, n, m = struct.unpack_from("<4sII", data)
-    if magic != b"LQX1":
+    if magic != b"LQX2":
         raise ValueError("not an index bucket")
     words, at, levels = np.frombuffer(data, "<u4", m, 12), 12 + 4 * m, []
     for w in words.tolist():
@@ -116,7 +120,8 @@ def index_read(data: bytes) -> tuple[PerfectHash, np.ndarray]:
 
 
 def place(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system and path of a folder's address; a path without a scheme is local."""
+    """The file system and path of a folder's address; a path without a scheme is local, Hadoop's names of S3 are S3."""
+    uri = re.sub("^s3[an]://", "s3://", uri)
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
@@ -143,13 +148,19 @@ def key_hash(col) -> F.Column:
     return F.coalesce(F.xxhash64(col.cast("string")), F.lit(-1).cast("long"))
 
 
+def print_hash(col) -> F.Column:
+    """The 64 bits of a key's fingerprint, of another hash than the first."""
+    return F.coalesce(F.xxhash64(F.lit("fingerprint"), F.reverse(col.cast("string"))), F.lit(-1).cast("long"))
+
+
 class TokenStore:
     """A written store."""
 
-    def __init__(self, spark: SparkSession, uri: str, shards: int, buckets: int, manifest: DataFrame, wide: bool, repeats: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, uri: str, shards: int, buckets: int, manifest: DataFrame, wide: bool, repeats: DataFrame | None = None, clashes: DataFrame | None = None):
         self.spark, self.uri, self.shards, self.buckets, self.manifest, self.dtype = spark, uri, shards, buckets, manifest, "<u4" if wide else "<u2"
-        #: All rows (kh, shard, at, ids) of keys that several rows share; None if no rows do.
-        self.repeats = repeats
+        #: All rows (kh, fp, shard, at, ids) of keys that several rows share, and the entries (kh, fp, shard, at, ids, rows)
+        #: of keys whose first hash is another's in the index; None if there are none.
+        self.repeats, self.clashes = repeats, clashes
 
     @classmethod
     def write(cls, df: DataFrame, vocabulary: str, end_id: int, key_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> TokenStore:
@@ -163,7 +174,7 @@ class TokenStore:
         n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
         # the key's own order decides; the text's hash spreads and orders rows of one key
         src = df.select(quoted(key_col).alias("k"), quoted(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
-        src = src.repartitionByRange(n, F.col("k").asc_nulls_first(), "h").sortWithinPartitions(F.col("k").asc_nulls_first(), "h").select(key_hash(F.col("k")).alias("kh"), "t", F.spark_partition_id().alias("p"))
+        src = src.repartitionByRange(n, F.col("k").asc_nulls_first(), "h").sortWithinPartitions(F.col("k").asc_nulls_first(), "h").select(key_hash(F.col("k")).alias("kh"), "t", F.spark_partition_id().alias("p"), print_hash(F.col("k")).alias("fp"))
 
         def write_shard(batches):
             codec = library_codec(vocabulary)
@@ -187,12 +198,12 @@ class TokenStore:
                     size = np.array(sizes, np.int64)
                     starts = offset + np.cumsum(size) - size
                     offset += int(size.sum())
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.full(len(size), shard, np.int32)), pa.array(starts), pa.array(size)], names=["kh", "shard", "at", "ids"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.full(len(size), shard, np.int32)), pa.array(starts), pa.array(size), b.column(3).slice(lo, hi - lo)], names=["kh", "shard", "at", "ids", "fp"])
             if out is not None:
                 out.close()
                 disk.move(own, path)
 
-        entries = scratch.keep(src.mapInArrow(write_shard, "kh long, shard int, at long, ids long"), "entries")
+        entries = scratch.keep(src.mapInArrow(write_shard, "kh long, shard int, at long, ids long, fp long"), "entries")
         # a manifest row a shard; their number is that of the partitions
         per_shard = sorted(entries.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("ids").alias("ids")).collect())
         before, manifest = 0, []
@@ -201,42 +212,48 @@ class TokenStore:
             before += r["ids"]
         kept = scratch.keep(spark.createDataFrame(manifest, "shard int, rows long, ids long, before long"), "manifest")
         # an index entry a key: its first row, and how many rows share it
-        keys = entries.groupBy("kh").agg(F.min(F.struct("shard", "at", "ids")).alias("e"), F.count("*").alias("rows")).select("kh", "e.*", "rows")
+        keys = entries.groupBy("kh", "fp").agg(F.min(F.struct("shard", "at", "ids")).alias("e"), F.count("*").alias("rows")).select("kh", "fp", "e.*", "rows")
         buckets = max(BUCKETS_EACH * n, sum(r["rows"] for r in per_shard) // BUCKET_KEYS)
-        by_bucket = keys.withColumn("b", F.pmod(F.col("kh"), F.lit(buckets)).cast("int")).repartition("b").sortWithinPartitions("b", "kh")
+        by_bucket = keys.withColumn("b", F.pmod(F.col("kh"), F.lit(buckets)).cast("int")).repartition("b").sortWithinPartitions("b", "kh", "fp")
+        names = ["kh", "fp", "shard", "at", "ids", "rows"]
 
         def write_index(batches):
+            """A row of how many keys a bucket holds, and the rows that clash."""
             disk, top = place(uri)
-            for bucket, (kh, shard, at, ids, rows) in grouped(batches, 5):
+            for bucket, columns in grouped(batches, 6):
+                first = np.concatenate([[True], columns[0][1:] != columns[0][:-1]])
+                kh, fp, shard, at, ids, rows = (c[first] for c in columns)
                 keys_ = kh.view(np.uint64)
                 slots = np.zeros(len(keys_), SLOT)
-                slots["print"] = mixed(keys_, 77) >> np.uint64(32)
-                slots["shard"], slots["offset"], slots["ids"], slots["rows"] = shard, at, ids, rows
+                slots["print"], slots["shard"], slots["offset"], slots["ids"], slots["rows"] = fp.view(np.uint64), shard, at, ids, rows
                 data = index_bytes(keys_, slots)
                 published(disk, f"{top}/index-{bucket:05d}.bin", lambda out, data=data: out.write(data))
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([len(keys_)], pa.int64())], names=["b", "keys"])
-
-        written = by_bucket.select("b", "kh", "shard", "at", "ids", "rows").mapInArrow(write_index, "b int, keys long")
-        own = scratch.keep(written, "buckets").agg(F.sum("keys")).first()[0] or 0
-        repeats = None
-        if own < sum(r["rows"] for r in per_shard):
-            shared = entries.groupBy("kh").count().where("count > 1").select("kh")
-            repeats = scratch.keep(entries.join(shared, "kh", "left_semi").select("kh", "shard", "at", "ids"), "repeats")
+                other = [pa.array(c[~first]) for c in columns]
+                m = len(other[0])
+                yield pa.RecordBatch.from_arrays([pa.array([len(keys_)] + [0] * m, pa.int64()), *[pa.concat_arrays([pa.nulls(1, c.type), c]) for c in other]], names=["keys", *names])
+
+        written = by_bucket.select("b", *names).mapInArrow(write_index, "keys long, kh long, fp long, shard int, at long, ids long, rows long")
+        written = scratch.keep(written, "buckets")
+        own, other = written.agg(F.sum("keys"), F.count("kh")).first()
+        repeats, clashes = None, written.where("kh is not null").select(*names) if other else None
+        if (own or 0) + other < sum(r["rows"] for r in per_shard):
+            shared = entries.groupBy("kh", "fp").count().where("count > 1").select("kh", "fp")
+            repeats = scratch.keep(entries.join(shared, ["kh", "fp"], "left_semi").select("kh", "fp", "shard", "at", "ids"), "repeats")
         scratch.drop("entries")
-        return cls(spark, uri, n, buckets, kept, wide, repeats)
+        return cls(spark, uri, n, buckets, kept, wide, repeats, clashes)
 
     def lookup(self, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
         """keys and, through the index, shard, at (ids within the shard) and rows; keys that aren't there go. One read of each bucket."""
         uri, buckets = self.uri, self.buckets
-        src = keys.select(quoted(key_col).alias("k")).withColumn("kh", key_hash(F.col("k"))).withColumn("b", F.pmod(F.col("kh"), F.lit(buckets)).cast("int"))
-        key_type = src.schema["k"].dataType
-        src = src.repartition("b").sortWithinPartitions("b")
+        hashed = keys.select(quoted(key_col).alias("k"), key_hash(quoted(key_col)).alias("kh"), print_hash(quoted(key_col)).alias("fp"))
+        key_type = hashed.schema["k"].dataType
+        src = hashed.withColumn("b", F.pmod(F.col("kh"), F.lit(buckets)).cast("int")).repartition("b").sortWithinPartitions("b")
 
         def find(batches):
             disk, top = place(uri)
             open_bucket = index = table = None
             for b in batches:
-                which = b.column(2).to_numpy()
+                which = b.column(3).to_numpy()
                 edges = [0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), len(which)]
                 for lo, hi in zip(edges, edges[1:]):
                     if which[lo] != open_bucket:
@@ -248,14 +265,16 @@ class TokenStore:
                                 index, table = index_read(f.read())
                     if index is None:
                         continue
-                    kh = b.column(1).slice(lo, hi - lo).to_numpy().view(np.uint64)
+                    kh, fp = (b.column(i).slice(lo, hi - lo).to_numpy().view(np.uint64) for i in (1, 2))
                     slot = index.slots(kh)
-                    good = (slot >= 0) & (table["print"][slot] == mixed(kh, 77) >> np.uint64(32))
+                    good = (slot >= 0) & (table["print"][slot] == fp)
                     e = table[slot[good]]
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).filter(pa.array(good)), pa.array(e["shard"].astype(np.int32)), pa.array(e["offset"].astype(np.int64)), pa.array(e["ids"].astype(np.int64)), pa.array(e["rows"].astype(np.int64))], names=[key_col, "shard", "at", "ids", "rows"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).filter(pa.array(good)), pa.array(e["shard"].astype(np.int32)), *[pa.array(e[x].astype(np.int64)) for x in ("offset", "ids", "rows")]], names=[key_col, *[x for x, _ in ENTRY]])
 
-        fields = [T.StructField(key_col, key_type), *(T.StructField(n, t) for n, t in (("shard", T.IntegerType()), ("at", T.LongType()), ("ids", T.LongType()), ("rows", T.LongType())))]
-        return src.mapInArrow(find, T.StructType(fields))
+        found = src.mapInArrow(find, T.StructType([T.StructField(key_col, key_type), *[T.StructField(x, t) for x, t in ENTRY]]))
+        if self.clashes is not None:
+            found = found.unionByName(hashed.join(self.clashes, ["kh", "fp"]).select(F.col("k").alias(key_col), *[x for x, _ in ENTRY]))
+        return found
 
     def read(self, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
         """Per stored row of a key: its token_ids (binary, unsigned 32-bit), start among the ids of all documents, n_tokens.
@@ -266,8 +285,8 @@ class TokenStore:
         uri, dtype = self.uri, self.dtype
         found = self.lookup(keys, key_col)
         if self.repeats is not None:
-            shared = found.where("rows > 1").select(quoted(key_col), "rows", key_hash(quoted(key_col)).alias("kh")).dropDuplicates(["kh"])
-            each = shared.join(self.repeats, "kh").select(quoted(key_col), "shard", "at", "ids", "rows")
+            shared = found.where("rows > 1").select(quoted(key_col), "rows", key_hash(quoted(key_col)).alias("kh"), print_hash(quoted(key_col)).alias("fp")).dropDuplicates(["kh", "fp"])
+            each = shared.join(self.repeats, ["kh", "fp"]).select(quoted(key_col), "shard", "at", "ids", "rows")
             found = found.where("rows = 1").unionByName(each)
         found = found.join(F.broadcast(self.manifest.select("shard", "before")), "shard")
         src = found.repartitionById(self.shards, F.col("shard")).sortWithinPartitions("shard", "at").select(quoted(key_col), "shard", "at", "ids", "before", "rows")

@@ -10,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -97,6 +98,20 @@ def test_rows_that_share_a_key_are_read_back(spark):
     assert store.read(df.select("doc_id").where("doc_id = 6").limit(1)).count() == 2
 
 
+def test_keys_of_equal_hash_are_told_apart(spark, monkeypatch):
+    """With a first hash of 8 values, all keys but 8 clash: each is still read back with its own row, others are not found."""
+    monkeypatch.setattr(token_store, "key_hash", lambda col: F.pmod(F.coalesce(F.xxhash64(col.cast("string")), F.lit(0).cast("long")), F.lit(8)).cast("long"))
+    t = Tokenizer.from_file(queries.word_vocabulary())
+    texts = [(i, f"text number {i} " * (i % 5)) for i in range(40)] + [(7, "once more"), (None, "no key")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    store = token_store.TokenStore.write(df, queries.word_vocabulary(), 1, shards=3)
+    rows = store.read(df.select("doc_id")).collect()
+    ids = [(r["doc_id"], np.frombuffer(r["token_ids"], "<u4").tolist()) for r in rows]
+    assert sorted(ids, key=str) == sorted(((k, [*t.encode(x, add_special_tokens=False).ids, 1]) for k, x in texts), key=str)
+    assert len({r["start"] for r in rows}) == len(texts)
+    assert store.lookup(spark.range(100, 2100).toDF("doc_id")).count() == 0
+
+
 def test_perfect_hash():
     keys = hashing.mix(np.arange(1, 5001, dtype=np.uint64))
     made = token_store.PerfectHash.build(keys)
