@@ -185,7 +185,7 @@ class Codec:
         edges = np.append(starts, len(data)).astype(np.int64)
         distinct = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
         which = distinct.indices.to_numpy()
-        encoded = [self.chunks[x.rstrip(BLANK_BYTES)] for x in distinct.dictionary.to_pylist()]
+        encoded = [self.chunks[x.rstrip(BLANK_BYTES)] for k in range(0, len(distinct.dictionary), 10_000) for x in distinct.dictionary[k : k + 10_000].to_pylist()]
         counts = np.array([len(x) // 4 for x in encoded], np.int64)
         flat, froms = np.frombuffer(b"".join(encoded), "<u4"), np.cumsum(counts) - counts
         own = counts[which]

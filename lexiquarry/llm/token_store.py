@@ -37,12 +37,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiquarry.llm.bpe import Codec
-from lexiquarry.llm.common import Scratch, quoted, slices
+from lexiquarry.llm.common import Scratch, quoted, slices, small_batches, trim
 
 #: Keys that a bucket of the index holds at most on average; there are at least this many buckets to a shuffle partition.
 BUCKET_KEYS, BUCKETS_EACH = 1_000_000, 8
 #: Words in a worker's cache, and letters that are encoded at a time.
-CACHE_WORDS, PART = 400_000, 4 << 20
+CACHE_WORDS, PART = 350_000, 2 << 20
 #: Bits of a level for each key that is left, and levels before the rest is told apart by ever larger ones.
 GAMMA = 2.0
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -166,6 +166,7 @@ class TokenStore:
     def write(cls, df: DataFrame, vocabulary: str, end_id: int, key_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> TokenStore:
         """Encodes every whole text, appends end_id, and writes shards in ascending key order and their index."""
         spark = df.sparkSession
+        small_batches(spark)
         scratch = Scratch(spark, "tokens")
         wide, uri = len(library_codec(vocabulary).strings) > 1 << 16 or end_id >= 1 << 16, f"{scratch.root}/store"
         dtype = "<u4" if wide else "<u2"
@@ -202,6 +203,7 @@ class TokenStore:
             if out is not None:
                 out.close()
                 disk.move(own, path)
+            trim()
 
         entries = scratch.keep(src.mapInArrow(write_shard, "kh long, shard int, at long, ids long, fp long"), "entries")
         # a manifest row a shard; their number is that of the partitions
@@ -283,6 +285,7 @@ class TokenStore:
         A shard's keys are read in order of their offsets, so reads of a shard go forward only.
         """
         uri, dtype = self.uri, self.dtype
+        small_batches(self.spark)
         found = self.lookup(keys, key_col)
         if self.repeats is not None:
             shared = found.where("rows > 1").select(quoted(key_col), "rows", key_hash(quoted(key_col)).alias("kh"), print_hash(quoted(key_col)).alias("fp")).dropDuplicates(["kh", "fp"])
