@@ -17,6 +17,7 @@ import functools
 import heapq
 import json
 import re
+import struct
 import sys
 import unicodedata
 
@@ -153,7 +154,7 @@ class Codec:
     def __init__(self, spec: dict, word_ids, entries: int = CACHE_WORDS, part: int = PART):
         self.part = part
         self.splitter = WordSplitter(spec)
-        self.words = Cache(lambda word: np.array(word_ids(self.splitter.spelled(word)), "<u4").tobytes(), entries)
+        self.words = Cache(lambda word: struct.pack(f"<{len(ids := word_ids(self.splitter.spelled(word)))}I", *ids), entries)
         self.chunks = Cache(lambda chunk: b"".join(map(self.words.__getitem__, self.splitter.words(chunk.decode()))), entries)
         self.strings = [""] * (1 + max([*spec["model"]["vocab"].values(), *self.splitter.special.values()]))
         for s, i in [*spec["model"]["vocab"].items(), *self.splitter.special.items()]:
@@ -185,7 +186,9 @@ class Codec:
         edges = np.append(starts, len(data)).astype(np.int64)
         distinct = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
         which = distinct.indices.to_numpy()
-        encoded = [self.chunks[x.rstrip(BLANK_BYTES)] for k in range(0, len(distinct.dictionary), 10_000) for x in distinct.dictionary[k : k + 10_000].to_pylist()]
+        words, chunks = self.words, self.chunks
+        bare = (x.rstrip(BLANK_BYTES) for k in range(0, len(distinct.dictionary), 10_000) for x in distinct.dictionary[k : k + 10_000].to_pylist())
+        encoded = [words[x.decode()] if x.isalpha() else chunks[x] for x in bare]  # ASCII letters alone are one word
         counts = np.array([len(x) // 4 for x in encoded], np.int64)
         flat, froms = np.frombuffer(b"".join(encoded), "<u4"), np.cumsum(counts) - counts
         own = counts[which]
