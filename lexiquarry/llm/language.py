@@ -15,6 +15,8 @@ whole, in training and in prediction. An input column named as a new one gives w
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,22 @@ from lexiquarry.llm.common import append_by_text, quoted, slices
 
 #: Hashed n-grams; pseudo-count of each; sharpness of the soft minimum; share of the runner-up that makes a text ambiguous.
 FEATURES, PRIOR, SHARP, AMBIGUOUS = 1 << 16, 0.5, 8.0, 0.25
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def letters() -> re.Pattern:
+    """Runs of Unicode letters (category L): what Python takes for a word character, without digits and numeric signs."""
+    other, start = [], None
+    for c in range(sys.maxunicode + 2):
+        sign = c <= sys.maxunicode and chr(c).isalnum() and unicodedata.category(chr(c))[0] != "L"
+        if sign and start is None:
+            start = c
+        elif not sign and start is not None:
+            other.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return re.compile(rf"[^\W_{''.join(other)}]+")
+
+
+LETTERS = letters()
 
 
 #: Words whose n-grams are held at a time.
@@ -56,7 +73,15 @@ def codewords(n: int) -> np.ndarray:
         return np.array([[1], [-1]][:n])
     if n <= 7:
         return np.array([[1] + [1 if c >> i & 1 else -1 for i in range(n - 1)] for c in range(2 ** (n - 1) - 1)]).T
-    return np.random.default_rng(n).choice([-1, 1], (n, 15 * int(np.ceil(np.log2(n)))))
+    # of several random codes the one whose nearest codewords are farthest apart, without bits that are the same for all
+    rng, best, apart = np.random.default_rng(n), None, -1
+    for _ in range(64):
+        code = rng.choice([-1, 1], (n, 15 * int(np.ceil(np.log2(n)))))
+        code = code[:, np.abs(code.sum(axis=0)) < n]
+        near = int(((code.shape[1] - code @ code.T) // 2 + np.eye(n, dtype=int) * code.shape[1]).min())
+        if near > apart:
+            best, apart = code, near
+    return best
 
 
 class Model:

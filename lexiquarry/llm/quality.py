@@ -3,7 +3,8 @@
 FILTERS learned filters look at WIDTH bytes every STRIDE bytes. Their rectified outputs are max-pooled within chunks of
 CHUNK places that overlap by OVERLAP and cover the whole text; the chunks' maxima are combined, by their mean and
 their maximum over the text, into one probability by a logistic unit. Training (Adam on the driver, fixed seed and
-order) uses at most SAMPLE labelled texts, those whose hashed ids are least: that bound is a parameter of `train`.
+order) uses at most SAMPLE labelled texts of at most SAMPLE_BYTES together, those whose hashed ids are least: both bounds
+are parameters of `train`. Texts from where the bytes are used up on teach nothing.
 
 Cases: a null text is an empty one, which is scored like any other; rows without a label or text teach nothing; an id
 with several labels has the highest; without training rows every score is 0.5; an input column named as a new one
@@ -13,7 +14,7 @@ gives way.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +23,7 @@ from lexiquarry.llm.common import append_by_text, quoted
 FILTERS, WIDTH, STRIDE = 16, 8, 4
 #: Places (of STRIDE bytes) in a chunk, and those it shares with the next.
 CHUNK, OVERLAP = 256, 16
-SAMPLE, EPOCHS, BATCH, RATE, THRESHOLD = 4000, 8, 32, 0.02, 0.3
+SAMPLE, SAMPLE_BYTES, EPOCHS, BATCH, RATE, THRESHOLD = 4000, 64 << 20, 8, 32, 0.02, 0.3
 
 
 def laid(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -126,12 +127,16 @@ class Network:
             np.add.at(grads[0][j], (data[at * STRIDE + j], column), back)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network | None:
-    """A network fitted on at most `sample` labelled texts of docs."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network | None:
+    """A network fitted on at most `sample` labelled texts of docs, of at most `sample_bytes` together."""
     known = labels.select(quoted(id_col).alias("id"), quoted(label_col).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample)  # bounded: it may be broadcast
     texts = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("t")).where("t is not null")
-    rows = texts.join(F.broadcast(known), "id").groupBy("id").agg(F.min("t").alias("t"), F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").collect()
+    rows = texts.join(F.broadcast(known), "id").groupBy("id").agg(F.min("t").alias("t"), F.max("y").alias("y"))
+    # at most `sample` rows; the driver gets those whose bytes, summed in the order of hashed ids, stay within the bound
+    size = F.octet_length("t").cast("long")
+    fits = rows.where(size <= sample_bytes).withColumn("upto", F.sum(size).over(Window.orderBy(F.xxhash64("id"), "id")))
+    rows = fits.where(F.col("upto") <= sample_bytes).orderBy(F.xxhash64("id"), "id").select("t", "y").collect()
     if not rows:
         return None
     return Network().fit([r["t"] for r in rows], [int(r["y"] > 0) for r in rows])

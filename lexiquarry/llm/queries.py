@@ -85,7 +85,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs.where(F.coalesce(remainder(3) != 1, F.lit(False))))
     out = language.identify(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+    return out.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     network = quality.train(docs, table(spark, sf_dir, "labels").where(F.coalesce(remainder(5) != 0, F.lit(False))))
     out = quality.score(docs, network)
-    return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -360,6 +360,28 @@ def test_allowed_words_do_not_hide_secrets(spark):
     assert [r["text"] for r in out if any(s["kind"] == 3 for s in r["secret_spans"])] == []
 
 
+def test_signs_are_no_letters(spark):
+    """Numeric signs, digits and marks are no letters; a null id is held out of nothing."""
+    assert [language.words_of(t) for t in ("½ ² ① Ⅷ 12 _ ٣", "aÜ½b é中", "x_y1z")] == [[], ["aü", "b", "é中"], ["x", "y", "z"]]
+    known = spark.createDataFrame([("the house and the garden", "en"), ("das haus und der garten", "de")], "text string, lang string")
+    out = language.identify(spark.createDataFrame([("½ ² ① 12",), ("the garden",)], "text string"), language.train(known)).collect()
+    assert [r["lang_pred"] for r in sorted(out, key=lambda r: r["text"])] == ["en", "und"] or {r["text"]: r["lang_pred"] for r in out} == {"½ ² ① 12": "und", "the garden": "en"}
+
+
+def test_codewords_are_apart():
+    for n in (3, 7, 8, 20, 60):
+        code = language.codewords(n)
+        apart = [(code[i] != code[j]).sum() for i in range(n) for j in range(i)]
+        assert min(apart) >= 2 and (n < 8 or min(apart) >= code.shape[1] // 4)
+
+
+def test_sample_of_bounded_bytes(spark):
+    docs = spark.createDataFrame([(i, "good text " * 50 if i % 2 else "#!# " * 100) for i in range(60)] + [(99, "x" * 100_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(99, 1)], "doc_id long, quality int")
+    network = quality.train(docs, labels, sample_bytes=12_000)
+    assert network is not None and quality.train(docs, labels, sample_bytes=10) is None
+
+
 def test_language(spark, odd):
     rows = queries.op8_language(spark, "/root/testdata/sf0.01")
     langs = dict(duckdb.sql("select doc_id, lang from '/root/testdata/sf0.01/documents.parquet'").fetchall())
