@@ -1,10 +1,11 @@
 """Benchmark decontamination by suffix arrays over the training texts.
 
-The training corpus is cut into shards of documents. In each shard, words become ids of the test vocabulary, and the
-suffixes that can begin a test window are sorted by their first words: the shard's suffix array. Suffixes that start
-with words no window starts with can't be found by any search and are left out. Every test suffix (of each position of
-each item) is searched by bisection; where a whole window matches, each occurrence is located and followed word by word
-to its longest verbatim match. Documents with an occurrence are contaminated.
+The training corpus is cut into shards of documents. In each shard, words become ids of the test vocabulary, and all
+suffixes that begin with a word of it (no other can match) are sorted by prefix doubling: the shard's suffix array. A
+suffix ends at the first word that no item has. Every test suffix (of each position of each item) is searched by
+bisection, word by word, until no suffix of the shard goes on with it: that gives its longest verbatim match and, as a
+range of the array, all its locations. Where a whole window matches, the range at that depth holds the window's
+occurrences; documents with one are contaminated.
 
 A word: what `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` matches after A-Z became lower case. A window: `window` consecutive
 words of an item; an item of fewer words, but not none, is one window.
@@ -39,81 +40,94 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(TABLE).split()
 
 
-def packed(ids: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """The first words of the suffixes at these places, as byte strings that sort as the word ids do."""
-    out = np.empty((len(at), depth), ">u4")
-    for j in range(depth):
-        out[:, j] = ids[at + j]
-    return out.view(f"S{4 * depth}").ravel() if len(at) else np.empty(0, f"S{4 * depth}")
+#: Pairs of an occurrence and an item that are followed at a time.
+PAIRS = 1 << 20
 
 
 class TestSuffixes:
-    """The windows of a block of items, ready to be searched. Ids from 1; 0 stands for any other word and for ends."""
+    """The suffixes of a block of items, ready to be searched. Ids from 1; 0 stands for any other word and for ends."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
-        self.window, self.ids, self.names = window, {}, [i for i, _ in items]
+        self.ids, self.names = {}, [i for i, _ in items]
         seqs = [[self.ids.setdefault(w, len(self.ids) + 1) for w in words(t)] for _, t in items]
-        self.text = np.array([x for s in seqs for x in [*s, 0]] + [0] * window, np.int32)
-        ends = np.cumsum([len(s) + 1 for s in seqs]).tolist()
-        self.item_at = np.repeat(np.arange(len(seqs)), [len(s) + 1 for s in seqs]).astype(np.int32)
-        starts = [(e - len(s) - 1 + k, min(window, len(s))) for e, s in zip(ends, seqs) for k in range(max(1, len(s) - window + 1)) if s]
-        self.by_length = []
-        for n in sorted({n for _, n in starts}):
-            at = np.array([a for a, m in starts if m == n])
-            keys = packed(self.text, at, n)
-            unique, group = np.unique(keys, return_inverse=True)
-            order = np.argsort(group, kind="stable")
-            self.by_length.append((n, unique, at[order], np.searchsorted(group[order], np.arange(len(unique) + 1))))
-        # a suffix that begins a window begins with one of these words, pairs or triples
-        self.heads = []
-        for k in sorted({min(n, 3) for _, n in starts}):
-            mine = np.array([a for a, n in starts if min(n, 3) == k])
-            self.heads.append((k, np.unique(self.head(self.text, mine, k))))
-
-    def head(self, ids: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-        base, out = np.uint64(len(self.ids) + 1), np.zeros(len(at), np.uint64)
-        for j in range(k):
-            out = out * base + ids[at + j].astype(np.uint64)
-        return out
-
-    def suffix_array(self, ids: np.ndarray, size: int) -> np.ndarray:
-        """Places of the first size words whose suffixes can match, in the order of their first `window` words."""
-        at = np.zeros(0, np.int64)
-        for k, heads in self.heads:
-            ok = ids[:size] != 0
-            for j in range(1, k):
-                ok &= ids[j : size + j] != 0
-            own = np.flatnonzero(ok)
-            h = self.head(ids, own, k)
-            where = np.minimum(np.searchsorted(heads, h), len(heads) - 1)
-            at = np.union1d(at, own[heads[where] == h])
-        return at[np.argsort(packed(ids, at, self.window), kind="stable")]
-
-    def search(self, ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in ids, place in the items, window length) of every occurrence of every window."""
-        order = self.suffix_array(ids, size)
-        found = []
-        for n, unique, at, bounds in self.by_length:
-            keys = packed(ids, order, n)
-            lo, hi = np.searchsorted(keys, unique, "left"), np.searchsorted(keys, unique, "right")
-            for u in np.flatnonzero(hi > lo).tolist():
-                places, tests = order[lo[u] : hi[u]], at[bounds[u] : bounds[u + 1]]
-                found.append((np.repeat(places, len(tests)), np.tile(tests, len(places)), n))
-        if not found:
-            none = np.zeros(0, np.int64)
-            return none, none, none
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), np.repeat([f[2] for f in found], [len(f[0]) for f in found])
-
-    def longest(self, ids: np.ndarray, place: np.ndarray, test: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """How far each occurrence goes on, word by word."""
-        reach, live = length.copy(), np.arange(len(place))
-        while len(live):
-            a, b = ids[place[live] + reach[live]], self.text[test[live] + reach[live]]
-            live = live[(a == b) & (a != 0)]
-            reach[live] += 1
-        return reach
+        sizes = np.array([len(s) + 1 for s in seqs], np.int64)
+        self.text = np.array([x for s in seqs for x in [*s, 0]] + [0], np.int64)
+        self.item_at = np.repeat(np.arange(len(seqs)), sizes)
+        # the window that begins at each place: its words, 0 if none does
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(sizes.sum()) - 1
+        whole = np.repeat(sizes - 1, sizes)
+        self.window = np.where(left >= window, window, np.where((whole < window) & (left == whole), left, 0))
+
+    def search(self, ids: np.ndarray, order: np.ndarray):
+        """(longest match of each test suffix, its range in order; windows that occur: place in the items, words, range)."""
+        at = np.flatnonzero(self.text)
+        longest = np.zeros(len(self.text), np.int64)
+        ranges = np.zeros((len(self.text), 2), np.int64)
+        lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(order), np.int64)
+        hits, depth = [], 0
+        while len(at) and len(order):
+            word = self.text[at + depth]
+            first = bisect(ids, order, lo, hi, depth, word, False)
+            last = bisect(ids, order, first, hi, depth, word, True)
+            go = (first < last) & (word > 0)
+            at, lo, hi = at[go], first[go], last[go]
+            depth += 1
+            longest[at] = depth
+            ranges[at, 0], ranges[at, 1] = lo, hi
+            whole = self.window[at] == depth
+            hits.append((at[whole], np.full(int(whole.sum()), depth), lo[whole], hi[whole]))
+        none = np.zeros(0, np.int64)
+        return longest, ranges, tuple(np.concatenate(x) for x in zip(*hits)) if hits else (none, none, none, none)
+
+
+def bisect(ids: np.ndarray, order: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int, word: np.ndarray, behind: bool) -> np.ndarray:
+    """In each range of suffixes that are equal up to depth, the first one whose next word is not below (or is above) word."""
+    lo, hi = lo.copy(), hi.copy()
+    live = np.flatnonzero(lo < hi)
+    while len(live):
+        mid = (lo[live] + hi[live]) // 2
+        next_ = ids[order[mid] + depth]
+        low = next_ <= word[live] if behind else next_ < word[live]
+        lo[live] = np.where(low, mid + 1, lo[live])
+        hi[live] = np.where(low, hi[live], mid)
+        live = live[lo[live] < hi[live]]
+    return lo
+
+
+def suffix_array(ids: np.ndarray) -> np.ndarray:
+    """The places of ids that aren't 0, in the order of their suffixes up to the first 0 (equal ones in any order)."""
+    zeros = np.flatnonzero(ids == 0)
+    at = np.flatnonzero(ids)
+    if not len(at):
+        return at
+    left = zeros[np.searchsorted(zeros, at)] - at  # words up to the first 0; ids end with one
+    rank = ids.astype(np.int64)
+    most, depth, longest = int(rank.max()), 1, int(left.max())
+    order = at[np.argsort(rank[at])]
+    while depth < longest:
+        beyond = np.zeros(len(at), np.int64)
+        far = left > depth
+        beyond[far] = rank[at[far] + depth]
+        key = rank[at] * (most + 1) + beyond
+        by_key = np.argsort(key)
+        new = np.concatenate([[1], (np.diff(key[by_key]) > 0).astype(np.int64)]).cumsum()
+        order, rank[at[by_key]] = at[by_key], new
+        if new[-1] == len(at):
+            break
+        most, depth = int(new[-1]), depth * 2
+    return order
+
+
+def reached(ids: np.ndarray, text: np.ndarray, place: np.ndarray, test: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """How far each occurrence goes on, word by word."""
+    reach, live = length.copy(), np.arange(len(place))
+    while len(live):
+        a, b = ids[place[live] + reach[live]], text[test[live] + reach[live]]
+        live = live[(a == b) & (a != 0)]
+        reach[live] += 1
+    return reach
 
 
 def located(suffixes: TestSuffixes, texts: list[str | None]):
@@ -122,29 +136,41 @@ def located(suffixes: TestSuffixes, texts: list[str | None]):
     parts = [np.fromiter(map(get, w, repeat(0)), np.int32, len(w)) for w in map(words, texts)]
     sizes = np.array([len(p) for p in parts], np.int64)
     gap = np.zeros(1, np.int32)
-    ids = np.concatenate([*chain.from_iterable((p, gap) for p in parts), np.zeros(suffixes.window, np.int32)])
+    ids = np.concatenate([*chain.from_iterable((p, gap) for p in parts), gap])
     starts = np.cumsum(sizes + 1) - sizes - 1
-    size = len(ids) - suffixes.window
-    place, test, length = suffixes.search(ids, size)
+    order = suffix_array(ids)
+    _, _, (test, length, lo, hi) = suffixes.search(ids, order)
     spans: list[list] = [[] for _ in texts]
-    matches: list[list] = [[] for _ in texts]
-    if len(place):
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    if len(test):
         edge = np.zeros(len(ids) + 1, np.int64)
-        np.add.at(edge, place, 1)
-        np.add.at(edge, place + length, -1)
+        # a window that several items have is one range: its places are marked once
+        _, once = np.unique(np.stack([lo, hi, length]), axis=1, return_index=True)
+        for k in once.tolist():
+            place = order[lo[k] : hi[k]]
+            edge[place] += 1
+            edge[place + length[k]] -= 1
         flips = np.diff(np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8)]))
-        lo, hi = np.flatnonzero(flips == 1), np.flatnonzero(flips == -1)
-        doc = np.searchsorted(starts, lo, "right") - 1
-        for d, a, b in zip(doc.tolist(), (lo - starts[doc]).tolist(), (hi - starts[doc]).tolist()):
-            spans[d].append({"start": a, "end": b})
-        reach = suffixes.longest(ids, place, test, length)
-        doc = np.searchsorted(starts, place, "right") - 1
-        item = suffixes.item_at[test]
-        order = np.lexsort((place, -reach, item, doc))
-        doc, item, place, reach = doc[order], item[order], place[order], reach[order]
-        first = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
-        for d, i, p, r in zip(doc[first].tolist(), item[first].tolist(), (place - starts[doc])[first].tolist(), reach[first].tolist()):
-            matches[d].append({"item": suffixes.names[i], "start": p, "length": r})
+        a, b = np.flatnonzero(flips == 1), np.flatnonzero(flips == -1)
+        doc = np.searchsorted(starts, a, "right") - 1
+        for d, x, y in zip(doc.tolist(), (a - starts[doc]).tolist(), (b - starts[doc]).tolist()):
+            spans[d].append({"start": x, "end": y})
+        # per document and item the longest match: pairs of windows and places are followed in parts of bounded size
+        upto = np.concatenate([[0], np.cumsum(hi - lo)])
+        for first in range(0, int(upto[-1]), PAIRS):
+            pair = np.arange(first, min(first + PAIRS, int(upto[-1])))
+            own = np.searchsorted(upto, pair, "right") - 1
+            place = order[lo[own] + pair - upto[own]]
+            reach = reached(ids, suffixes.text, place, test[own], length[own])
+            doc, item = np.searchsorted(starts, place, "right") - 1, suffixes.item_at[test[own]]
+            by = np.lexsort((place, -reach, item, doc))
+            doc, item, place, reach = doc[by], item[by], place[by], reach[by]
+            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
+            for d, i, p, r in zip(doc[new].tolist(), item[new].tolist(), (place - starts[doc])[new].tolist(), reach[new].tolist()):
+                best[d, i] = min(best.get((d, i), (0, 0)), (-r, p))
+    matches: list[list] = [[] for _ in texts]
+    for (d, i), (r, p) in sorted(best.items()):
+        matches[d].append({"item": suffixes.names[i], "start": p, "length": -r})
     return sizes, spans, matches
 
 

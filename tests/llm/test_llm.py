@@ -254,6 +254,30 @@ def test_decontamination(spark, docs, odd):
     assert decontaminate.remove(odd, bench.limit(0)).count() == len(ODD)
 
 
+def test_longest_matches_of_every_suffix():
+    """The suffix array is sorted, and bisection gives each test suffix its longest match and all its places."""
+    rng = np.random.default_rng(6)
+    letters = [["a", "b", "c"], ["ab", "cd", "x", "y"], ["q"]]
+    for case in range(60):
+        own = letters[case % 3]
+        texts = [" ".join(rng.choice([*own, "other"], rng.integers(0, 40))) for _ in range(4)]
+        items = [(str(i), " ".join(rng.choice(own, rng.integers(0, 25)))) for i in range(4)]
+        s = decontaminate.TestSuffixes(items, 5)
+        ids = np.array([i for t in texts for i in [*[s.ids.get(w, 0) for w in decontaminate.words(t)], 0]] or [0], np.int32)
+        order = decontaminate.suffix_array(ids)
+        suffix = lambda x, p: tuple(x[p : p + list(x[p:]).index(0)])
+        tails = [suffix(ids.tolist(), p) for p in order]
+        assert tails == sorted(tails) and sorted(order) == np.flatnonzero(ids).tolist()
+        longest, ranges, _ = s.search(ids, order)
+        text = s.text.tolist()
+        for p in np.flatnonzero(s.text).tolist():
+            mine = suffix(text, p)
+            n = max((next((k for k, (a, b) in enumerate(zip(t, mine)) if a != b), min(len(t), len(mine))) for t in tails), default=0)
+            assert longest[p] == n
+            if n:
+                assert sorted(order[ranges[p, 0] : ranges[p, 1]]) == sorted(q for q, t in zip(order, tails) if t[:n] == mine[:n])
+
+
 def test_items_without_an_id_are_removed(spark, odd):
     bench = spark.createDataFrame([(None, "apache license version"), (None, "abcdefghijklmnop"), (None, None)], "item_id long, text string")
     out = decontaminate.remove(odd, bench)
