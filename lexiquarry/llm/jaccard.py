@@ -1,7 +1,9 @@
 """Exact set-similarity join on word shingles, and its linked components.
 
 Sets of hashed shingles are cut into segments by size band and indexed by segment signatures (shingles.Scheme), so that
-every pair that links meets in a bucket. One exchange moves the signatures, packed by bucket range:
+every pair that links meets in a bucket. A first pass over all sets counts how often segments of several sizes are equal
+in each band; the segments and their weights are allocated by that. One exchange moves the signatures, packed by bucket
+range; a batch with many members of a bucket sends the least of them and keeps the links to it:
 
 1. A small bucket gives its pairs, a larger one the links of its members to the least of them.
 2. Links are tested against a parity sketch (two sets' sketches differ in no more bits than the sets in elements), then
@@ -11,7 +13,10 @@ every pair that links meets in a bucket. One exchange moves the signatures, pack
    component needs no test.
 
 Equal sets of one batch are joined at once and only their first goes on. No step gathers a bucket or a component in one
-task: buckets are combined before they are moved, large ones are cut into blocks.
+task: a batch sends at most SMALL members of a bucket, the number of ranges grows with the documents, the members of
+large buckets are dealt by salted keys and cut into blocks, and joins on one document of a pair leave a hot one to be
+split by the engine's handling of skewed joins. Of the largest component in a bucket, members aren't compared with
+each other.
 
 Cases: a null, empty or wordless text has an empty set, linked with nothing; a null id belongs to no component and is
 linked with nothing; rows that share an id are one vertex; an empty table gives no rows. Ids are integers. Texts are
@@ -29,15 +34,20 @@ from pyspark.sql import functions as F
 from lexiquarry.llm.common import Scratch, quoted, slices, small_batches, trim
 from lexiquarry.llm.graph import components
 from lexiquarry.llm.hashing import mix
-from lexiquarry.llm.shingles import Scheme, Shingler
+from lexiquarry.llm.shingles import CELLS, LEVELS, Scheme, Shingler
 
 #: Members of a bucket that gives all its pairs; members of a block; bits of a sketch.
 SMALL, BLOCK, BITS = 4, 1024, 1024
 #: Ids that may be broadcast (8 bytes each) instead of moving texts.
 BROADCAST_IDS = 1 << 21
-#: Ranges of buckets for each shuffle partition, so that tasks are even.
-RANGES = 8
+#: Ranges of buckets for each shuffle partition at least, so that tasks are even, and documents for each range at most.
+RANGES, RANGE_DOCS = 8, 20_000
+#: Parts that the members of a bucket are dealt to.
+SALTS = 32
 LINK, CROWD, SAME, DOC = range(4)
+#: What a batch sends: bucket entries (key, doc), keys of buckets that are large in it, equal sets, documents, links and
+#: members (key, doc) of large buckets.
+PACKED = ["sig", "hot", "same", "docs", "stars", "crowd"]
 DOC_ROW = np.dtype([("id", "<i8"), ("n", "<i8"), ("sketch", f"V{BITS // 8}")])
 
 
@@ -97,13 +107,36 @@ class JaccardJoin:
         self.all = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"))
         self.docs = self.all.where("id is not null")
 
+    def measured(self, total: int) -> dict[int, tuple[int, list[float]]]:
+        """By size band, its sets and the chances that segments of two of them are equal, counted over all documents."""
+        k, num, den = self.k, self.num, self.den
+
+        def tally(batches):
+            shingler, scheme, counts = Shingler(k), Scheme(num, den, total), {}
+            for b in batches:
+                for lo, hi in slices(b.column(0)):
+                    scheme.tally(*shingler.sets(b.column(0).slice(lo, hi - lo).to_pylist()), counts)
+            for (band, level), n in counts.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), band, np.int32)), pa.array(np.full(len(at), level, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["band", "level", "cell", "n"])
+            trim()
+
+        cells = self.docs.select("text").mapInArrow(tally, "band int, level int, cell int, n long").groupBy("band", "level", "cell").agg(F.sum("n").cast("double").alias("n"))
+        out: dict[int, tuple[int, list[float]]] = {}
+        for r in cells.groupBy("band", "level").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares")).collect():
+            n, chances = out.setdefault(r["band"], (0, [0.0] * len(LEVELS)))
+            equal = (r["squares"] - r["n"]) / max(r["n"] * (r["n"] - 1), 1)
+            chances[r["level"]] = max(0.0, (equal - 1 / CELLS) / (1 - 1 / CELLS))
+            out[r["band"]] = max(n, int(r["n"])), chances
+        return out
+
     def found(self) -> DataFrame:
         """(kind, a, b, sketch): links, members of larger buckets (a: the bucket), equal sets, and documents (b: set size)."""
         k, num, den, total = self.k, self.num, self.den, self.all.count()
-        ranges = RANGES * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        ranges, measured = max(RANGES * int(self.spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE_DOCS), self.measured(total)
 
         def emit(batches):
-            shingler, scheme = Shingler(k), Scheme(num, den, total)
+            shingler, scheme = Shingler(k), Scheme(num, den, total, measured)
             for b in batches:
                 for lo, hi in slices(b.column(1)):
                     ids = b.column(0).slice(lo, hi - lo).to_numpy()
@@ -123,19 +156,28 @@ class JaccardJoin:
                     own = sets[np.repeat(ends[keep] - n - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                     keys, owners = scheme.signatures(own, n)
                     entry = np.stack([keys.view(np.int64), ids[keep[owners]]], axis=1)
-                    part = (keys >> np.uint64(24)) % np.uint64(ranges)
+                    entry = entry[np.lexsort((entry[:, 1], entry[:, 0]))]
+                    # of a bucket with many members here only the least goes on; the others are linked with it and crowd the bucket
+                    start = np.flatnonzero(np.concatenate([[True], entry[1:, 0] != entry[:-1, 0]])) if len(entry) else np.zeros(0, np.int64)
+                    size = np.diff(np.append(start, len(entry)))
+                    many = np.repeat(size > SMALL, size)
+                    behind = many.copy()
+                    behind[start] = False
+                    local = entry[behind]
+                    stars = np.stack([np.repeat(entry[start, 1], size)[behind], local[:, 1]], axis=1)
+                    stars = np.unique(stars[stars[:, 0] != stars[:, 1]], axis=0)
+                    hot, entry = many[~behind], entry[~behind]
+                    part = (entry[:, 0].view(np.uint64) >> np.uint64(24)) % np.uint64(ranges)
                     order = np.argsort(part, kind="stable")
-                    entry, part = entry[order], part[order]
-                    p, sig, other = [], [], []
+                    entry, part, hot = entry[order], part[order], hot[order]
+                    p, blobs = [], []
                     for x, y in runs(part):
                         p.append(int(part[x]))
-                        sig.append(entry[x:y].tobytes())
-                        other.append((b"", b""))
+                        blobs.append((entry[x:y].tobytes(), entry[x:y, 0][hot[x:y]].tobytes(), b"", b"", b"", b""))
                     pairs = np.array([(ids[a], ids[c]) for a, c in same], np.int64).tobytes()
                     p.append(int(mix(ids[:1].view(np.uint64))[0] % np.uint64(ranges)))
-                    sig.append(b"")
-                    other.append((pairs, rows.tobytes()))
-                    yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(sig, pa.binary()), pa.array([x for x, _ in other], pa.binary()), pa.array([x for _, x in other], pa.binary())], names=["p", "sig", "same", "docs"])
+                    blobs.append((b"", b"", pairs, rows.tobytes(), stars.tobytes(), local.tobytes()))
+                    yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), *[pa.array(x, pa.binary()) for x in zip(*blobs)]], names=["p", *PACKED])
             trim()
 
         def meet(batches):
@@ -147,16 +189,22 @@ class JaccardJoin:
                 key, doc = sig[:, 0], sig[:, 1]
                 start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
                 size = np.diff(np.append(start, len(key)))
+                hot = np.unique(np.frombuffer(b"".join(t.column("hot").to_pylist()), "<i8"))
+                large = (size > SMALL) | np.isin(key[start], hot)
                 links = [np.zeros((0, 2), np.int64)]
                 for n in range(2, SMALL + 1):
-                    at = start[size == n]
+                    at = start[(size == n) & ~large]
                     links += [np.stack([doc[at + i], doc[at + j]], axis=1) for i in range(n) for j in range(i + 1, n)]
-                crowded = np.repeat(size > SMALL, size)
+                crowded = np.repeat(large, size)
                 centre = np.repeat(doc[start], size)
                 links.append(np.stack([centre, doc], axis=1)[crowded & (centre != doc)])
                 links = np.unique(np.concatenate(links), axis=0)
                 yield out(LINK, links[:, 0], links[:, 1])
                 yield out(CROWD, key[crowded], doc[crowded])
+                for kind, name in ((LINK, "stars"), (CROWD, "crowd")):
+                    for blob in t.column(name).to_pylist():
+                        pairs = np.frombuffer(blob, "<i8").reshape(-1, 2)
+                        yield out(kind, pairs[:, 0], pairs[:, 1])
                 same = np.frombuffer(b"".join(t.column("same").to_pylist()), "<i8").reshape(-1, 2)
                 yield out(SAME, same[:, 0], same[:, 1])
                 for blob in t.column("docs").to_pylist():
@@ -168,7 +216,7 @@ class JaccardJoin:
             n = len(a)
             return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b)), pa.array(sketch, pa.binary()) if sketch is not None else pa.nulls(n, pa.binary())], names=["kind", "a", "b", "sketch"])
 
-        packed = self.docs.mapInArrow(emit, "p int, sig binary, same binary, docs binary")
+        packed = self.docs.mapInArrow(emit, "p int, " + ", ".join(f"{x} binary" for x in PACKED))
         return packed.repartition("p").sortWithinPartitions("p").mapInArrow(meet, "kind byte, a long, b long, sketch binary")
 
     def sketched(self, pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -223,10 +271,15 @@ class JaccardJoin:
         """Pairs of different components that meet in a larger bucket and whose sketches let them link."""
         num, den = self.num, self.den
         rows = crowd.join(roots, crowd["doc"] == roots["node"], "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
-        mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-        rows = rows.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "key")
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
-        tiles = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+        # per bucket with several components: the largest one, and blocks for its members and for the others
+        by_root = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+        mixed = by_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+        mixed = mixed.select("key", F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("many"))
+        mixed = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(SALTS)).cast("int")).join(mixed, ["key", "salt"])
+        in_top, h = F.col("root") == F.col("top"), F.xxhash64("doc")
+        rows = rows.withColumn("block", F.when(in_top, F.col("few") + F.pmod(h, "many")).otherwise(F.pmod(h, "few")).cast("int"))
+        tiles = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("few") + F.when(in_top, 0).otherwise(F.col("many")) - 1)))
         tiles = tiles.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "doc", "root")
         tiles = tiles.join(docs.select(F.col("a").alias("doc"), F.col("b").alias("n"), "sketch"), "doc")
         tiles = tiles.select("key", "i", "j", "block", "doc", "root", "n", "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -301,12 +354,16 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col:
     gone = roots.select(F.col("node").alias("__gone"))
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, quoted(id_col).cast("long") == F.col("__gone"), "left_anti")
+    names = docs.columns
+    safe = docs.toDF(*[f"c{i}" for i in range(len(names))])  # no column of docs has the name of one that is joined
+    own, text = F.col(f"c{names.index(id_col)}"), F.col(f"c{names.index(text_col)}")
+    kept = safe.join(gone, own.cast("long") == F.col("__gone"), "left_anti")
     again = sizes.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
     if not again.limit(1).count():
-        return kept
+        return kept.toDF(*names)
     ids = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
-    once = kept.join(ids, quoted(id_col).cast("long") == F.col("a"), "left_anti")
-    rows = kept.join(ids, quoted(id_col).cast("long") == F.col("a"), "left_semi")
-    whole = F.struct(F.coalesce(quoted(text_col).cast("string"), F.lit("")), F.struct(*[quoted(c) for c in docs.columns]).alias("row"))
-    return once.union(rows.groupBy(quoted(id_col)).agg(F.min(whole).alias("w")).select("w.row.*"))
+    once = kept.join(ids, own.cast("long") == F.col("a"), "left_anti")
+    rows = kept.join(ids, own.cast("long") == F.col("a"), "left_semi")
+    # by text, then by the row as JSON, which orders columns of every type
+    least = F.min_by(F.struct(*safe.columns), F.struct(F.coalesce(text.cast("string"), F.lit("")), F.to_json(F.struct(*safe.columns))))
+    return once.union(rows.groupBy(own.alias("__own")).agg(least.alias("w")).select("w.*")).toDF(*names)

@@ -8,8 +8,10 @@ import numpy as np
 
 from lexiquarry.llm.hashing import M1, M2, mix, words
 
-#: Ratio of a size band's ends; share of shingles that unrelated texts have in common, for the cost model.
+#: Ratio of a size band's ends; share of shingles that unrelated texts have in common, where nothing was measured.
 BAND, COMMON = 1.5, 0.25
+#: Expected elements of the segments whose frequencies are measured, and cells that count them.
+LEVELS, CELLS = (1, 2, 4, 8, 16), 1024
 #: Bytes of text that are hashed at a time.
 PART = 2 << 20
 
@@ -69,11 +71,12 @@ class Scheme:
     at most one element (weight 2: it is indexed with each one-element deletion). A set also takes part in the bands
     that hold its larger partners. Segments too small to tell sets apart weigh 0; a set that runs out of segments
     indexes them all. The weights and the number of segments are those of least cost for the band: entries made, and
-    chance meetings expected among the sets there are.
+    chance meetings expected from the frequencies that segments of several sizes have among all sets of the band.
     """
 
-    def __init__(self, num: int, den: int, sets: int):
-        self.num, self.den, self.sets = num, den, sets
+    def __init__(self, num: int, den: int, sets: int, measured: dict[int, tuple[int, list[float]]] | None = None):
+        """measured: by band, its sets and for each of LEVELS the chance that the segments of two sets are equal."""
+        self.num, self.den, self.sets, self.measured = num, den, sets, measured or {}
         self.low = [1]
         while self.low[-1] < 1 << 31:
             self.low.append(max(self.low[-1] + 1, int(self.low[-1] * BAND)))
@@ -91,17 +94,51 @@ class Scheme:
         if need == 1:
             return 1, 0, 1
         best = None
-        crowd = self.sets / 20
-        for two in range(min(need // 2, 4) + 1):
+        for two in sorted({*range(5), *[x for e in range(3, 20) for x in (1 << e, 3 << e - 1)]}):
             one = need - 2 * two
-            segments = two + one + (two + one + 4) // 8 * (one > 0)
-            each = mid / segments
-            cost = one * (1 + crowd * COMMON**each) + two * (1 + each) * (1 + crowd * COMMON ** max(each - 1, 0))
-            if best is None or cost < best[0]:
-                best = (cost, segments, two)
+            if one < 0:
+                break
+            for spare in {0, (two + one + 4) // 8 * (one > 0), (two + one + 2) // 4 * (one > 0)}:
+                segments = two + one + spare
+                each = mid / segments
+                cost = one * (1 + self.meetings(k, each)) + two * (1 + each) * (1 + self.meetings(k, max(each - 1, 0)))
+                if best is None or cost < best[0]:
+                    best = (cost, segments, two)
         _, segments, two = best
         return segments, two, 3 if mid / segments >= 8 else 2 if mid / segments >= 3 else 1
 
+    def meetings(self, k: int, each: float) -> float:
+        """Other sets that are expected in the bucket of a segment of so many elements."""
+        if k not in self.measured:
+            return self.sets / 20 * COMMON**each
+        n, chances = self.measured[k]
+        if each <= LEVELS[0]:
+            return n * (chances[0] + (1 - chances[0]) * max(0.0, 1 - each))
+        if each >= LEVELS[-1]:
+            fall = chances[-1] / chances[-2] if chances[-2] > chances[-1] else 1.0
+            return n * chances[-1] * fall ** ((each - LEVELS[-1]) / (LEVELS[-1] - LEVELS[-2]))
+        return n * float(np.interp(each, LEVELS, chances))
+
+    def tally(self, sets: np.ndarray, sizes: np.ndarray, counts: dict[tuple[int, int], np.ndarray]) -> None:
+        """Adds to counts, by band and level, in how many sets the first segment of the level's size has which cell."""
+        first = np.searchsorted(self.starts, sizes, "right") - 1
+        ends = np.cumsum(sizes)
+        for k in np.unique(first[sizes > 0]).tolist():
+            rows = np.flatnonzero((sizes > 0) & (first == k))
+            n = sizes[rows]
+            own = np.repeat(np.arange(len(rows)), n)
+            s = sets[np.repeat(ends[rows] - n, n) + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)]
+            place = mix(s + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF))
+            value, mid = mix(place ^ M2), (self.low[k] + self.low[k + 1] - 1) / 2
+            for j, each in enumerate(LEVELS):
+                inside = place < np.uint64(min((1 << 64) - 1, int((1 << 64) * min(1.0, each / mid))))
+                total = np.zeros(len(rows), np.uint64)
+                np.add.at(total, own[inside], value[inside])
+                cell = (mix(total[np.bincount(own[inside], minlength=len(rows)) > 0]) % np.uint64(CELLS)).astype(np.int64)
+                if (k, j) not in counts:
+                    counts[k, j] = np.zeros(CELLS, np.int64)
+                counts[k, j] += np.bincount(cell, minlength=CELLS)
+
     def signatures(self, sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(keys, index of the set) of every index entry."""
         keys, owners = [], []

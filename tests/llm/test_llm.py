@@ -184,6 +184,27 @@ def test_jaccard_on_documents(spark, docs):
     assert out == brute_components(sorted(docs.items()), 3, 90, 100)
 
 
+def test_jaccard_on_crowded_buckets(spark, monkeypatch):
+    """Groups that crowd buckets within batches and across them, of one component and of many: components as by brute force."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    pool = [f"w{i}" for i in range(60)]
+    head = [f"h{i}" for i in range(40)]
+    texts = [" ".join(head) for _ in range(70)] + [" ".join([*head[:36], *rng.choice(pool, 4)]) for _ in range(90)]
+    texts += [" ".join([*head[:20], *rng.choice(pool, 20)]) for _ in range(60)] + [" ".join(rng.choice(pool, 12)) for _ in range(40)]
+    order = rng.permutation(len(texts))
+    df = spark.createDataFrame([(int(i), texts[i]) for i in order], "doc_id long, text string").repartition(7)
+    out = {r["doc_id"]: r["component_id"] for r in jaccard.components_of(df, 2, 4, 5).collect()}
+    assert out == {i: c for i, (_, c) in brute_components(list(enumerate(texts)), 2, 4, 5).items()}
+
+
+def test_one_of_each_keeps_columns_of_any_name_and_type(spark):
+    rows = [(1, "one two three four five six", "x", {"k": 1}), (1, "one two three four five six", "w", {"k": 2}), (2, "one two three four five six", "y", None), (3, None, "z", {}), (None, "t", "n", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, a string, __gone map<string,int>")
+    out = jaccard.one_of_each(df)
+    assert out.columns == df.columns and sorted((r["doc_id"] or 0, r["a"]) for r in out.collect()) == [(0, "n"), (1, "w"), (3, "z")]
+
+
 def test_jaccard_odd(spark, odd):
     rows = sorted(((r["doc_id"] or 0, r["component_id"]) for r in jaccard.components_of(odd).collect()), key=str)
     assert rows == sorted([(0, None), (1, 1), (2, 2), (3, 3), (4, 1), (4, 1), (7, 7), (8, 8)], key=str)
