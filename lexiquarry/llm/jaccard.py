@@ -9,8 +9,9 @@ range; a batch with many members of a bucket sends the least of them and keeps t
 2. Links are tested against a parity sketch (two sets' sketches differ in no more bits than the sets in elements), then
    exactly on the texts; what passes is joined to components.
 3. In larger buckets that still hold several components, members of different components are compared by their sketches,
-   in blocks of bounded size, and what passes is tested exactly. No pair of a bucket is left out: a pair of one
-   component needs no test.
+   in blocks of bounded size, and what passes is tested exactly: at first each member's nearest only, which joins most
+   of what belongs together, then all that still lie in different components. No pair of a bucket is left out: a pair
+   of one component needs no test.
 
 Equal sets of one batch are joined at once and only their first goes on. No step gathers a bucket or a component in one
 task: a batch sends at most SMALL members of a bucket, the number of ranges grows with the documents, the members of
@@ -63,10 +64,10 @@ def sketches(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def close(num: int, den: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Whether sets with sketches a and b (rows of 64-bit words) and sizes n and m can link."""
+def close(num: int, den: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sets with sketches a and b (rows of 64-bit words) and sizes n and m can link, and the bits in which they differ."""
     apart = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
-    return (apart * (den + num) <= (n + m) * (den - num)) & (n * den >= m * num) & (m * den >= n * num)
+    return (apart * (den + num) <= (n + m) * (den - num)) & (n * den >= m * num) & (m * den >= n * num), apart
 
 
 def runs(*columns: np.ndarray):
@@ -228,7 +229,7 @@ class JaccardJoin:
         def test(batches):
             for t in batches:
                 a, b = (np.frombuffer(b"".join(t.column(i).to_pylist()), "<u8").reshape(-1, BITS // 64) for i in (4, 5))
-                ok = close(num, den, a, b, t.column(2).to_numpy(), t.column(3).to_numpy())
+                ok, _ = close(num, den, a, b, t.column(2).to_numpy(), t.column(3).to_numpy())
                 yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
         return both.mapInArrow(test, "a long, b long").distinct()
@@ -267,8 +268,11 @@ class JaccardJoin:
 
         return rows.mapInArrow(test, "a long, b long")
 
-    def across(self, crowd: DataFrame, docs: DataFrame, roots: DataFrame) -> DataFrame:
-        """Pairs of different components that meet in a larger bucket and whose sketches let them link."""
+    def across(self, crowd: DataFrame, docs: DataFrame, roots: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs of different components that meet in a larger bucket and whose sketches let them link.
+
+        nearest: of each member in a block only the one whose sketch is nearest.
+        """
         num, den = self.num, self.den
         rows = crowd.join(roots, crowd["doc"] == roots["node"], "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
         # per bucket with several components: the largest one, and blocks for its members and for the others
@@ -294,11 +298,13 @@ class JaccardJoin:
                 block, doc, root, n, bits = block[order], doc[order], root[order], n[order], bits[order]
                 for x in range(len(doc) - many.max()):
                     there = slice(x + 1, None)
-                    ok = close(num, den, bits[x], bits[there], n[x], n[there]) & (root[there] != root[x])
+                    ok, apart = close(num, den, bits[x], bits[there], n[x], n[there])
+                    ok &= root[there] != root[x]
                     if i != j:
                         ok &= block[there] != block[x]
                     if ok.any():
                         b = doc[there][ok]
+                        b = b[[apart[ok].argmin()]] if nearest else b
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(b, doc[x])), pa.array(np.maximum(b, doc[x]))], names=["a", "b"])
 
         return tiles.mapInArrow(compare, "a long, b long").distinct()
@@ -312,10 +318,13 @@ class JaccardJoin:
         edges = keep(self.verified(keep(self.sketched(links, docs), "near-1")), "edges-1").union(found.where(f"kind = {SAME}").select("a", "b"))
         roots = components(edges, self.scratch, "roots")
         crowd = found.where(f"kind = {CROWD}").select(F.col("a").alias("key"), F.col("b").alias("doc"))
-        self.round = 2
-        more = keep(self.verified(keep(self.across(crowd, docs, roots), "near-2")), "edges-2")
-        if more.limit(1).count():
-            roots = components(roots.toDF("a", "b").union(more), self.scratch, "roots-2")
+        # first the nearest of each, while that joins components; then all pairs that still lie in different ones
+        for self.round, nearest in ((2, True), (3, True), (4, False)):
+            if self.round == 3 and not more.limit(1).count():
+                continue
+            more = keep(self.verified(keep(self.across(crowd, docs, roots, nearest), f"near-{self.round}")), f"edges-{self.round}")
+            if more.limit(1).count():
+                roots = components(roots.toDF("a", "b").union(more), self.scratch, f"roots-{self.round}")
         return docs.select("a", "b"), roots
 
 
