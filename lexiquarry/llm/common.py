@@ -12,17 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexiquarry.sources.shared import shared_dir
+
 #: UTF-8 bytes of text that one call of a batch function gets; a single longer text is a call of its own.
 BATCH_BYTES = 4 << 20
 #: Rows in a batch that Spark sends to a Python worker, at most.
 BATCH_ROWS = 2000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/lexiquarry-checkpoints"
-
-
 class Scratch:
     """Parquet tables under the shared folder, written to cut lineage: a lost executor costs no recomputation before them."""
 
@@ -63,6 +60,14 @@ def quoted(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(df: DataFrame, names) -> list[T.StructField]:
     """df's fields but those that clash with names (upper and lower case are equal, as in Spark)."""
     gone = {n.lower() for n in names}

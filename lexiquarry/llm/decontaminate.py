@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiquarry.llm.common import append_by_text, quoted
+from lexiquarry.llm.common import append_by_text, fresh, quoted
 
 #: Bytes of test items that executors hold at a time.
 BLOCK_BYTES = 8 << 20
@@ -192,10 +192,11 @@ def scan(df: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str =
     new = ["n_words", "hit_spans", "matches"]
     for k, items in enumerate(blocks(benchmark, item_col, item_text_col)):
         if k:  # a further block: its findings are merged into those of the rows so far
-            df = df.withColumnsRenamed({"hit_spans": "__s", "matches": "__m"}).drop("n_words")
+            spans, found = fresh(df, "__s"), fresh(df, "__m")
+            df = df.withColumnsRenamed({"hit_spans": spans, "matches": found}).drop("n_words")
         df = _scan_block(df, items, window, text_col)
         if k:
-            df = df.withColumns({"hit_spans": merged(F.concat("hit_spans", "__s")), "matches": F.concat("__m", "matches")}).drop("__s", "__m")
+            df = df.withColumns({"hit_spans": merged(F.concat("hit_spans", spans)), "matches": F.concat(found, "matches")}).drop(spans, found)
     kept = [f.name for f in df.schema.fields if f.name not in new]
     return df.select(*map(quoted, kept + new))
 

@@ -309,6 +309,11 @@ class JaccardJoin:
 
         return tiles.mapInArrow(compare, "a long, b long").distinct()
 
+    def done(self) -> None:
+        """Removes the tables of a round that nothing reads any more."""
+        self.scratch.drop(f"near-{self.round}")
+        self.scratch.drop(f"want-{self.round}")
+
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(a: id, b: set size) of every document with an id; (node, root) of those with a lesser id in their component."""
         keep = self.scratch.keep
@@ -317,6 +322,7 @@ class JaccardJoin:
         self.round = 1
         edges = keep(self.verified(keep(self.sketched(links, docs), "near-1")), "edges-1").union(found.where(f"kind = {SAME}").select("a", "b"))
         roots = components(edges, self.scratch, "roots")
+        self.done()
         crowd = found.where(f"kind = {CROWD}").select(F.col("a").alias("key"), F.col("b").alias("doc"))
         # first the nearest of each, while that joins components; then all pairs that still lie in different ones
         for self.round, nearest in ((2, True), (3, True), (4, False)):
@@ -325,6 +331,7 @@ class JaccardJoin:
             more = keep(self.verified(keep(self.across(crowd, docs, roots, nearest), f"near-{self.round}")), f"edges-{self.round}")
             if more.limit(1).count():
                 roots = components(roots.toDF("a", "b").union(more), self.scratch, f"roots-{self.round}")
+            self.done()
         return docs.select("a", "b"), roots
 
 

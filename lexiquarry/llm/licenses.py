@@ -13,10 +13,12 @@ and a repeated match counts once; long texts are scanned whole; other columns pa
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiquarry.llm.common import quoted, without
+from lexiquarry.llm.common import fresh, quoted, without
 
 # Known licence sentences, normalised, and their identifiers.
 SENTENCES = {
@@ -52,10 +54,52 @@ SENTENCES = {
     "licensed under cc by sa 4 0": "CcBySa4Notice",
     "licensed under cc by nc 4 0": "CcByNc4Notice",
     "this work is licensed under a creative commons attribution 4 0 international license": "CcBy4Notice",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "Lgpl21OrLaterGrant",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Lgpl3OrLaterGrant",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GplWarranty",
+    "see the gnu lesser general public license for more details": "GplSee",
+    "you should have received a copy of the gnu lesser general public license along with this library": "GplCopy",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Agpl3OrLaterGrant",
+    "see the gnu affero general public license for more details": "GplSee",
+    "you should have received a copy of the gnu affero general public license along with this program": "GplCopy",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "Epl2Notice",
+    "distributed under the boost software license version 1 0": "BoostNotice",
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "Cc0Waiver",
+    "this work is dedicated to the public domain under a cc0 1 0 universal license": "Cc0Waiver",
+    "this software is provided as is without any express or implied warranty": "ZlibWarranty",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "ZlibLiability",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "ZlibGrant",
+    "the origin of this software must not be misrepresented you must not claim that you wrote the original software": "ZlibOrigin",
+    "altered source versions must be plainly marked as such and must not be misrepresented as being the original software": "ZlibAltered",
+    "this notice may not be removed or altered from any source distribution": "ZlibNotice",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "BsdAdvertising",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "BsdDisclaimer",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "BsdLiability",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "MitLiability",
     "this is free and unencumbered software released into the public domain": "UnlicenseGrant",
 }
+# Names of licences in identifier lines.
+SPDX = ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "ISC", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Zlib", "Unlicense"]
+SENTENCES |= {"spdx license identifier " + re.sub("[^a-z0-9]+", " ", x.lower()): "Spdx:" + x for x in SPDX}
 # Ordered rules, a run of identifiers and the licence it states.
 RULES = [
+    ("MitTitle MitGrant MitCondition MitWarranty MitLiability", "MIT"),
+    ("MitGrant MitCondition MitWarranty MitLiability", "MIT"),
+    ("BsdGrant BsdSource BsdBinary BsdAdvertising BsdNames BsdDisclaimer BsdLiability", "BSD-4-Clause"),
+    ("BsdGrant BsdSource BsdBinary BsdAdvertising BsdNames", "BSD-4-Clause"),
+    ("BsdGrant BsdSource BsdBinary BsdNames BsdDisclaimer BsdLiability", "BSD-3-Clause"),
+    ("BsdGrant BsdSource BsdBinary BsdDisclaimer BsdLiability", "BSD-2-Clause"),
+    ("ZlibWarranty ZlibLiability ZlibGrant ZlibOrigin ZlibAltered ZlibNotice", "Zlib"),
+    ("ZlibGrant ZlibOrigin ZlibAltered ZlibNotice", "Zlib"),
+    ("Agpl3OrLaterGrant GplWarranty GplSee GplCopy", "AGPL-3.0-or-later"),
+    ("Agpl3OrLaterGrant", "AGPL-3.0-or-later"),
+    ("Lgpl3OrLaterGrant GplWarranty GplSee GplCopy", "LGPL-3.0-or-later"),
+    ("Lgpl3OrLaterGrant", "LGPL-3.0-or-later"),
+    ("Lgpl21OrLaterGrant GplWarranty GplSee GplCopy", "LGPL-2.1-or-later"),
+    ("Lgpl21OrLaterGrant", "LGPL-2.1-or-later"),
+    ("Epl2Notice", "EPL-2.0"),
+    ("BoostNotice", "BSL-1.0"),
+    ("Cc0Waiver", "CC0-1.0"),
     ("MitTitle MitGrant MitCondition MitWarranty", "MIT"),
     ("MitGrant MitCondition MitWarranty", "MIT"),
     ("BsdGrant BsdSource BsdBinary BsdNames", "BSD-3-Clause"),
@@ -78,9 +122,10 @@ RULES = [
     ("CcBy4Notice", "CC-BY-4.0"),
     ("MitNotice", "MIT"),
     ("MitTitle", "MIT"),
+    *[("Spdx:" + x, x) for x in SPDX],
 ]
 #: Every known sentence has one of these; other texts and sentences need no lookup.
-CUES = "licen|warrant|copyright|redistribut|unencumbered|permission|mpl"
+CUES = "licen|warrant|copyright|redistribut|unencumbered|permission|mpl|misrepresent|acknowledg|notice|public domain|in no event|waived"
 #: Sentence ends of the SQL, which takes a line for a sentence: equal on texts whose known sentences stand on one line.
 SENTENCE_END = r"[.!?]*[\n\r]+|[.!?]+[ \t]+"
 #: Marks of normalised text: a sentence can't go on over HARD, and may end or go on at SOFT.
@@ -121,7 +166,7 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     at = F.regexp_extract_all(marked, F.lit(known_pattern()), F.lit(1))
     ids = F.transform(at, lambda s: F.element_at(known, F.translate(s, SOFT, " ")))
     ids = F.when(low.rlike(CUES), ids).otherwise(F.array().cast("array<string>"))
-    out = df.select(*kept, ids.alias("sentence_ids"))
+    out, work = df.select(*kept, ids.alias("sentence_ids")), fresh(df, "__m")
 
     def matched(ids_: Column) -> Column:
         """Names of the rules that match, and the sequence that is left: each rule in turn uses up its runs."""
@@ -134,11 +179,11 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
 
         return F.aggregate(rules, start, step)
 
-    out = out.withColumn("__m", F.when(F.size("sentence_ids") > 0, matched(F.col("sentence_ids"))))
-    licences = F.coalesce(F.array_distinct("__m.names"), F.array().cast("array<string>"))
-    unmatched = F.coalesce(F.filter(F.split(F.trim(F.col("__m.left")), "[ |]+"), lambda s: s != ""), F.array().cast("array<string>"))
+    out = out.withColumn(work, F.when(F.size("sentence_ids") > 0, matched(F.col("sentence_ids"))))
+    licences = F.coalesce(F.array_distinct(F.col(work)["names"]), F.array().cast("array<string>"))
+    unmatched = F.coalesce(F.filter(F.split(F.trim(F.col(work)["left"]), "[ |]+"), lambda s: s != ""), F.array().cast("array<string>"))
     status = F.when(F.size("sentence_ids") == 0, "none").when(F.size("licences") == 0, "unknown").when(F.size("unmatched") > 0, "partial").otherwise("recognised")
-    return out.withColumns({"licences": licences, "unmatched": unmatched}).withColumn("licence_status", status).drop("__m")
+    return out.withColumns({"licences": licences, "unmatched": unmatched}).withColumn("licence_status", status).drop(work)
 
 
 def oracle_sql() -> str:

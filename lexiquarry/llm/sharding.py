@@ -117,6 +117,7 @@ def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str
     spark = df.sparkSession
     kept = without(df, ["size", "shard", "slot"])
     text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
+    names, kept = [f.name for f in kept], [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)]  # no column has a working name
     size = (F.octet_length(text).cast("long") + 1).alias("__size")
     h, k = F.xxhash64(text).alias("__h"), F.coalesce(F.xxhash64(quoted(id_col).cast("string")), F.lit(-1).cast("long")).alias("__k")
     scratch = Scratch(spark, "sharding")
@@ -124,6 +125,7 @@ def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str
     ranges = min(max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards)), MOST_RANGES // shards)
     cuts = splitters(keys, shards, ranges)
     seen = histogram(keys, cuts)
+    scratch.drop("keys")
     base, run = [], 0
     for i in range(shards * ranges):
         run = 0 if i % ranges == 0 else run
@@ -137,11 +139,11 @@ def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str
             place = np.searchsorted(at.value, row_keys(b.column(n - 2).to_numpy(), b.column(n - 1).to_numpy()), "right")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place.astype(np.int32))], names=[*b.schema.names, "__part"])
 
-    src = df.select(*[quoted(f.name) for f in kept], size, h, k)
+    src = df.select(*[quoted(n).alias(f.name) for n, f in zip(names, kept)], size, h, k)
     moved = src.mapInArrow(assigned, T.StructType([*src.schema.fields, T.StructField("__part", T.IntegerType())]))
     moved = moved.repartitionById(shards * ranges, F.col("__part")).sortWithinPartitions("__part", "__h", "__k")
     # the row's number within its task: the low 33 bits of the built-in id
     number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     bases = spark.createDataFrame([(i, b) for i, b in enumerate(base)], "__part int, __base long")
     out = moved.withColumn("__n", number).join(F.broadcast(bases), "__part")
-    return out.select(*[quoted(f.name) for f in kept], F.col("__size").alias("size"), F.floor(F.col("__part") / ranges).cast("int").alias("shard"), (F.col("__base") + F.col("__n")).alias("slot"))
+    return out.select(*[F.col(f.name).alias(n) for n, f in zip(names, kept)], F.col("__size").alias("size"), F.floor(F.col("__part") / ranges).cast("int").alias("shard"), (F.col("__base") + F.col("__n")).alias("slot"))

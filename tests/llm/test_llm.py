@@ -583,6 +583,31 @@ def test_wrapped_licences(spark):
     assert out == [[]] * 4 + [["MIT"], ["CC-BY-4.0"], ["MIT"]] + [[]] * len(long)
 
 
+def test_licences_of_more_kinds(spark):
+    """Whole texts with their disclaimers, wrapped and behind comment signs, and identifier lines."""
+    by_id = collections.defaultdict(list)
+    for sentence, i in licenses.SENTENCES.items():
+        by_id[i].append(sentence)
+    def wrapped(ids, lead=""):
+        text = ". ".join(by_id[i][0] for i in ids.split()) + "."
+        words, lines = text.split(), [""]
+        for w in words:
+            lines.append(w) if len(lines[-1]) + len(w) > 60 else lines.append(f"{lines.pop()} {w}".strip())
+        return "\n".join(lead + x for x in lines)
+    cases = [(wrapped(run, lead), name) for run, name in licenses.RULES if len(run.split()) > 1 for lead in ("", "# ", " * ", "// ")]
+    cases += [(f"// SPDX-License-Identifier: {x}\nint main() {{}}", x) for x in licenses.SPDX]
+    out = {r["i"]: r for r in licenses.scan(spark.createDataFrame([(i, t, "kept") for i, (t, _) in enumerate(cases)], "i int, text string, __m string")).collect()}
+    for i, (text, name) in enumerate(cases):
+        assert out[i]["licences"] == [name] and out[i]["licence_status"] == "recognised" and out[i]["__m"] == "kept", (text, out[i])
+
+
+def test_working_columns_clash_with_nothing(spark):
+    df = spark.createDataFrame([(1, "one two", "a", "b"), (2, None, "c", "d")], "doc_id long, text string, __part string, __h string")
+    out = sharding.shard(df, 2)
+    assert {"__part", "__h"} <= set(out.columns) and sorted(r["__part"] for r in out.collect()) == ["a", "c"]
+    assert sharding.shard(df.limit(0), 2).count() == 0
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = docs
