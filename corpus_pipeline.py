@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame; all but the
 last return the columns of documents.
+
+Cases: a null or empty text is scored like any other by the quality stage, has no near-duplicate, leak or secret, and no
+tokens; a null id stays in every stage; rows that share an id are one document of the near-duplicate stage, which keeps
+the first by text; empty tables give no rows; further columns pass, whatever their names, but those that the last stage
+adds (token_ids, n_tokens, decoded).
 """
 
 from __future__ import annotations
@@ -35,8 +40,10 @@ def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unsecret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts by a mark."""
-    clean = secrets.redact(secrets.scan(docs))
-    return clean.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else clean
+    names = docs.columns
+    safe = docs.toDF(*[f"c{i}" for i in range(len(names))])  # no column of docs gives way to the spans
+    clean = secrets.redact(secrets.scan(safe, f"c{names.index('text')}"), f"c{names.index('text')}").toDF(*names)
+    return clean.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in names else clean
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
