@@ -12,6 +12,8 @@ from lexiquarry.llm.hashing import M1, M2, mix, words
 BAND, COMMON = 1.5, 0.25
 #: Expected elements of the segments whose frequencies are measured, and cells that count them.
 LEVELS, CELLS = (1, 2, 4, 8, 16), 1024
+#: What a chance meeting costs, in index entries: its pair and two sketches are moved.
+MEETING = 16
 #: Bytes of text that are hashed at a time.
 PART = 2 << 20
 
@@ -98,26 +100,28 @@ class Scheme:
             one = need - 2 * two
             if one < 0:
                 break
-            for spare in {0, (two + one + 4) // 8 * (one > 0), (two + one + 2) // 4 * (one > 0)}:
+            # spare segments stand in for those too small to tell sets apart
+            for spare in sorted({(two + one + 4) // 8 * (one > 0), (two + one + 2) // 4 * (one > 0)}):
                 segments = two + one + spare
                 each = mid / segments
-                cost = one * (1 + self.meetings(k, each)) + two * (1 + each) * (1 + self.meetings(k, max(each - 1, 0)))
+                cost = one * (1 + MEETING * self.meetings(k, each)) + two * (1 + each) * (1 + MEETING * self.meetings(k, max(each - 1, 0)))
                 if best is None or cost < best[0]:
                     best = (cost, segments, two)
         _, segments, two = best
         return segments, two, 3 if mid / segments >= 8 else 2 if mid / segments >= 3 else 1
 
     def meetings(self, k: int, each: float) -> float:
-        """Other sets that are expected in the bucket of a segment of so many elements."""
+        """Other sets that are expected by chance in the bucket of a segment of so many elements.
+
+        What the largest segments measured have in common are copies, which meet however sets are cut: it isn't counted.
+        """
         if k not in self.measured:
-            return self.sets / 20 * COMMON**each
+            return self.sets / 20 * COMMON**each / MEETING
         n, chances = self.measured[k]
+        own = [max(0.0, c - chances[-1]) for c in chances]
         if each <= LEVELS[0]:
-            return n * (chances[0] + (1 - chances[0]) * max(0.0, 1 - each))
-        if each >= LEVELS[-1]:
-            fall = chances[-1] / chances[-2] if chances[-2] > chances[-1] else 1.0
-            return n * chances[-1] * fall ** ((each - LEVELS[-1]) / (LEVELS[-1] - LEVELS[-2]))
-        return n * float(np.interp(each, LEVELS, chances))
+            return n * (own[0] + (1 - own[0]) * max(0.0, 1 - each))
+        return n * float(np.interp(each, LEVELS, own))
 
     def tally(self, sets: np.ndarray, sizes: np.ndarray, counts: dict[tuple[int, int], np.ndarray]) -> None:
         """Adds to counts, by band and level, in how many sets the first segment of the level's size has which cell."""
