@@ -328,19 +328,57 @@ def suffix_rules(rules: list[tuple[str, str]], least: int) -> Callable[[Column],
     return run
 
 
-# Published light stemmers as suffixes and what replaces them (plural and gender endings).
+def endings(*rules: tuple[str, int]) -> Callable[[Column], Column]:
+    """Drops the first of several endings (a pattern, for words longer than so many letters) that fits."""
+
+    def run(t: Column) -> Column:
+        out = None
+        for end, longer in rules:
+            hit = (F.char_length(t) > longer) & t.rlike(f"(?:{end})$")
+            new = F.regexp_replace(t, f"(?:{end})$", "")
+            out = F.when(hit, new) if out is None else out.when(hit, new)
+        return out.otherwise(t)
+
+    return run
+
+
+def from_length(n: int, step: Callable[[Column], Column], needs: str = "") -> Step:
+    """A filter for words of n letters and more that match a pattern."""
+    fits = lambda t: (F.char_length(t) >= n) & t.rlike(needs) if needs else F.char_length(t) >= n
+    return each(lambda t: F.when(fits(t), step(t)).otherwise(t))
+
+
+def steps(*filters: Step) -> Step:
+    """Filters one after the other."""
+
+    def run(toks: Column) -> Column:
+        for f in filters:
+            toks = f(toks)
+        return toks
+
+    return run
+
+
+def unmarked(t: Column) -> Column:
+    """Vowels without their marks."""
+    return F.translate(t, "àáâäòóôöèéêëùúûüìíîï", "aaaaooooeeeeuuuuiiii")
+
+
+# Published minimal and light stemmers as endings, and the least lengths of words that lose them.
 STEM: dict[str, Step] = {
-    "english_minimal": each(suffix_rules([("(?<![ae])ies", "y"), ("(?<![aeo])es", "e"), ("(?<![us])s", "")], 3)),
-    "french_minimal": each(suffix_rules([("eaux", "eau"), ("aux", "al"), ("x", ""), ("e?é?r?s", ""), ("er|[eé]", "")], 6)),
-    "german_minimal": each(lambda t: suffix_rules([("nen", ""), ("en|se|es|er", ""), ("[nersd]", "")], 5)(F.translate(t, "äöü", "aou"))),
-    "spanish_minimal": each(lambda t: suffix_rules([("eses", "es"), ("ces", "z"), ("[oae]s", ""), ("s", "")], 4)(F.translate(t, "àáâäòóôöèéêëùúûüìíîïñ", "aaaaooooeeeeuuuuiiiin"))),
+    "english_minimal": from_length(3, lambda t: F.when(t.rlike("[us]s$"), t).when(t.rlike("[^ae]ies$"), F.regexp_replace(t, "ies$", "y")).when(t.rlike("[iaoe]es$"), t).otherwise(F.regexp_replace(t, "s$", "")), "s$"),
+    "french_minimal": from_length(6, lambda t: F.when(t.endswith("x"), F.regexp_replace(F.regexp_replace(t, "aux$", "alx"), "x$", "")).otherwise(F.regexp_replace(F.regexp_replace(t, "é?e?r?s?$", ""), r"(\p{L})\1$", "$1"))),
+    "german_minimal": from_length(5, lambda t: endings(("nen", 6), ("en|se|es|er", 5), ("[nesr]", 4))(F.translate(t, "äöü", "aou"))),
+    "spanish_minimal": from_length(4, lambda t: endings(("(?<=z)es", 3), ("(?<=[ao])s", 3), ("es", 3), ("s", 3))(F.regexp_replace(F.translate(unmarked(t), "ñ", "n"), "ces$", "zes")), "s$"),
     "portuguese_minimal": each(suffix_rules([("ões|ães", "ão"), ("ais", "al"), ("éis|eis", "el"), ("óis", "ol"), ("res", "r"), ("s", "")], 4)),
-    "italian_light": each(lambda t: suffix_rules([("ie|ii", ""), ("[aeio]", "")], 6)(F.translate(t, "àáâäòóôöèéêëùúûüìíîï", "aaaaooooeeeeuuuuiiii"))),
-    "swedish_minimal": each(suffix_rules([("arne|erna|ande|arna|orna", ""), ("are|ast|het", ""), ("ar|er|or|en|et|te", ""), ("[aent]", "")], 5)),
-    "norwegian_minimal": each(suffix_rules([("e?ne", ""), ("e[rnt]", ""), ("[ae]", "")], 5)),
+    "italian_light": from_length(6, lambda t: endings(("ie|he|hi|ii|ia|io", 5), ("[eiao]", 5))(unmarked(t))),
+    "swedish_minimal": steps(each(endings(("s", 4))), each(endings(("arne|erna|arna|orna|aren", 6), ("are", 5), ("ar|at|er|et|or|en", 4), ("[aen]", 3)))),
+    "norwegian_minimal": steps(each(endings(("s", 4))), each(endings(("ene", 5), ("er|en|et", 4), ("[ae]", 3)))),
     "galician_minimal": each(suffix_rules([("ns", "n"), ("res", "r"), ("is", "l"), ("s", "")], 4)),
     "hungarian_light": each(suffix_rules([("ban|ben|hoz|hez|höz|nak|nek|val|vel|tól|től|ról|ről|ból|ből|ért", ""), ("ok|ek|ök|ak", ""), ("k", "")], 6)),
 }
+#: Of these only the commonest endings are covered, so far.
+PARTIAL_STEM = ("portuguese_minimal", "galician_minimal", "hungarian_light")
 
 
 @dataclass(frozen=True)

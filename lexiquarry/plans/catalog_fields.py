@@ -177,7 +177,12 @@ analyzed("stem_override", chain(an.stem_override({"that": "this", "with": "by"})
 analyzed("synonym", chain(an.synonyms({"that": ["this", "those"]})), "flatten(list_transform(toks, lambda x: CASE WHEN x = 'that' THEN [x, 'this', 'those'] ELSE [x] END))")
 analyzed("common_grams", chain(an.common_grams(["of"])), "flatten(list_transform(range(1, len(toks) + 1), lambda i: CASE WHEN i < len(toks) AND (toks[i] = 'of' OR toks[i + 1] = 'of') THEN [toks[i], toks[i] || '_' || toks[i + 1]] ELSE [toks[i]] END))")
 analyzed("capitalization", chain(an.capitalization()), "list_transform(toks, lambda x: upper(x[1:1]) || x[2:])")
-analyzed("english_minimal_stem", chain(an.STEM["english_minimal"]), "list_transform(toks, lambda x: CASE WHEN length(x) < 3 OR right(x, 1) <> 's' OR right(x, 2) IN ('us', 'ss') THEN x WHEN right(x, 3) = 'ies' AND left(right(x, 4), 1) NOT IN ('a', 'e') THEN x[1:length(x) - 3] || 'y' WHEN right(x, 2) = 'es' AND left(right(x, 3), 1) NOT IN ('a', 'e', 'o') THEN x[1:length(x) - 2] || 'e' ELSE x[1:length(x) - 1] END)")
+analyzed("english_minimal_stem", chain(an.STEM["english_minimal"]), "list_transform(toks, lambda x: CASE WHEN length(x) < 3 OR NOT ends_with(x, 's') OR x[-2] IN ('u', 's') THEN x WHEN x[-2] = 'e' AND x[-3] = 'i' AND length(x) > 3 AND x[-4] NOT IN ('a', 'e') THEN x[:-4] || 'y' WHEN x[-2] = 'e' AND x[-3] IN ('i', 'a', 'o', 'e') THEN x ELSE x[:-2] END)")
+analyzed("german_minimal_stem", chain(an.STEM["german_minimal"]), "list_transform(toks, lambda x: CASE WHEN length(x) > 6 AND x[-3:] = 'nen' THEN x[:-4] WHEN length(x) > 5 AND x[-2:] IN ('en', 'se', 'es', 'er') THEN x[:-3] WHEN length(x) > 4 AND x[-1] IN ('n', 'e', 's', 'r') THEN x[:-2] ELSE x END)")
+analyzed("spanish_minimal_stem", chain(an.STEM["spanish_minimal"]), "list_transform(toks, lambda x: CASE WHEN length(x) < 4 OR x[-1] <> 's' THEN x WHEN x[-3:] = 'ces' THEN x[:-4] || 'z' WHEN x[-2] = 'e' THEN x[:-3] ELSE x[:-2] END)")
+analyzed("italian_light_stem", chain(an.STEM["italian_light"]), "list_transform(toks, lambda x: CASE WHEN length(x) < 6 OR x[-1] NOT IN ('a', 'e', 'i', 'o') THEN x WHEN x[-2] = 'i' OR (x[-2] = 'h' AND x[-1] IN ('e', 'i')) THEN x[:-3] ELSE x[:-2] END)")
+analyzed("norwegian_minimal_stem", chain(an.STEM["norwegian_minimal"]), "list_transform(list_transform(toks, lambda x: CASE WHEN length(x) > 4 AND x[-1] = 's' THEN x[:-2] ELSE x END), lambda x: CASE WHEN length(x) > 5 AND x[-3:] = 'ene' THEN x[:-4] WHEN length(x) > 4 AND x[-2:] IN ('er', 'en', 'et') THEN x[:-3] WHEN length(x) > 3 AND x[-1] IN ('a', 'e') THEN x[:-2] ELSE x END)")
+analyzed("swedish_minimal_stem", chain(an.STEM["swedish_minimal"]), "list_transform(list_transform(toks, lambda x: CASE WHEN length(x) > 4 AND x[-1] = 's' THEN x[:-2] ELSE x END), lambda x: CASE WHEN length(x) > 6 AND x[-4:] IN ('arne', 'erna', 'arna', 'orna', 'aren') THEN x[:-5] WHEN length(x) > 5 AND x[-3:] = 'are' THEN x[:-4] WHEN length(x) > 4 AND x[-2:] IN ('ar', 'at', 'er', 'et', 'or', 'en') THEN x[:-3] WHEN length(x) > 3 AND x[-1] IN ('a', 'e', 'n') THEN x[:-2] ELSE x END)")
 register("html_strip", lambda s, d: table(s, d, "pages").select("page_id", F.size(an.ANALYZERS["html"](C("html"))).alias("n_tokens")))
 register("more_like_this", lambda s, d: (lambda c: c.search(q.more_like_this(c, "text", "the thing that was with the rest of the nation", 5)).withColumn("score", F.round("score", 6)))(corpus(s, d)))
 register("fuzzy", lambda s, d: corpus(s, d).search(q.fuzzy("text", "thatn", 1)).withColumn("score", F.round("score", 6)))

@@ -9,20 +9,15 @@ from lexiquarry.sources.store import Store
 
 
 def apply_changes(changes: DataFrame, store: Store, checkpoint: str, deleted: str | None = None, order: str | None = None, every: str | None = None, once: bool = False):
-    """Upserts each micro-batch; rows whose `deleted` column is true are deletes. A batch that is tried again gives the same rows."""
+    """Applies each micro-batch as one version; rows whose `deleted` column is true are deletes.
+
+    Of several changes of a key in a batch the last by `order` holds, deletes included; without an order a key may stand
+    once in a batch. A batch that is tried again gives the same rows.
+    """
 
     def batch(rows: DataFrame, _: int) -> None:
-        rows = rows.persist()
-        try:
-            if deleted:
-                latest = rows.where(F.coalesce(F.col(deleted), F.lit(False)))
-                if not latest.isEmpty():
-                    store.delete(latest)
-                rows = rows.where(~F.coalesce(F.col(deleted), F.lit(False)))
-            if not rows.isEmpty():
-                store.upsert(rows, F.col(order) if order else None)
-        finally:
-            rows.unpersist()
+        if not rows.isEmpty():
+            store.change(rows, F.col(deleted) if deleted else None, F.col(order) if order else None)
 
     writer = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once or not every else writer.trigger(processingTime=every)).start()

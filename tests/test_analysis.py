@@ -56,3 +56,18 @@ def test_joining_and_typing_filters(spark):
     number = tf.typed([(r"\d+", "num")])
     assert go(spark, lambda t: tf.type_as_synonym("_t_")(number(t)), ["12", "ab"]) == [("12", 0), ("_t_num", 0), ("ab", 1)]
     assert go(spark, lambda t: tf.of_types(["num"], False)(number(t)), ["12", "ab"]) == [("ab", 1, "word")]
+
+
+@pytest.mark.parametrize("name, pairs", [
+    ("english_minimal", "shoes>shoes trees>trees movaies>movaies ponies>pony bus>bus glass>glass cats>cat ies>ies times>time s>s"),
+    ("french_minimal", "chevaux>cheval chantées>chant barons>baron bijoux>bijou écoles>écol mots>mots nettes>net"),
+    ("german_minimal", "häuser>haus katzen>katz bildern>bilder freundinnen>freundin haus>haus äste>äste hund>hund"),
+    ("spanish_minimal", "luces>luz casas>casa árboles>arbol reses>res mes>mes niños>nino"),
+    ("italian_light", "ragazzi>ragazz amiche>amic città>citt oche>oche famiglia>famigl"),
+    ("swedish_minimal", "flickorna>flick hundar>hund husets>hus bilarna>bil ett>ett"),
+    ("norwegian_minimal", "husene>hus gutter>gutt bilens>bil jenta>jent"),
+])
+def test_minimal_stemmers(spark, name, pairs):
+    pairs = [x.split(">") for x in pairs.split()]
+    got = [t for t, _ in go(spark, an.STEM[name], [a for a, _ in pairs])]
+    assert got == [b for _, b in pairs]
