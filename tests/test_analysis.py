@@ -63,7 +63,7 @@ def test_joining_and_typing_filters(spark):
     ("french_minimal", "chevaux>cheval chantées>chant barons>baron bijoux>bijou écoles>écol mots>mots nettes>net"),
     ("german_minimal", "häuser>haus katzen>katz bildern>bilder freundinnen>freundin haus>haus äste>äste hund>hund"),
     ("spanish_minimal", "luces>luz casas>casa árboles>arbol reses>res mes>mes niños>nino"),
-    ("italian_light", "ragazzi>ragazz amiche>amic città>citt oche>oche famiglia>famigl"),
+    ("italian_light", "ragazzi>ragazz amiche>amic città>città oche>oche famiglia>famigl"),
     ("swedish_minimal", "flickorna>flick hundar>hund husets>hus bilarna>bil ett>ett"),
     ("norwegian_minimal", "husene>hus gutter>gutt bilens>bil jenta>jent"),
 ])
