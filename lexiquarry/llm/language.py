@@ -30,20 +30,22 @@ from lexiquarry.llm.common import append_by_text, quoted, slices
 FEATURES, PRIOR, SHARP, AMBIGUOUS = 1 << 16, 0.5, 8.0, 0.25
 
 
-def letters() -> re.Pattern:
-    """Runs of Unicode letters (category L): what Python takes for a word character, without digits and numeric signs."""
+def signs() -> str:
+    """What Python takes for a word character but no digit or line, and Unicode for no letter (category L), as ranges."""
     other, start = [], None
     for c in range(sys.maxunicode + 2):
-        sign = c <= sys.maxunicode and chr(c).isalnum() and unicodedata.category(chr(c))[0] != "L"
+        sign = c <= sys.maxunicode and chr(c).isalnum() and not chr(c).isdecimal() and unicodedata.category(chr(c))[0] != "L"
         if sign and start is None:
             start = c
         elif not sign and start is not None:
             other.append(f"\\U{start:08x}-\\U{c - 1:08x}")
             start = None
-    return re.compile(rf"[^\W_{''.join(other)}]+")
+    return "".join(other)
 
 
-LETTERS = letters()
+#: Runs of letters in any text, in one without numeric signs, and in ASCII; the simpler a pattern, the faster.
+LETTERS, PLAIN, ASCII = re.compile(rf"[^\W\d_{signs()}]+"), re.compile(r"[^\W\d_]+"), re.compile("[a-z]+")
+SIGN = re.compile(f"[{signs()}]")
 
 
 #: Words whose n-grams are held at a time.
@@ -64,7 +66,8 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall((text or "").lower())
+    text = (text or "").lower()
+    return (ASCII if text.isascii() else LETTERS if SIGN.search(text) else PLAIN).findall(text)
 
 
 def codewords(n: int) -> np.ndarray:
