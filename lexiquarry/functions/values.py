@@ -88,3 +88,22 @@ def sigmoid(s: Column, pivot: float, power: float, w: float = 1.0) -> Column:
 def distance_feature(x: Column, origin: float, pivot: float, w: float = 1.0) -> Column:
     """w * pivot / (pivot + distance)."""
     return w * float(pivot) / (float(pivot) + F.abs(x - origin))
+
+
+#: Formats of dates as terms, by resolution.
+DATE_FORMATS = {"year": "yyyy", "month": "yyyyMM", "day": "yyyyMMdd", "hour": "yyyyMMddHH", "minute": "yyyyMMddHHmm", "second": "yyyyMMddHHmmss", "millisecond": "yyyyMMddHHmmssSSS"}
+
+
+def date_term(ts: Column, resolution: str = "day") -> Column:
+    """A time as a term whose order is that of time, cut to a resolution."""
+    return F.date_format(ts, DATE_FORMATS[resolution])
+
+
+def date_of_term(term: Column, resolution: str = "day") -> Column:
+    """The first moment that a date term stands for; null where it is none."""
+    return F.try_to_timestamp(term, F.lit(DATE_FORMATS[resolution]))
+
+
+def date_round(ts: Column, resolution: str = "day") -> Column:
+    """A time cut to a resolution."""
+    return F.date_trunc(resolution, ts)

@@ -70,3 +70,21 @@ def rescored_by(first: DataFrame, rows: DataFrame, key: str, k: int, value: Colu
     """The k best of a result, scored again by a value of their rows."""
     best = first.orderBy(F.col("score").desc(), key).limit(k)
     return best.join(rows, key).select(key, value.alias("score"))
+
+
+def sort_rescored(first: DataFrame, rows: DataFrame, key: str, k: int, *keys: SortKey) -> DataFrame:
+    """The k best of a result in the order of sort keys over their rows, with the place as `rank` (k is small: one task ranks)."""
+    best = first.orderBy(F.col("score").desc(), key).limit(k).join(rows, key)
+    order = [s.column() for s in keys] + [F.col(key).asc()]
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def positive(hits: DataFrame) -> DataFrame:
+    """Hits with a score above 0."""
+    return hits.where("score > 0")
+
+
+def field_stats(df: DataFrame, *columns: str) -> DataFrame:
+    """(field, min, max, n) of numeric columns, as doubles; n counts rows with a value."""
+    one = lambda c: F.struct(F.lit(c).alias("field"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.count(c).alias("n"))
+    return df.agg(F.array(*map(one, columns)).alias("s")).select(F.inline("s"))
