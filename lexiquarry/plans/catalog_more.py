@@ -8,6 +8,7 @@ from lexiquarry.functions import similarity as sim
 from lexiquarry.functions import values as val
 from lexiquarry.operators import collect as col_
 from lexiquarry.operators import positions as pos
+from lexiquarry.plans import parsers as ps
 from lexiquarry.plans import query as q
 from lexiquarry.plans.catalog import _OF_TO, _PAIRS, ORACLES, TOKENS, bm, corpus, formula_sql, interval, register, search_sql, searched, span, table
 from lexiquarry.plans.catalog_analysis import QUERIES
@@ -85,4 +86,28 @@ register("value_query", lambda s, d: corpus(s, d).project(lambda c: [F.col("doc_
 # ---- dates as terms, field statistics
 register("date_terms", lambda s, d: table(s, d, "orders").select("o_orderkey", val.date_term(F.col("o_orderdate"), "month").alias("month"), val.date_term(F.col("o_orderdate"), "second").alias("second"), val.date_of_term(val.date_term(F.col("o_orderdate"), "day"), "day").alias("day"), val.date_round(F.col("o_orderdate"), "month").alias("first")), "SELECT o_orderkey, strftime(o_orderdate, '%Y%m') AS month, strftime(o_orderdate, '%Y%m%d%H%M%S') AS second, date_trunc('day', o_orderdate)::TIMESTAMP AS day, date_trunc('month', o_orderdate)::TIMESTAMP AS first FROM orders")
 register("field_stats", lambda s, d: col_.field_stats(table(s, d, "lineitem"), "l_quantity", "l_tax"), " UNION ALL ".join(f"SELECT '{c}' AS field, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, count({c}) AS n FROM lineitem" for c in ("l_quantity", "l_tax")))
+# ---- parsers: the same rows as the trees that they stand for
+for _name, _text, _like in (
+    ("ordered", "fn:ordered(of to)", "interval_ordered"), ("unordered", "fn:unordered(of to)", "interval_unordered"), ("unordered_same", "fn:unordered(of of)", "interval_unordered_same"),
+    ("phrase", "fn:phrase(of to)", "interval_phrase"), ("or", "fn:or(of to)", "interval_or"), ("maxwidth", "fn:maxwidth(3 fn:ordered(of to))", "interval_max_width"),
+    ("at_least", "fn:atLeast(2 of to the)", "interval_at_least"), ("no_overlaps", "fn:unorderedNoOverlaps(of to)", "interval_no_overlaps"),
+    ("containing", "fn:containing(fn:ordered(of to) the)", "interval_containing"), ("not_containing", "fn:notContaining(fn:ordered(of to) the)", "interval_not_containing"),
+    ("contained_by", "fn:containedBy(the fn:ordered(of to))", "interval_contained_by"), ("not_contained_by", "fn:notContainedBy(the fn:ordered(of to))", "interval_not_contained_by"),
+    ("overlapping", "fn:overlapping(fn:ordered(of to) the)", "interval_overlapping"), ("non_overlapping", "fn:nonOverlapping(fn:ordered(of to) the)", "interval_non_overlapping"),
+    ("before", "fn:before(of to)", "interval_before"), ("after", "fn:after(of to)", "interval_after"), ("extend", "fn:extend(of 0 2)", "interval_extend"),
+    ("within", "fn:within(of 2 to)", "interval_within"), ("not_within", "fn:notWithin(of 2 to)", "interval_not_within"),
+    ("maxgaps_phrase", 'fn:maxgaps(6 fn:ordered("of the" to))', "interval_gaps_of_phrase"), ("wildcard", "fn:wildcard(thatn*)", "interval_prefix"),
+):
+    register(f"parser_fn_{_name}", searched(lambda t=_text: q.Positional("text", ps.parse_interval(t), "interval")), ORACLES[_like])
+_NEAR_XML = '<SpanNear slop="3" inOrder="true"><SpanTerm>of</SpanTerm><SpanTerm>to</SpanTerm></SpanNear>'
+for _name, _text, _like in (
+    ("span_near", _NEAR_XML, "span_near_ordered"), ("span_or", "<SpanOr><SpanTerm>of</SpanTerm><SpanTerm>to</SpanTerm></SpanOr>", "span_or"), ("span_or_terms", "<SpanOrTerms>of to</SpanOrTerms>", "span_or"),
+    ("span_position_range", '<SpanPositionRange start="5" end="20"><SpanTerm>of</SpanTerm></SpanPositionRange>', "span_position_range"), ("terms", "<TermsQuery>que und</TermsQuery>", "bool_should"),
+    ("match_all", "<MatchAllDocsQuery/>", "match_all"), ("user", "<UserQuery>that AND with</UserQuery>", "bool_must"), ("constant", '<ConstantScoreQuery boost="2.5"><TermQuery>that</TermQuery></ConstantScoreQuery>', "constant_score"),
+    ("dis_max", '<DisjunctionMaxQuery tieBreakerMultiplier="0.1"><TermQuery>that</TermQuery><TermQuery>with</TermQuery></DisjunctionMaxQuery>', "dis_max"),
+    ("range", '<RangeQuery lowerTerm="zu" upperTerm="zw" includeUpper="false"/>', "term_range"), ("point_range", '<PointRangeQuery fieldName="n_chars" lowerTerm="500" upperTerm="1500"/>', "numeric_range"),
+):
+    register(f"parser_xml_{_name}", searched(lambda t=_text: ps.XmlParser().parse(t)), ORACLES[_like])
+for _name, _text, _like in (("or", "que OR und", "bool_should"), ("not", "that NOT with", "bool_must_not"), ("wildcard", "th?t*on", "wildcard")):
+    register(f"parser_surround_{_name}", searched(lambda t=_text: ps.SurroundParser().parse(t)), ORACLES[_like])
 __all__ = ["ORACLES", "QUERIES"]

@@ -750,3 +750,19 @@ def more_like_this(c: Corpus, f: str, text: str, most: int = 5, min_tf: int = 1,
     n, df = c.doc_freqs(f, [w["term"] for w in words])
     ranked = sorted((-(w["tf"] * (math.log((n + 1) / (df[w["term"]] + 1)) + 1)), w["term"]) for w in words if min_df <= df[w["term"]] <= max_df * n)[:most]
     return Bool(should=tuple(Term(f, t) for _, t in ranked), at_least=max(1, int(share * len(ranked)))) if ranked else MatchNone("no word is in range")
+
+
+@dataclass(frozen=True)
+class LikeThis(Query):
+    """more_like_this as a clause: the words are chosen when the query meets its corpus."""
+
+    field: str
+    text: str
+    most: int = 5
+    min_tf: int = 1
+    min_df: int = 1
+    stop: tuple[str, ...] = ()
+    share: float = 0.3
+
+    def rewritten(self, c):
+        return more_like_this(c, self.field, self.text, self.most, self.min_tf, self.min_df, stop=self.stop, share=self.share).rewritten(c)
