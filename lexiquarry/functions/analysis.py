@@ -342,6 +342,20 @@ def endings(*rules: tuple[str, int]) -> Callable[[Column], Column]:
     return run
 
 
+def rules(*cases: tuple[str, str, int]) -> Step:
+    """A filter: of (ending, what replaces it, letters that the word must exceed) the first that fits holds."""
+
+    def run(t: Column) -> Column:
+        out = None
+        for end, by, longer in cases:
+            hit = (F.char_length(t) > longer) & t.rlike(f"(?:{end})$")
+            new = F.regexp_replace(t, f"(?:{end})$", by)
+            out = F.when(hit, new) if out is None else out.when(hit, new)
+        return out.otherwise(t)
+
+    return each(run)
+
+
 def from_length(n: int, step: Callable[[Column], Column], needs: str = "") -> Step:
     """A filter for words of n letters and more that match a pattern."""
     fits = lambda t: (F.char_length(t) >= n) & t.rlike(needs) if needs else F.char_length(t) >= n
@@ -377,6 +391,31 @@ STEM: dict[str, Step] = {
     "galician_minimal": each(suffix_rules([("ns", "n"), ("res", "r"), ("is", "l"), ("s", "")], 4)),
     "hungarian_light": each(suffix_rules([("ban|ben|hoz|hez|höz|nak|nek|val|vel|tól|től|ról|ről|ból|ből|ért", ""), ("ok|ek|ök|ak", ""), ("k", "")], 6)),
 }
+#: Stands behind a word that a step has finished, so that no further ending fits.
+DONE = "\u0001"
+# Light stemmers of several steps; in each the first ending that fits holds.
+STEM |= {
+    "bulgarian": steps(
+        rules(("ища", DONE, 5)),
+        rules(("ият", "", 6), ("ът|то|те|та|ия", "", 5), ("ят", "", 4)),
+        rules(("(?<=о)вци", "", 6), ("ове", "", 6), ("еве", "й", 6), ("ища", "", 5), ("та", "", 5), ("ци", "к", 5), ("зи", "г", 5), ("е(.)и", "я$1", 5), ("си", "х", 4), ("и", "", 4)),
+        rules(("[аое]я|[аоея]", "", 3)),
+        rules(("ен", "н", 4)),
+        rules((f"ъ([^{DONE}])", "$1", 5)),
+        each(lambda t: F.replace(t, F.lit(DONE), F.lit(""))),
+    ),
+    "czech": steps(
+        rules(("atech", "", 7), ("ětem|etem|atům", "", 6), ("ech|ich|ích|ého|ěmi|emi|ému|ěte|ete|ěti|eti|ího|iho|ími|ímu|imu|ách|ata|aty|ých|ama|ami|ové|ovi|ými", "", 5), ("em|es|ém|ím|ům|at|ám|os|us|ým|mi|ou", "", 4), ("[aeiouůyáéíýě]", "", 3)),
+        rules(("ov|in|ův", "", 5)),
+        rules(("čt", "ck", 0), ("št", "sk", 0), ("[cč]", "k", 0), ("[zž]", "h", 0), ("e(.)", "$1", 1), ("ů(.)", "o$1", 2)),
+    ),
+    "sorani": steps(
+        rules(("دا", "", 5), ("(?<=ن)ا", "", 4), ("ەوە", "", 6)),
+        rules(("مان|یان|تان", "", 6)),
+        rules(("ێکی", "", 6), ("یەکی", "", 7), ("ێک", "", 5), ("یەک", "", 6), ("ەکە", "", 6), ("کە", "", 5), ("ەکان", "", 7), ("کان", "", 6), ("یانی", "", 7), ("انی", "", 6), ("یان", "", 6), ("ان", "", 5), ("یانە", "", 7), ("انە", "", 6), ("(?<=[اە])یە", "", 5), ("[ەی]", "", 4)),
+    ),
+    "telugu": rules(("ళ్ళు|డ్లు", "", 5), ("డు|ము|వు|లు|ని|ను|చే|కై|లో|ది|కి|సు|వై|పై", "", 3), ("[ిీుూెేొోా]", "", 2)),
+}
 #: Of these only the commonest endings are covered, so far.
 PARTIAL_STEM = ("portuguese_minimal", "galician_minimal", "hungarian_light")
 
@@ -430,8 +469,12 @@ ANALYZERS: dict[str, Analyzer] = {
     "persian": Analyzer(standard, (lowercase, decimal_digit, NORMALIZE["arabic"], NORMALIZE["persian"]), (persian_chars,)),
     "romanian": Analyzer(standard, (lowercase, NORMALIZE["romanian"])),
     "serbian": Analyzer(standard, (lowercase, NORMALIZE["serbian"])),
-    "sorani": Analyzer(standard, (NORMALIZE["sorani"], lowercase, decimal_digit)),
+    "sorani": Analyzer(standard, (NORMALIZE["sorani"], lowercase, decimal_digit, STEM["sorani"])),
     "turkish": Analyzer(standard, (apostrophe, turkish_lowercase)),
     "greek": Analyzer(standard, (greek_lowercase,)),
+    "bulgarian": Analyzer(standard, (lowercase, STEM["bulgarian"])),
+    "czech": Analyzer(standard, (lowercase, STEM["czech"])),
+    "unicode_whitespace": Analyzer(pattern_split(r"(?U)\s+")),
+    "url_email": Analyzer(url_email, (lowercase, stop(ENGLISH_STOP))),
     "html": Analyzer(standard, (lowercase,), (html_strip,)),
 }

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexiquarry.functions.analysis import Step, keep, shingles
+from lexiquarry.functions.analysis import ANALYZERS, ENGLISH_STOP, Analyzer, Step, cjk_width_filter, keep, lowercase, shingles, standard, stop
 
 #: Letters of the scripts that are cut into bigrams.
 CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
@@ -159,3 +159,6 @@ def type_as_synonym(prefix: str = "", ignore: tuple[str, ...] = ("word",)) -> St
         return F.when(t["type"].isin(list(ignore)), F.array(own)).otherwise(F.array(own, F.struct(F.concat(F.lit(prefix), t["type"]).alias("term"), t["pos"].alias("pos"))))
 
     return lambda toks: F.flatten(F.transform(toks, one))
+
+
+ANALYZERS["cjk"] = Analyzer(standard, (cjk_width_filter, lowercase, cjk_bigrams(), stop(ENGLISH_STOP)))

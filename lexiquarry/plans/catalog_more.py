@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexiquarry.functions import analysis as an
 from lexiquarry.functions import similarity as sim
 from lexiquarry.functions import values as val
 from lexiquarry.operators import collect as col_
@@ -12,7 +13,7 @@ from lexiquarry.plans import parsers as ps
 from lexiquarry.plans import query as q
 from lexiquarry.plans.catalog import _OF_TO, _PAIRS, ORACLES, TOKENS, bm, corpus, formula_sql, interval, register, search_sql, searched, span, table
 from lexiquarry.plans.catalog_analysis import QUERIES
-from lexiquarry.plans.catalog_fields import top_sql
+from lexiquarry.plans.catalog_fields import analyzed, chain, top_sql
 
 OF, TO, THE = pos.term("of"), pos.term("to"), pos.term("the")
 ORDERED = lambda: pos.node("ordered", OF, TO)
@@ -86,6 +87,8 @@ register("value_query", lambda s, d: corpus(s, d).project(lambda c: [F.col("doc_
 # ---- dates as terms, field statistics
 register("date_terms", lambda s, d: table(s, d, "orders").select("o_orderkey", val.date_term(F.col("o_orderdate"), "month").alias("month"), val.date_term(F.col("o_orderdate"), "second").alias("second"), val.date_of_term(val.date_term(F.col("o_orderdate"), "day"), "day").alias("day"), val.date_round(F.col("o_orderdate"), "month").alias("first")), "SELECT o_orderkey, strftime(o_orderdate, '%Y%m') AS month, strftime(o_orderdate, '%Y%m%d%H%M%S') AS second, date_trunc('day', o_orderdate)::TIMESTAMP AS day, date_trunc('month', o_orderdate)::TIMESTAMP AS first FROM orders")
 register("field_stats", lambda s, d: col_.field_stats(table(s, d, "lineitem"), "l_quantity", "l_tax"), " UNION ALL ".join(f"SELECT '{c}' AS field, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, count({c}) AS n FROM lineitem" for c in ("l_quantity", "l_tax")))
+analyzed("czech_stem", chain(an.STEM["czech"]), "list_transform(list_transform(list_transform(toks, lambda x: CASE WHEN length(x) > 7 AND x[-5:] = 'atech' THEN x[:-6] WHEN length(x) > 6 AND x[-4:] = 'etem' THEN x[:-5] WHEN length(x) > 5 AND x[-3:] IN ('ech', 'ich', 'emi', 'ete', 'eti', 'iho', 'imu', 'ata', 'aty', 'ama', 'ami', 'ovi') THEN x[:-4] WHEN length(x) > 4 AND x[-2:] IN ('em', 'es', 'at', 'os', 'us', 'mi', 'ou') THEN x[:-3] WHEN length(x) > 3 AND x[-1] IN ('a', 'e', 'i', 'o', 'u', 'y') THEN x[:-2] ELSE x END), lambda x: CASE WHEN length(x) > 5 AND x[-2:] IN ('ov', 'in') THEN x[:-3] ELSE x END), lambda x: CASE WHEN x[-1] = 'c' THEN x[:-2] || 'k' WHEN x[-1] = 'z' THEN x[:-2] || 'h' WHEN length(x) > 1 AND x[-2] = 'e' THEN x[:-3] || x[-1] ELSE x END)")
+
 # ---- parsers: the same rows as the trees that they stand for
 for _name, _text, _like in (
     ("ordered", "fn:ordered(of to)", "interval_ordered"), ("unordered", "fn:unordered(of to)", "interval_unordered"), ("unordered_same", "fn:unordered(of of)", "interval_unordered_same"),

@@ -65,6 +65,9 @@ def test_joining_and_typing_filters(spark):
     ("spanish_minimal", "luces>luz casas>casa árboles>arbol reses>res mes>mes niños>nino"),
     ("italian_light", "ragazzi>ragazz amiche>amic città>città oche>oche famiglia>famigl"),
     ("swedish_minimal", "flickorna>flick hundar>hund husets>hus bilarna>bil ett>ett"),
+    ("bulgarian", "градове>град жените>жени училища>учил момичето>момич езици>езиц"),
+    ("czech", "hradech>hrad ženami>žn otcova>otcov muž>muh"),
+    ("telugu", "పుస్తకాలు>పుస్తకా"),
     ("norwegian_minimal", "husene>hus gutter>gutt bilens>bil jenta>jent"),
 ])
 def test_minimal_stemmers(spark, name, pairs):

@@ -88,6 +88,52 @@ def test_intervals_are_minimal():
     assert pos.sloppy_freq([[1], [1]], 0) == 1.0
 
 
+def test_repeated_sources_and_gaps():
+    a, b, c = map(pos.term, "abc")
+    assert pos.sloppy_freq([[0], [-1]], 2, [0, 1], [0, 0]) == 0  # one occurrence can't serve both places
+    assert pos.sloppy_freq([[0, 5], [-1, 4]], 5, [0, 1], [0, 0]) == 1 / 5
+    assert pos.intervals(pos.node("unordered", a, a), {"a": [0, 5]}) == [(0, 5)]
+    phrase = pos.node("ordered", pos.node("phrase", a, b), c)
+    assert pos.intervals(pos.node("max_gaps", phrase, args=(0,)), {"a": [0], "b": [1], "c": [2]}) == [(0, 2)]
+    assert pos.intervals(pos.node("max_gaps", phrase, args=(1,)), {"a": [0], "b": [1], "c": [4]}) == []
+    assert pos.collected(pos.node("near", a, b, args=(1, True)), {"a": [0, 9], "b": [2]}) == [((0, 3), [("a", 0), ("b", 2)])]
+
+
+def test_index_gives_the_same_as_texts(corpus, tmp_path):
+    stored = corpus.indexed(str(tmp_path / "index"))
+    for query in (q.phrase("text", "thing", "number"), q.phrase("text", "red", "red"), q.prefix("text", "num"), q.Bool(must=(q.MatchAll(),), must_not=(q.Term("text", "red"),)), q.Positional("text", pos.node("near", pos.term("thing"), pos.term("one"), args=(2, True))), q.fuzzy("text", "rde", 1)):
+        assert sorted(map(tuple, stored.search(query).collect())) == sorted(map(tuple, corpus.search(query).collect()))
+    plan = stored.search(q.Term("text", "red"))._jdf.queryExecution().toString()
+    assert "regexp_extract_all" not in plan and "PushedFilters" in plan
+    assert [r["total"] for r in stored.top_with_total(q.Term("text", "red"), 1).collect()] == [3]
+
+
+def test_scored_expansion_is_bounded(corpus):
+    with pytest.raises(ValueError):
+        corpus.search(q.prefix("text", "", scoring=True, limit=3))
+
+
+def test_store_conflicts_pins_and_merges(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), T.StructType.fromDDL("id long, v string"), "id", merge_after=3)
+    store.create()
+    make = lambda *rows: spark.createDataFrame(list(rows), "id long, v string, gone boolean, t long")
+    store.append(make((1, "a", None, 0)))
+    reader = Searcher(store)
+    token = reader.record()
+    store.change(make((1, "b", False, 1), (1, None, True, 2), (2, None, True, 1), (2, "x", False, 2)), F.col("gone"), F.col("t"))
+    assert sorted(map(tuple, store.read().collect())) == [(2, "x")]
+    for k in range(4):
+        store.append(make((10 + k, "n", None, 0)))
+    assert len(store._steps(store.versions()[-1])) <= 4 and store.read().count() == 5
+    reader.maybe_refresh()
+    store.prune(1)
+    assert [tuple(r) for r in reader.rows(token).collect()] == [(1, "a")]
+    reader.prune(-1)
+    assert token in store.prune(1)
+    with pytest.raises(ValueError):
+        store.upsert(make((5, "a", None, 0), (5, "b", None, 0)))
+
+
 def test_analysis(spark):
     df = spark.createDataFrame([("L'été des Wölfe’s ÆON",), (None,)], "x string")
     made = lambda a: [r[0] for r in df.select(an.terms(a(F.col("x")))).collect()]

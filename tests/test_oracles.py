@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 NAMES = [
-    "term", "bool_min_should_match", "dis_max", "synonym", "indri_and", "phrase", "multi_phrase", "regexp_complement", "interval_ordered", "interval_repeating", "span_near_ordered", "span_not",
+    "term", "bool_min_should_match", "dis_max", "synonym", "indri_and", "phrase", "multi_phrase", "regexp_complement", "interval_ordered", "interval_repeating", "span_near_ordered", "span_not", "interval_unordered", "interval_gaps_of_phrase", "interval_wildcard_ordered", "span_near_unordered", "span_within", "combined_fields", "fuzzy", "common_terms", "explain", "total_hits", "bool_mixed_with_columns", "date_terms", "parser_fn_at_least", "parser_xml_span_or_terms", "analysis_czech_stem", "analysis_swedish_minimal_stem",
     "similarity_dfr_g_b_none", "similarity_ib_spl_ttf_h2", "similarity_axiomatic_f3log", "range_crosses", "ip_range", "geo_box_dateline", "value_scale", "value_selector_middle", "term_statistics",
     "collection_statistics", "knn_cosine", "max_sim", "search_after", "rank_fusion", "analysis_common_grams", "analysis_ngram", "analysis_porter_stem", "analysis_russian_stem", "analysis_word_delimiter", "analysis_compound_words", "analysis_type", "parser_classic_at_least", "parser_surround_near", "parser_search_request",
 ]
