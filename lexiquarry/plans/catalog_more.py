@@ -84,6 +84,12 @@ register("value_rescorer", lambda s, d: (lambda c: col_.rescored_by(c.search(T("
 register("positive_scores", lambda s, d: col_.positive(corpus(s, d).search(q.FunctionScore(T("that"), lambda: F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(0.0)))).withColumn("score", F.round("score", 6)), search_sql(["that"], "tf0 > 0 AND doc_id % 2 = 0", bm(0)))
 register("value_query", lambda s, d: corpus(s, d).project(lambda c: [F.col("doc_id"), F.round(F.coalesce(T("that").on(c, q.Stats(c)), F.lit(-1.0)), 6).alias("v")]), search_sql(["that"], "true", f"if(tf0 > 0, {bm(0)}, -1.0::DOUBLE)").replace("AS score", "AS v"))
 
+_AND_OR = search_sql(["that", "with", "que"], "(tf0 > 0 AND tf1 > 0) OR tf2 > 0", f"if(tf0 > 0 AND tf1 > 0, {bm(0)} + {bm(1)}, 0) + if(tf2 > 0, {bm(2)}, 0)")
+register("parser_precedence", searched(lambda: ps.PrecedenceParser().parse("que OR that AND with")), _AND_OR)
+register("parser_precedence_not", searched(lambda: ps.PrecedenceParser().parse("NOT with AND (that OR que)")), search_sql(["that", "with", "que"], "tf1 = 0 AND (tf0 > 0 OR tf2 > 0)", f"if(tf0 > 0, {bm(0)}, 0) + if(tf2 > 0, {bm(2)}, 0)"))
+register("doc_scores", searched(lambda: q.Bool(must=(T("that"),), should=(q.DocScores(((1, 2.5), (2, 1.5), (3, 0.5), (40, 9.0))),))), search_sql(["that"], "tf0 > 0", f"{bm(0)} + CASE doc_id WHEN 1 THEN 2.5::DOUBLE WHEN 2 THEN 1.5 WHEN 3 THEN 0.5 WHEN 40 THEN 9 ELSE 0 END"))
+register("index_or_columns", searched(lambda: q.Bool(must=(T("that"),), filter=(q.IndexOrColumns(q.Constant(T("with")), q.Where(lambda: F.col("text").rlike("(?i)with"))),))), search_sql(["that", "with"], "tf0 > 0 AND tf1 > 0", bm(0)))
+
 # ---- dates as terms, field statistics
 register("date_terms", lambda s, d: table(s, d, "orders").select("o_orderkey", val.date_term(F.col("o_orderdate"), "month").alias("month"), val.date_term(F.col("o_orderdate"), "second").alias("second"), val.date_of_term(val.date_term(F.col("o_orderdate"), "day"), "day").alias("day"), val.date_round(F.col("o_orderdate"), "month").alias("first")), "SELECT o_orderkey, strftime(o_orderdate, '%Y%m') AS month, strftime(o_orderdate, '%Y%m%d%H%M%S') AS second, date_trunc('day', o_orderdate)::TIMESTAMP AS day, date_trunc('month', o_orderdate)::TIMESTAMP AS first FROM orders")
 register("field_stats", lambda s, d: col_.field_stats(table(s, d, "lineitem"), "l_quantity", "l_tax"), " UNION ALL ".join(f"SELECT '{c}' AS field, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, count({c}) AS n FROM lineitem" for c in ("l_quantity", "l_tax")))

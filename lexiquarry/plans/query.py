@@ -766,3 +766,38 @@ class LikeThis(Query):
 
     def rewritten(self, c):
         return more_like_this(c, self.field, self.text, self.most, self.min_tf, self.min_df, stop=self.stop, share=self.share).rewritten(c)
+
+
+@dataclass(frozen=True)
+class DocScores(Query):
+    """Given documents with given scores (key, score): a small result taken up as a clause."""
+
+    hits: tuple[tuple[object, float], ...]
+
+    def match(self, c):
+        c.every()
+        return F.coalesce(F.col(c.key).isin([k for k, _ in self.hits]), F.lit(False)) if self.hits else F.lit(False)
+
+    def score(self, c, s):
+        if not self.hits:
+            return ZERO()
+        kind = c.docs.schema[c.key].dataType
+        table = F.create_map(*[x for k, v in self.hits for x in (F.lit(k).cast(kind), F.lit(float(v)))])
+        return F.coalesce(F.try_element_at(table, F.col(c.key)), ZERO())
+
+
+@dataclass(frozen=True)
+class IndexOrColumns(Query):
+    """The same condition as a query over postings and as a test of columns; the postings are used, unless the query reads documents anyway."""
+
+    indexed: Query
+    columns: Query
+
+    def needs(self):
+        return self.indexed.needs()
+
+    def match(self, c):
+        return (self.columns if ("docs",) in c.slots else self.indexed).match(c)
+
+    def score(self, c, s):
+        return F.lit(1.0)

@@ -113,6 +113,17 @@ def test_scored_expansion_is_bounded(corpus):
         corpus.search(q.prefix("text", "", scoring=True, limit=3))
 
 
+def test_precedence():
+    t = lambda x: q.Term("text", x)
+    parse = ps.PrecedenceParser().parse
+    assert parse("a OR b AND c") == q.Bool(should=(t("a"), q.Bool(must=(t("b"), t("c")))))
+    assert parse("(a OR b) AND NOT c") == q.Bool(must=(q.Bool(should=(t("a"), t("b"))),), must_not=(t("c"),))
+    assert parse('"a b" c') == q.Bool(should=(q.phrase("text", "a", "b"), t("c")))
+    for bad in ("", "a AND", "(a", "a )", "OR a"):
+        with pytest.raises(ps.ParseError):
+            parse(bad)
+
+
 def test_store_conflicts_pins_and_merges(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"), T.StructType.fromDDL("id long, v string"), "id", merge_after=3)
     store.create()
