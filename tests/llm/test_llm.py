@@ -474,6 +474,26 @@ def test_media(spark, docs, odd):
         media.png_read(png[:-6])
 
 
+def test_media_digest_and_feature(spark, docs):
+    """media_sha256 is that of the stored bytes, the feature that of a cosine transform summed term by term; equal texts, equal values."""
+    rows, by_text = got(spark, "op10_media"), collections.defaultdict(set)
+    stored = {r["doc_id"]: r for r in media.store_texts(spark.createDataFrame(sorted(docs.items()), "doc_id long, text string")).collect()}
+    for i, r in rows.items():
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored[i]["media"]), hashlib.sha256(bytes(stored[i]["media"])).hexdigest())
+        by_text[docs[i]].add(tuple(r)[1:])
+    assert all(len(x) == 1 for x in by_text.values())
+    for i in sorted(docs)[:25]:
+        image = np.frombuffer(bytes(stored[i]["payload"]), np.uint8).reshape(-1, media.WIDTH).astype(float)
+        cell = lambda k, n: (int(k * n / media.SIDE), max(int(np.ceil((k + 1) * n / media.SIDE)), int(k * n / media.SIDE) + 1))
+        small = [[image[slice(*cell(y, image.shape[0])), slice(*cell(x, image.shape[1]))].mean() for x in range(media.SIDE)] for y in range(media.SIDE)]
+        wave = lambda k, x: np.cos(np.pi * k * (2 * x + 1) / (2 * media.SIDE))
+        terms = [sum(small[y][x] * wave(a, y) * wave(b, x) for y in range(media.SIDE) for x in range(media.SIDE)) for a in range(media.CORNER) for b in range(media.CORNER)]
+        middle = np.median(terms[1:])
+        want = [t > middle for t in terms]
+        have = np.unpackbits(np.frombuffer(bytes.fromhex(rows[i]["feature"]), np.uint8)).astype(bool)
+        assert all(h == w or abs(t - middle) < 1e-6 * max(1, abs(middle)) for h, w, t in zip(have, want, terms)), i
+
+
 def test_every_png_filter():
     rng = np.random.default_rng(1)
     for _ in range(40):
@@ -601,6 +621,20 @@ def test_licences_of_more_kinds(spark):
         assert out[i]["licences"] == [name] and out[i]["licence_status"] == "recognised" and out[i]["__m"] == "kept", (text, out[i])
 
 
+def test_sharding_digest(spark, docs):
+    """The columns of the contract, and shards whose bytes differ from an equal share by the tolerance or one group at most."""
+    rows = got(spark, "op4_sharding")
+    assert sorted(rows) == sorted(docs)
+    for i, r in rows.items():
+        data = docs[i].encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(data) + 1, zlib.crc32(data), "bytes", None) and 0 <= r["shard"] < 16
+    total, largest = sum(r["size"] for r in rows.values()), max(collections.Counter(t for t in docs.values() for _ in range(len(t.encode()) + 1)).values())
+    for k in range(16):
+        own = [r for r in rows.values() if r["shard"] == k]
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+        assert abs(sum(r["size"] for r in own) - total / 16) <= 2 * max(largest, 0.001 * total / 16)
+
+
 def test_working_columns_clash_with_nothing(spark):
     df = spark.createDataFrame([(1, "one two", "a", "b"), (2, None, "c", "d")], "doc_id long, text string, __part string, __h string")
     out = sharding.shard(df, 2)
