@@ -6,8 +6,9 @@ in each band; the segments and their weights are allocated by that. One exchange
 range; a batch with many members of a bucket sends the least of them and keeps the links to it:
 
 1. A small bucket gives its pairs, a larger one the links of its members to the least of them.
-2. Links are tested against a parity sketch (two sets' sketches differ in no more bits than the sets in elements), then
-   exactly on the texts; what passes is joined to components.
+2. Links are tested against a parity sketch (two sets' sketches differ in no more bits than the sets in elements), those
+   of large sets then against a wider one, since a short sketch of many elements tells nothing, then exactly on the
+   texts; what passes is joined to components.
 3. In larger buckets that still hold several components, members of different components are compared by their sketches,
    in blocks of bounded size, and what passes is tested exactly: at first each member's nearest only, which joins most
    of what belongs together, then all that still lie in different components. No pair of a bucket is left out: a pair
@@ -37,8 +38,8 @@ from lexiquarry.llm.graph import components
 from lexiquarry.llm.hashing import mix
 from lexiquarry.llm.shingles import CELLS, LEVELS, Scheme, Shingler
 
-#: Members of a bucket that gives all its pairs; members of a block; bits of a sketch.
-SMALL, BLOCK, BITS = 4, 1024, 1024
+#: Members of a bucket that gives all its pairs; members of a block; bits of a sketch, and of a wide one at most.
+SMALL, BLOCK, BITS, WIDEST = 4, 1024, 1024, 1 << 16
 #: Ids that may be broadcast (8 bytes each) instead of moving texts.
 BROADCAST_IDS = 1 << 21
 #: Ranges of buckets for each shuffle partition at least, so that tasks are even, and documents for each range at most.
@@ -47,8 +48,8 @@ RANGES, RANGE_DOCS = 8, 20_000
 SALTS = 32
 LINK, CROWD, SAME, DOC = range(4)
 #: What a batch sends: bucket entries (key, doc), keys of buckets that are large in it, equal sets, documents, links and
-#: members (key, doc) of large buckets.
-PACKED = ["sig", "hot", "same", "docs", "stars", "crowd"]
+#: members (key, doc) of large buckets, and the wide sketches of the documents that have one.
+PACKED = ["sig", "hot", "same", "docs", "stars", "crowd", "wide"]
 DOC_ROW = np.dtype([("id", "<i8"), ("n", "<i8"), ("sketch", f"V{BITS // 8}")])
 
 
@@ -64,6 +65,30 @@ def sketches(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def width(n: int) -> int:
+    """Bits of the wide sketch of a set of n elements: n at least, as far as it goes; 0 where the short one does."""
+    return min(WIDEST, 1 << (n - 1).bit_length()) if n > BITS else 0
+
+
+def wide_sketch(s: np.ndarray) -> bytes:
+    """As sketches(), in width(len(s)) bits; the halves of one, one xor the other, are the sketch of half the bits."""
+    bits = width(len(s))
+    at = mix(s ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(max(bits, 1))
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=bits) & 1).tobytes() if bits else b""
+
+
+def close_wide(num: int, den: int, a: bytes | None, b: bytes | None, n: int, m: int) -> bool:
+    """close() of two wide sketches, at the lesser width; true where one has none."""
+    if not a or not b:
+        return True
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return bool(close(num, den, x, y, n, m)[0])
+
+
 def close(num: int, den: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether sets with sketches a and b (rows of 64-bit words) and sizes n and m can link, and the bits in which they differ."""
     apart = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
@@ -132,7 +157,7 @@ class JaccardJoin:
         return out
 
     def found(self) -> DataFrame:
-        """(kind, a, b, sketch): links, members of larger buckets (a: the bucket), equal sets, and documents (b: set size)."""
+        """(kind, a, b, sketch, wide): links, members of larger buckets (a: the bucket), equal sets, and documents (b: set size)."""
         k, num, den, total = self.k, self.num, self.den, self.all.count()
         ranges, measured = max(RANGES * int(self.spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE_DOCS), self.measured(total)
 
@@ -174,10 +199,11 @@ class JaccardJoin:
                     p, blobs = [], []
                     for x, y in runs(part):
                         p.append(int(part[x]))
-                        blobs.append((entry[x:y].tobytes(), entry[x:y, 0][hot[x:y]].tobytes(), b"", b"", b"", b""))
+                        blobs.append((entry[x:y].tobytes(), entry[x:y, 0][hot[x:y]].tobytes(), b"", b"", b"", b"", b""))
                     pairs = np.array([(ids[a], ids[c]) for a, c in same], np.int64).tobytes()
                     p.append(int(mix(ids[:1].view(np.uint64))[0] % np.uint64(ranges)))
-                    blobs.append((b"", b"", pairs, rows.tobytes(), stars.tobytes(), local.tobytes()))
+                    wide = b"".join(wide_sketch(sets[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist()) if n > BITS)
+                    blobs.append((b"", b"", pairs, rows.tobytes(), stars.tobytes(), local.tobytes(), wide))
                     yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), *[pa.array(x, pa.binary()) for x in zip(*blobs)]], names=["p", *PACKED])
             trim()
 
@@ -208,17 +234,19 @@ class JaccardJoin:
                         yield out(kind, pairs[:, 0], pairs[:, 1])
                 same = np.frombuffer(b"".join(t.column("same").to_pylist()), "<i8").reshape(-1, 2)
                 yield out(SAME, same[:, 0], same[:, 1])
-                for blob in t.column("docs").to_pylist():
+                for blob, wide in zip(t.column("docs").to_pylist(), t.column("wide").to_pylist()):
                     rows = np.frombuffer(blob, DOC_ROW)
-                    yield out(DOC, rows["id"], rows["n"], [bytes(x) for x in rows["sketch"]])
+                    ends = np.cumsum([0] + [width(n) // 8 for n in rows["n"].tolist()]).tolist()
+                    yield out(DOC, rows["id"], rows["n"], [bytes(x) for x in rows["sketch"]], [wide[x:y] or None for x, y in zip(ends, ends[1:])])
             trim()
 
-        def out(kind, a, b, sketch=None):
+        def out(kind, a, b, *bits):
             n = len(a)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b)), pa.array(sketch, pa.binary()) if sketch is not None else pa.nulls(n, pa.binary())], names=["kind", "a", "b", "sketch"])
+            bits = [pa.array(x, pa.binary()) for x in bits] or [pa.nulls(n, pa.binary())] * 2
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b)), *bits], names=["kind", "a", "b", "sketch", "wide"])
 
         packed = self.docs.mapInArrow(emit, "p int, " + ", ".join(f"{x} binary" for x in PACKED))
-        return packed.repartition("p").sortWithinPartitions("p").mapInArrow(meet, "kind byte, a long, b long, sketch binary")
+        return packed.repartition("p").sortWithinPartitions("p").mapInArrow(meet, "kind byte, a long, b long, sketch binary, wide binary")
 
     def sketched(self, pairs: DataFrame, docs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sketches let them link."""
@@ -232,6 +260,20 @@ class JaccardJoin:
                 ok, _ = close(num, den, a, b, t.column(2).to_numpy(), t.column(3).to_numpy())
                 yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
+        return self.sifted(both.mapInArrow(test, "a long, b long"), docs)
+
+    def sifted(self, pairs: DataFrame, docs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose wide sketches let them link, or of which one has none: whole texts are moved for few others."""
+        num, den = self.num, self.den
+        side = lambda x: docs.select(F.col("a").alias(x), F.col("b").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "wa", "wb")
+
+        def test(batches):
+            for t in batches:
+                n, m, x, y = (t.column(i).to_pylist() for i in range(2, 6))
+                ok = [close_wide(num, den, *of) for of in zip(x, y, n, m)]
+                yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
         return both.mapInArrow(test, "a long, b long").distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -307,7 +349,7 @@ class JaccardJoin:
                         b = b[[apart[ok].argmin()]] if nearest else b
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(b, doc[x])), pa.array(np.maximum(b, doc[x]))], names=["a", "b"])
 
-        return tiles.mapInArrow(compare, "a long, b long").distinct()
+        return self.sifted(tiles.mapInArrow(compare, "a long, b long").distinct(), docs)
 
     def done(self) -> None:
         """Removes the tables of a round that nothing reads any more."""
@@ -318,7 +360,7 @@ class JaccardJoin:
         """(a: id, b: set size) of every document with an id; (node, root) of those with a lesser id in their component."""
         keep = self.scratch.keep
         found = keep(self.found(), "found")
-        docs, links = found.where(f"kind = {DOC}").select("a", "b", "sketch"), found.where(f"kind = {LINK}").select("a", "b").distinct()
+        docs, links = found.where(f"kind = {DOC}").select("a", "b", "sketch", "wide"), found.where(f"kind = {LINK}").select("a", "b").distinct()
         self.round = 1
         edges = keep(self.verified(keep(self.sketched(links, docs), "near-1")), "edges-1").union(found.where(f"kind = {SAME}").select("a", "b"))
         roots = components(edges, self.scratch, "roots")

@@ -232,6 +232,40 @@ def test_signatures_meet():
                 assert keys[0] & keys[1], (num, n, len(b))
 
 
+def test_wide_sketches():
+    """No pair that links is lost, at equal and different widths; sets that have half in common don't pass."""
+    rng = np.random.default_rng(5)
+    for n in (1000, 1100, 2047, 2048, 2049, 4000, 9000):
+        both = rng.integers(1, 1 << 62, n).astype(np.uint64)
+        grown = np.concatenate([both, rng.integers(1, 1 << 62, n // 4).astype(np.uint64)])
+        other = np.concatenate([both[: 2 * n // 3], rng.integers(1, 1 << 62, n // 3).astype(np.uint64)])
+        a, b, c = (jaccard.wide_sketch(np.sort(x)) for x in (both, grown, other))
+        assert jaccard.linked(4, 5, np.sort(both), np.sort(grown)) and jaccard.close_wide(4, 5, a, b, n, len(grown))
+        assert not jaccard.linked(4, 5, np.sort(both), np.sort(other)) and jaccard.close_wide(4, 5, a, c, n, len(other)) == (n <= jaccard.BITS)
+        assert len(a) == jaccard.width(n) // 8
+
+
+def test_few_texts_are_moved_for_large_sets_that_meet(spark):
+    """Long texts with common passages crowd buckets; only those that may link are compared word by word."""
+    rng = np.random.default_rng(6)
+    line = " ".join(f"c{i}" for i in range(1400))
+    texts = [line + " " + " ".join(f"w{x}" for x in rng.integers(0, 1 << 30, 1400)) for _ in range(20)]
+    texts += [texts[0] + " more", texts[1].replace("c7 ", "d7 ")]
+    join = jaccard.JaccardJoin(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), 5, 4, 5)
+    seen, verified = [], join.verified
+    join.verified = lambda pairs: (seen.append(pairs.count()), verified(pairs))[1]
+    _, roots = join.run()
+    assert {(r["node"], r["root"]) for r in roots.collect()} == {(20, 0), (21, 1)}
+    assert sum(seen) <= 4, seen
+
+
+@pytest.mark.parametrize("band", range(16, 23))
+def test_single_elements_tell_nothing_in_large_bands(band):
+    """Chances that rise with the size of a segment, as one frequent element makes them, don't lead to segments of one."""
+    segments, _, strong = shingles.Scheme(4, 5, 250_000, {band: (3500, [0.001, 0.0003, 0.0009, 0.0005, 0.0003])}).band(band)
+    assert strong == 2 and segments
+
+
 @pytest.mark.parametrize("k", [3, 5, 9])
 def test_shingles_of_few_words(k, monkeypatch):
     """A call that holds fewer words in all than a shingle, alone or after a text that fills a call."""
