@@ -35,8 +35,9 @@ SPACE = "\t-\r \x85\xa0  -     　"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Strings in a worker's cache, and letters in the longest of them.
 CACHE_WORDS, CACHE_LETTERS = 200_000, 64
-#: Letters of text that are encoded at a time.
-PART = 2 << 20
+#: Letters of text that are encoded at a time, and bytes of text in a batch: of each worker, what an encoding holds besides
+#: the text is many times its size.
+PART = 1 << 19
 BLANK_BYTES = bytes(np.flatnonzero(BLANKS).tolist())
 
 
@@ -236,7 +237,7 @@ def encode_decode(df: DataFrame, vocabulary: str, text_col: str = "text") -> Dat
 
         return work
 
-    return append_by_text(df, text_col, fields, make)
+    return append_by_text(df, text_col, fields, make, most=PART)
 
 
 def encode(df: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
@@ -252,4 +253,4 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
 
         return work
 
-    return append_by_text(df, text_col, fields, make)
+    return append_by_text(df, text_col, fields, make, most=PART)

@@ -38,30 +38,64 @@ from lexiquarry.llm.graph import components
 from lexiquarry.llm.hashing import mix
 from lexiquarry.llm.shingles import CELLS, LEVELS, Scheme, Shingler
 
-#: Members of a bucket that gives all its pairs; members of a block; bits of a sketch, and of a wide one at most.
-SMALL, BLOCK, BITS, WIDEST = 4, 1024, 1024, 1 << 16
+#: Members of a bucket that gives all its pairs; members of a block.
+SMALL, BLOCK = 4, 1024
+#: Bits of a sketch at least, of the part that is tested first, and of a sketch at most; of a wide one at most.
+LEAST, BITS, MOST, WIDEST = 256, 1024, 4096, 1 << 16
 #: Ids that may be broadcast (8 bytes each) instead of moving texts.
 BROADCAST_IDS = 1 << 21
 #: Ranges of buckets for each shuffle partition at least, so that tasks are even, and documents for each range at most.
 RANGES, RANGE_DOCS = 8, 20_000
 #: Parts that the members of a bucket are dealt to.
 SALTS = 32
+#: A second search for nearest members pays if the first gave a link for each so many documents; all pairs are tested anyway.
+SECOND = 200
 LINK, CROWD, SAME, DOC = range(4)
 #: What a batch sends: bucket entries (key, doc), keys of buckets that are large in it, equal sets, documents, links and
-#: members (key, doc) of large buckets, and the wide sketches of the documents that have one.
-PACKED = ["sig", "hot", "same", "docs", "stars", "crowd", "wide"]
-DOC_ROW = np.dtype([("id", "<i8"), ("n", "<i8"), ("sketch", f"V{BITS // 8}")])
+#: members (key, doc) of large buckets, the documents' sketches, and the wide ones of those that have one.
+PACKED = ["sig", "hot", "same", "docs", "stars", "crowd", "short", "wide"]
+DOC_ROW = np.dtype([("id", "<i8"), ("n", "<i8")])
 
 
-def sketches(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A bit string for each set: the parity of the number of elements that hash to each bit."""
-    out = np.zeros((len(sizes), BITS // 8), np.uint8)
+def short(n: int) -> int:
+    """Bits of the sketch of a set of n elements: four for each, so that few differences hide each other."""
+    return min(MOST, max(LEAST, 1 << (4 * n - 1).bit_length())) if n else LEAST
+
+
+def sketches(sets: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """A bit string for each set: the parity of the number of elements that hash to each of short(size) bits.
+
+    The halves of one, one xor the other, are the sketch of half the bits, so any two can be compared.
+    """
+    out: list[bytes] = []
     ends = np.cumsum(sizes)
     for lo in range(0, len(sizes), 512):
         n = sizes[lo : lo + 512]
         part = sets[ends[lo] - sizes[lo] : ends[lo + len(n) - 1]]
-        at = np.repeat(np.arange(len(n)) * BITS, n) + (mix(part ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(BITS)).astype(np.int64)
-        out[lo : lo + len(n)] = np.packbits(np.bincount(at, minlength=len(n) * BITS).reshape(len(n), BITS) & 1, axis=1)
+        bits = np.array([short(x) for x in n.tolist()])
+        edges = np.concatenate([[0], np.cumsum(bits)])
+        at = np.repeat(edges[:-1], n) + (mix(part ^ np.uint64(0x5851F42D4C957F2D)) % np.repeat(bits, n).astype(np.uint64)).astype(np.int64)
+        flat = np.packbits(np.bincount(at, minlength=edges[-1]) & 1).tobytes()
+        cut = (edges // 8).tolist()
+        out += [flat[x:y] for x, y in zip(cut, cut[1:])]
+    return out
+
+
+def folded(rows: np.ndarray, words: int) -> np.ndarray:
+    """Sketches, one in each row of 64-bit words, in as few words."""
+    while rows.shape[1] > words:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+def by_width(bits: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Sketches by their number of 64-bit words: which they are, and they themselves as rows."""
+    words = np.array([len(x) // 8 for x in bits])
+    out = {}
+    for w in np.unique(words).tolist():
+        at = np.flatnonzero(words == w)
+        out[w] = at, np.frombuffer(b"".join([bits[i] for i in at]), "<u8").reshape(-1, w)
     return out
 
 
@@ -71,7 +105,7 @@ def width(n: int) -> int:
 
 
 def wide_sketch(s: np.ndarray) -> bytes:
-    """As sketches(), in width(len(s)) bits; the halves of one, one xor the other, are the sketch of half the bits."""
+    """As sketches(), in width(len(s)) bits."""
     bits = width(len(s))
     at = mix(s ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(max(bits, 1))
     return np.packbits(np.bincount(at.astype(np.int64), minlength=bits) & 1).tobytes() if bits else b""
@@ -81,12 +115,9 @@ def close_wide(num: int, den: int, a: bytes | None, b: bytes | None, n: int, m:
     """close() of two wide sketches, at the lesser width; true where one has none."""
     if not a or not b:
         return True
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return bool(close(num, den, x, y, n, m)[0])
+    x, y = np.frombuffer(a, "<u8")[None], np.frombuffer(b, "<u8")[None]
+    least = min(x.shape[1], y.shape[1])
+    return bool(close(num, den, folded(x, least), folded(y, least), n, m)[0][0])
 
 
 def close(num: int, den: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +126,15 @@ def close(num: int, den: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np
     return (apart * (den + num) <= (n + m) * (den - num)) & (n * den >= m * num) & (m * den >= n * num), apart
 
 
+def close_pairs(num: int, den: int, a: list[bytes], b: list[bytes], n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """close() of the sketches of many pairs, each at its lesser width."""
+    ok = np.zeros(len(a), bool)
+    for w, (at, x) in by_width(a).items():
+        for v, (there, y) in by_width([b[i] for i in at]).items():
+            ok[at[there]] = close(num, den, folded(x[there], min(w, v)), folded(y, min(w, v)), n[at[there]], m[at[there]])[0]
+    return ok
+
+
 def runs(*columns: np.ndarray):
     """Ranges of rows that are equal in all columns."""
     n = len(columns[0])
@@ -169,7 +209,6 @@ class JaccardJoin:
                     sets, sizes = shingler.sets(b.column(1).slice(lo, hi - lo).to_pylist())
                     rows = np.zeros(len(ids), DOC_ROW)
                     rows["id"], rows["n"] = ids, sizes
-                    rows["sketch"] = np.ascontiguousarray(sketches(sets, sizes)).view(f"V{BITS // 8}").ravel()
                     ends = np.cumsum(sizes)
                     first: dict[bytes, int] = {}
                     keep, same = [], []
@@ -199,11 +238,11 @@ class JaccardJoin:
                     p, blobs = [], []
                     for x, y in runs(part):
                         p.append(int(part[x]))
-                        blobs.append((entry[x:y].tobytes(), entry[x:y, 0][hot[x:y]].tobytes(), b"", b"", b"", b"", b""))
+                        blobs.append((entry[x:y].tobytes(), entry[x:y, 0][hot[x:y]].tobytes(), *[b""] * 6))
                     pairs = np.array([(ids[a], ids[c]) for a, c in same], np.int64).tobytes()
                     p.append(int(mix(ids[:1].view(np.uint64))[0] % np.uint64(ranges)))
                     wide = b"".join(wide_sketch(sets[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist()) if n > BITS)
-                    blobs.append((b"", b"", pairs, rows.tobytes(), stars.tobytes(), local.tobytes(), wide))
+                    blobs.append((b"", b"", pairs, rows.tobytes(), stars.tobytes(), local.tobytes(), b"".join(sketches(sets, sizes)), wide))
                     yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), *[pa.array(x, pa.binary()) for x in zip(*blobs)]], names=["p", *PACKED])
             trim()
 
@@ -234,10 +273,10 @@ class JaccardJoin:
                         yield out(kind, pairs[:, 0], pairs[:, 1])
                 same = np.frombuffer(b"".join(t.column("same").to_pylist()), "<i8").reshape(-1, 2)
                 yield out(SAME, same[:, 0], same[:, 1])
-                for blob, wide in zip(t.column("docs").to_pylist(), t.column("wide").to_pylist()):
+                for blob, *bits in zip(*[t.column(x).to_pylist() for x in ("docs", "short", "wide")]):
                     rows = np.frombuffer(blob, DOC_ROW)
-                    ends = np.cumsum([0] + [width(n) // 8 for n in rows["n"].tolist()]).tolist()
-                    yield out(DOC, rows["id"], rows["n"], [bytes(x) for x in rows["sketch"]], [wide[x:y] or None for x, y in zip(ends, ends[1:])])
+                    ends = [np.cumsum([0] + [of(n) // 8 for n in rows["n"].tolist()]).tolist() for of in (short, width)]
+                    yield out(DOC, rows["id"], rows["n"], *[[b[x:y] or None for x, y in zip(e, e[1:])] for b, e in zip(bits, ends)])
             trim()
 
         def out(kind, a, b, *bits):
@@ -256,8 +295,7 @@ class JaccardJoin:
 
         def test(batches):
             for t in batches:
-                a, b = (np.frombuffer(b"".join(t.column(i).to_pylist()), "<u8").reshape(-1, BITS // 64) for i in (4, 5))
-                ok, _ = close(num, den, a, b, t.column(2).to_numpy(), t.column(3).to_numpy())
+                ok = close_pairs(num, den, t.column(4).to_pylist(), t.column(5).to_pylist(), t.column(2).to_numpy(), t.column(3).to_numpy())
                 yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
         return self.sifted(both.mapInArrow(test, "a long, b long"), docs)
@@ -333,20 +371,38 @@ class JaccardJoin:
         def compare(batches):
             for (_, i, j), t in groups(batches, 3):
                 block, doc, root, n = (t.column(c).to_numpy() for c in ("block", "doc", "root", "n"))
-                bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u8").reshape(len(doc), -1)
+                bits = t.column("sketch").to_pylist()
                 # members outside the largest component, each against all that come later or are in the largest
                 names, of, many = np.unique(root, return_inverse=True, return_counts=True)
                 order = np.argsort(of == many.argmax(), kind="stable")
-                block, doc, root, n, bits = block[order], doc[order], root[order], n[order], bits[order]
+                block, doc, root, n, bits = block[order], doc[order], root[order], n[order], [bits[r] for r in order]
+                whole, first = by_width(bits), np.zeros((len(doc), 0), "<u8")
+                if len(doc) > many.max():
+                    least = min(BITS // 64, *whole)
+                    first = np.empty((len(doc), least), "<u8")
+                    for at, rows in whole.values():
+                        first[at] = folded(rows, least)
                 for x in range(len(doc) - many.max()):
                     there = slice(x + 1, None)
-                    ok, apart = close(num, den, bits[x], bits[there], n[x], n[there])
+                    ok, _ = close(num, den, first[x], first[there], n[x], n[there])
                     ok &= root[there] != root[x]
                     if i != j:
                         ok &= block[there] != block[x]
                     if ok.any():
-                        b = doc[there][ok]
-                        b = b[[apart[ok].argmin()]] if nearest else b
+                        # what passes in few bits is tested in all that both have
+                        b, apart, own = [], [], np.frombuffer(bits[x], "<u8")[None]
+                        like = np.flatnonzero(ok) + x + 1
+                        for w, (at, rows) in whole.items():
+                            of = np.searchsorted(at, like)
+                            of = of[(of < len(at)) & (at[np.minimum(of, len(at) - 1)] == like)]
+                            least = min(w, own.shape[1])
+                            good, far = close(num, den, folded(own, least), folded(rows[of], least), n[x], n[at[of]])
+                            b.append(doc[at[of]][good])
+                            apart.append(far[good])
+                        b, apart = np.concatenate(b), np.concatenate(apart)
+                        if not len(b):
+                            continue
+                        b = b[[apart.argmin()]] if nearest else b
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(b, doc[x])), pa.array(np.maximum(b, doc[x]))], names=["a", "b"])
 
         return self.sifted(tiles.mapInArrow(compare, "a long, b long").distinct(), docs)
@@ -366,9 +422,10 @@ class JaccardJoin:
         roots = components(edges, self.scratch, "roots")
         self.done()
         crowd = found.where(f"kind = {CROWD}").select(F.col("a").alias("key"), F.col("b").alias("doc"))
-        # first the nearest of each, while that joins components; then all pairs that still lie in different ones
+        # first the nearest of each, while that joins many; then all pairs that still lie in different components
+        total = docs.count()
         for self.round, nearest in ((2, True), (3, True), (4, False)):
-            if self.round == 3 and not more.limit(1).count():
+            if self.round == 3 and more.count() * SECOND < total:
                 continue
             more = keep(self.verified(keep(self.across(crowd, docs, roots, nearest), f"near-{self.round}")), f"edges-{self.round}")
             if more.limit(1).count():

@@ -5,6 +5,7 @@ import hashlib
 import json
 import re
 import time
+import tracemalloc
 import zlib
 
 import duckdb
@@ -62,6 +63,17 @@ def test_bpe_equals_the_library(spark, docs, odd):
     assert bpe.encode(odd.limit(0), queries.word_vocabulary()).count() == 0
 
 
+def test_bpe_holds_little_beside_the_text():
+    """What an encoding holds for a time, besides the ids that it returns, stays under five bytes for each of the texts' letters."""
+    codec, texts = bpe.load(queries.word_vocabulary()), [f"the cat {i % 7} sat on the mat, " * 60 for i in range(2000)]
+    codec.encode_batch(texts[:50])
+    tracemalloc.start()
+    out = codec.encode_batch(texts)
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(out) == 2000 and peak - kept < 5 * sum(map(len, texts))
+
+
 def test_bpe_on_random_text():
     t, c = Tokenizer.from_file(queries.word_vocabulary()), bpe.load(queries.word_vocabulary())
     rng = np.random.default_rng(5)
@@ -259,6 +271,51 @@ def test_few_texts_are_moved_for_large_sets_that_meet(spark):
     assert sum(seen) <= 4, seen
 
 
+def test_no_sketch_loses_a_link():
+    """Sketches of all sizes, equal and different widths: what links passes; half in common doesn't, for 8,000 shingles in all."""
+    rng = np.random.default_rng(7)
+    for n in (1, 5, 63, 64, 65, 128, 300, 513, 900, 1024, 1025, 4000):
+        both = rng.integers(1, 1 << 62, n).astype(np.uint64)
+        grown = np.concatenate([both, rng.integers(1, 1 << 62, n // 4).astype(np.uint64)])
+        other = np.concatenate([both[: 2 * n // 3], rng.integers(1, 1 << 62, n - 2 * n // 3).astype(np.uint64)])
+        sets, sizes = np.concatenate([both, grown, other]), np.array([n, len(grown), n])
+        a, b, c = jaccard.sketches(sets, sizes)
+        assert [len(x) * 8 for x in (a, b, c)] == [jaccard.short(x) for x in sizes.tolist()]
+        ok = jaccard.close_pairs(4, 5, [a, b, a], [b, a, c], sizes[[0, 1, 0]], sizes[[1, 0, 2]])
+        assert ok[:2].all() and (n < 5 or not ok[2]), (n, ok)
+
+
+def test_few_pairs_are_joined_of_texts_that_resemble_but_do_not_link(spark):
+    """A group of texts somewhat less alike than links demand: its pairs, many more than its texts, end at their sketches."""
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 1 << 30, 950)]
+    texts = []
+    for _ in range(40):  # 14 changed words each, of 5 shingles each
+        own = base.copy()
+        for at in rng.choice(950, 14, replace=False):
+            own[at] = f"x{rng.integers(0, 1 << 30)}"
+        texts.append(" ".join(own))
+    texts.append(texts[3] + " more")
+    join = jaccard.JaccardJoin(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), 5, 4, 5)
+    seen, sifted = [], join.sifted
+    join.sifted = lambda pairs, docs: (seen.append(pairs.count()), sifted(pairs, docs))[1]
+    _, roots = join.run()
+    assert {(r["node"], r["root"]) for r in roots.collect()} == {(40, 3)}
+    assert sum(seen) <= 41, seen
+
+
+def test_few_nearest_links_lead_to_no_second_search(spark):
+    """Crowded buckets are searched once for nearest members and once for all pairs, where the first gives few links."""
+    line = " ".join(f"c{i}" for i in range(40))
+    texts = [line + " " + " ".join(f"w{i}x{j}" for j in range(200)) for i in range(400)]
+    join = jaccard.JaccardJoin(spark.createDataFrame([*enumerate(texts), (400, texts[5] + " more")], "doc_id long, text string"), 5, 4, 5)
+    rounds, across = [], join.across
+    fake = spark.createDataFrame([(5, 400)], "a long, b long")
+    join.across = lambda crowd, docs, roots, nearest: (rounds.append(nearest), across(crowd, docs, roots, nearest).union(fake))[1]
+    _, roots = join.run()
+    assert {(r["node"], r["root"]) for r in roots.collect()} == {(400, 5)} and rounds == [True, False]
+
+
 @pytest.mark.parametrize("band", range(16, 23))
 def test_single_elements_tell_nothing_in_large_bands(band):
     """Chances that rise with the size of a segment, as one frequent element makes them, don't lead to segments of one."""
