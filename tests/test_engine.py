@@ -236,3 +236,33 @@ def test_models_are_finite(corpus):
     for s in (sim.classic(), sim.lm_dirichlet(), sim.dfr("ine", "b", "h3"), sim.ib(), sim.dfi(), sim.axiomatic("f1log"), sim.MultiSimilarity(sim.bm25(), sim.boolean())):
         c = q.Corpus(corpus.docs, similarity=s)
         assert all(r["score"] is not None and math.isfinite(r["score"]) for r in c.search(q.Term("text", "red")).collect())
+
+
+def test_positions_of_many_terms(spark, tmp_path):
+    """More than 128 terms under one test: 200 words that start alike, as an index and without one."""
+    docs = spark.createDataFrame([(i, f"of wo{i:03} x wo{(i + 1) % 200:03} to") for i in range(200)] + [(900, "of to")], "doc_id long, text string")
+    plain = q.Corpus(docs)
+    for c in (plain, plain.indexed(str(tmp_path / "many"))):
+        score = lambda source: {r["doc_id"]: round(r["score"], 9) for r in c.search(q.Positional("text", source, "interval")).collect()}  # noqa: E731, B023
+        assert score(pos.multi(lambda t: t.startswith("wo"))) == {i: round(1 - 1 / 3, 9) for i in range(200)}
+        assert score(pos.node("ordered", pos.term("of"), pos.multi(lambda t: t.rlike("^wo[0-9]")), pos.term("to"))) == {i: round(1 - 1 / (1 + 1 / 3), 9) for i in range(200)}
+        assert score(ps.parse_interval("fn:or(nowhere fn:wildcard(nix*))")) == {}
+        with pytest.raises(ValueError):
+            c.search(q.Positional("text", ps.parse_interval("fn:wildcard(wo* 128)"), "interval"))
+
+
+def test_many_scored_terms(spark, tmp_path):
+    """A sum over postings equals the clauses, for any number of terms and with weights, and its plan stays small."""
+    docs = spark.createDataFrame([(i, f"wo{i:04} wo{(i * 7) % 1500:04} wo{i % 5:04} y") for i in range(1500)], "doc_id long, text string")
+    plain = q.Corpus(docs)
+    stored = plain.indexed(str(tmp_path / "scored"))
+    scores = lambda c, x: {r["doc_id"]: round(r["score"], 9) for r in c.search(x).collect()}
+    got = scores(stored, q.prefix("text", "wo", scoring=True))
+    assert len(got) == 1500 and got == scores(plain, q.prefix("text", "wo", scoring=True))
+    few = [f"wo{i:04}" for i in range(20)]
+    clauses = q.Bool(should=tuple(q.Boost(q.Term("text", t), 1 + i / 10) for i, t in enumerate(few)))
+    weighted = q.MultiTerm("text", lambda t: t.isin(few), True, boosts=lambda t: 1 + few.index(t) / 10)
+    assert isinstance(weighted.rewritten(stored), q.EachTerm) and scores(stored, weighted) == scores(stored, clauses)
+    plan = stored.search(q.prefix("text", "wo", scoring=True))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 50_000
+    assert stored.matches(q.prefix("text", "wo", scoring=True)).count() == sum(r["ttf"] for r in stored.dictionary("text").where("term like 'wo%'").collect())
