@@ -266,3 +266,37 @@ def test_many_scored_terms(spark, tmp_path):
     plan = stored.search(q.prefix("text", "wo", scoring=True))._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 50_000
     assert stored.matches(q.prefix("text", "wo", scoring=True)).count() == sum(r["ttf"] for r in stored.dictionary("text").where("term like 'wo%'").collect())
+
+
+def test_positions_against_pairwise_tests():
+    """The searches among sorted ranges give what comparing all pairs gives, and a long document takes no time with its square."""
+    import random
+    import time
+
+    rnd = random.Random(5)
+    a, b, c = map(pos.term, "abc")
+    inside = lambda x, y: x[0] <= y[0] and y[1] <= x[1]
+    meet = lambda x, y, n=0: x[0] - n <= y[1] and y[0] <= x[1] + n
+    for _ in range(300):
+        at = {k: sorted(rnd.sample(range(30), rnd.randrange(9))) for k in "abc"}
+        pair, lone = pos.node("ordered", a, b), pos.node("or", c, pos.node("ordered", c, a))
+        for x, y in ((pair, lone), (lone, pair), (pos.node("extend", a, args=(1, 3)), pair)):
+            xs, ys = pos.intervals(x, at), pos.intervals(y, at)
+            for op, test in (("containing", lambda p, q_: inside(p, q_)), ("contained_by", lambda p, q_: inside(q_, p)), ("overlapping", meet)):
+                assert pos.intervals(pos.node(op, x, y), at) == [p for p in xs if any(test(p, q_) for q_ in ys)]
+            assert pos.intervals(pos.node("not_within", x, y, args=(2,)), at) == [p for p in xs if not any(meet(p, q_, 2) for q_ in ys)]
+        near, near2 = pos.node("near", a, b, args=(4, False)), pos.node("near", c, b, args=(9, True))
+        xs, ys = pos.spans(near, at), pos.spans(near2, at)
+        assert pos.spans(pos.node("containing", near, near2), at) == [p for p in xs if any(inside(p, q_) for q_ in ys)]
+        assert pos.spans(pos.node("within", near, near2), at) == [q_ for q_ in ys if any(inside(p, q_) for p in xs)]
+        assert pos.spans(pos.node("not", near, near2, args=(1, 2)), at) == [p for p in xs if not any(s < p[1] + 2 and e > p[0] - 1 for s, e in ys)]
+        marks = sorted((p, k) for k in "abc" for p in at[k])
+        best = [(p, min((r for r, k2 in marks if r >= p and k2 != k), default=None)) for p, k in marks]
+        want = [(s, e) for s, e in best if e is not None and not any(s <= s2 and e2 is not None and e2 <= e and (s2, e2) != (s, e) for s2, e2 in best)]
+        assert pos.intervals(pos.node("at_least", a, b, c, args=(2,)), at) == sorted(set(want))
+    long = {k: list(range(i, 120_000, 3)) for i, k in enumerate("abc")}
+    began = time.process_time()
+    assert len(pos.intervals(pos.node("at_least", a, b, c, args=(2,)), long)) == 119_999
+    assert len(pos.spans(pos.node("within", pos.node("near", a, b, args=(3, True)), c), long)) == 0
+    assert len(pos.intervals(pos.node("within", a, b, args=(2,)), long)) == 40_000
+    assert time.process_time() - began < 20
