@@ -300,3 +300,35 @@ def test_positions_against_pairwise_tests():
     assert len(pos.spans(pos.node("within", pos.node("near", a, b, args=(3, True)), c), long)) == 0
     assert len(pos.intervals(pos.node("within", a, b, args=(2,)), long)) == 40_000
     assert time.process_time() - began < 20
+
+
+def test_postings_in_bounded_blocks(spark, tmp_path, monkeypatch):
+    """Blocks of few tokens give the postings and lengths of all texts; positions may repeat and go back."""
+    import pyarrow as pa
+
+    from lexiquarry.plans import corpus as cp
+
+    texts = ["a b a", "", None, "b " * 30, "c a b", "a"]
+    token = pa.struct([("term", pa.string()), ("pos", pa.int32())])
+    toks = [[{"term": w, "pos": i} for i, w in enumerate((t or "").split())] for t in texts] + [[{"term": "z", "pos": 5}, {"term": "y", "pos": 1}, {"term": "z", "pos": 1}], None]
+    batch = pa.record_batch([pa.array([f"k{i}" for i in range(8)]), pa.array(toks, pa.list_(token))], names=["k", "t"])
+    monkeypatch.setattr(cp, "BLOCK_TOKENS", 4)
+    parts = list(cp.sliced(batch, 1))
+    assert [len(p) for p in parts] == [3, 1, 2, 2] and all(len(p) == 1 or len(p.column(1).flatten()) <= 4 for p in parts)
+    rows, lengths = [], {}
+    for p in parts:
+        made = cp.blocks(p, ["t"])
+        for term, df, ttf, keys, tfs, places, lens in zip(*[c.to_pylist() for c in made["t"]]):
+            assert df == len(keys) and ttf == sum(tfs)
+            rows += [(term, k, tf, tuple(at), n) for k, tf, at, n in zip(keys, tfs, places, lens)]
+        lengths |= dict(zip(made[cp.LENGTHS][3].to_pylist()[0], made[cp.LENGTHS][6].to_pylist()[0]))
+    want = {}
+    for i, ts in enumerate(toks):
+        for t in ts or []:
+            want.setdefault((t["term"], f"k{i}"), []).append(t["pos"])
+    assert lengths == {f"k{i}": len({t["pos"] for t in ts or []}) for i, ts in enumerate(toks)}
+    assert sorted(rows) == sorted((t, k, len(at), tuple(sorted(at)), lengths[k]) for (t, k), at in want.items())
+    docs = spark.createDataFrame(list(enumerate(texts)), "_df long, text string").withColumnRenamed("_df", "n")
+    c = q.Corpus(docs, "n").indexed(str(tmp_path / "blocks"))
+    assert sorted(map(tuple, c.lengths().collect())) == [(0, 3), (1, 0), (2, 0), (3, 30), (4, 3), (5, 1)]
+    assert sorted((r["term"], r["n"], r["tf"], r["pos"]) for r in c.posted("text", ["a", "c"]).collect()) == [("a", 0, 2, [0, 2]), ("a", 4, 1, [1]), ("a", 5, 1, [0]), ("c", 4, 1, [0])]
