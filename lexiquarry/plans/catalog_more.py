@@ -57,9 +57,7 @@ SELECT doc_id, round(sum(worth * {formula_sql(sim.bm25().formula, "tf", "df", "t
 
 
 def both_fields(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    c = q.Corpus(docs, "doc_id", {"text": "simple_ascii", "lang": "simple_ascii"})
-    return c.search(q.CombinedFields((("text", 1.0), ("lang", 2.0)), "de")).withColumn("score", F.round("score", 6))
+    return corpus(spark, sf_dir, text=("text", "lang")).search(q.CombinedFields((("text", 1.0), ("lang", 2.0)), "de")).withColumn("score", F.round("score", 6))
 
 
 register("combined_fields", both_fields, f"""WITH d AS (SELECT doc_id, {TOKENS} AS a, {TOKENS.replace("coalesce(text", "coalesce(lang")} AS b FROM documents),
