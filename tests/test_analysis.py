@@ -74,3 +74,16 @@ def test_minimal_stemmers(spark, name, pairs):
     pairs = [x.split(">") for x in pairs.split()]
     got = [t for t, _ in go(spark, an.STEM[name], [a for a, _ in pairs])]
     assert got == [b for _, b in pairs]
+
+
+def test_terms_without_tokens(spark):
+    """The plain form of a chain gives the terms of its tokens, makes no structs, and endings are compared as their patterns would match."""
+    texts = ["Husene stoler Bilene' s's O'Neil's WiFi-2Go a1 b", "that with that", None, "", "-- ''", "x", "lakes ponies atech kočkami městech किताबें лошадей"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    chains = [an.Analyzer(t, f) for t in (an.whitespace, an.standard, an.ascii_words) for f in ((), (an.edge_filter(2, 3),), (an.edge_filter(1, 20),), (an.shingles(3, 3, False),), (an.shingles(2, 2, False, "_"), an.uppercase), (an.synonyms({"that": ["this", "those"]}),), (an.stop(["that"]), an.shingles(2, 2, False)), (tf.word_delimiter(),), (tf.word_delimiter(False, False),), (tf.word_delimiter(words=False),), (tf.cjk_bigrams(),), (an.STEM["norwegian_minimal"],), (an.STEM["czech"],), (an.STEM["hungarian_light"],), (an.stem(an.STEMMERS["hindi"]),), (an.stem(an.STEMMERS["porter"]),))]
+    row = df.select(*[F.collect_list(F.to_json(F.struct((an.terms(a(F.col("x"))) if k else a.terms(F.col("x"))).alias("t")))).alias(f"c{i}_{k}") for i, a in enumerate(chains) for k in (0, 1)]).first()
+    for i in range(len(chains)):
+        assert row[f"c{i}_0"] == row[f"c{i}_1"]
+    plan = df.select(an.Analyzer(an.ascii_words, (an.STEM["norwegian_minimal"], an.edge_filter(2, 3))).terms(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "struct" not in plan and "RLIKE" not in plan
+    assert an.alternatives("er|[ae]n|x") == ["er", "an", "en", "x"] and an.alternatives("(?<=z)es") is None and an.alternatives("[^a]") is None
