@@ -332,3 +332,21 @@ def test_postings_in_bounded_blocks(spark, tmp_path, monkeypatch):
     c = q.Corpus(docs, "n").indexed(str(tmp_path / "blocks"))
     assert sorted(map(tuple, c.lengths().collect())) == [(0, 3), (1, 0), (2, 0), (3, 30), (4, 3), (5, 1)]
     assert sorted((r["term"], r["n"], r["tf"], r["pos"]) for r in c.posted("text", ["a", "c"]).collect()) == [("a", 0, 2, [0, 2]), ("a", 4, 1, [1]), ("a", 5, 1, [0]), ("c", 4, 1, [0])]
+
+
+def test_inputs_are_dealt_if_tasks_are_few(spark, tmp_path, monkeypatch):
+    """An input read in too few tasks for the cores is dealt; one that gives enough of them isn't shuffled."""
+    from lexiquarry.sources import shared
+
+    spark.range(2000).write.parquet(str(tmp_path / "t"))
+    df, name = spark.read.parquet(str(tmp_path / "t")), "spark.sql.files.maxPartitionBytes"
+    plan = lambda: shared.spread(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan()
+    monkeypatch.setattr(shared, "SMALL_INPUT", 0)
+    assert "Repartition 8" in plan()
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "1k")
+        assert "Repartition" not in plan()
+    finally:
+        spark.conf.set(name, before)
